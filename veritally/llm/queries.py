@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm import bpe, decontam, embeddings, langid, lines, quality, simhash, token_counts, toxicity
+from veritally.llm import bpe, decontam, embeddings, langid, lines, quality, secrets, simhash, token_counts, toxicity
 from veritally.llm.common import fold_of, table
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.fit(secrets.labelled_findings(spark))
+    return secrets.scan(table(spark, sf_dir, "documents"), model)
+
+
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_decode(docs, drop=("text",))
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_secret_scan": op5_secret_scan,
     "op6_bpe_roundtrip": op6_bpe_roundtrip,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontamination": op8_decontamination,
