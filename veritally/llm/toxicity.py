@@ -2,14 +2,15 @@
 
 A word is the mean of the vectors of its character n-grams and of the word itself, hashed into buckets, so a misspelling
 shares most of its n-grams with the word it stands for. A text is the mean of its words. The softmax is linear, so after
-training a bucket's vector is folded into one number for each class, and a text is scored in one pass over its words.
+training a bucket's vector is folded into one number, the difference of the classes, and a text is scored in one pass over
+its words. A long text is scored as its most toxic stretch, as a mean over thousands of words would hide a few.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from veritally.llm import common
-from veritally.llm.words import WordStore, by_text
+from veritally.llm.words import WordStore
 
 BUCKETS, DIM = 1 << 16, 8
 WORD = re.compile(r"\w+")
-LETTERS = 40  #: n-grams of a longer word are taken from stretches of so many letters
+LETTERS = 40  #: a longer word has no bucket of its own, only those of its n-grams
+GAIN = 100.0  #: by which means are multiplied before the softmax; it sets the pace of training, not what can be learned
+STRETCH = 256  #: words of the stretches that a longer text is scored by; they overlap by half
 
 
 def words_of(text: str | None) -> list[str]:
@@ -45,74 +48,85 @@ class Model:
     bias: float
 
 
-def train(texts: list[Counter], labels: np.ndarray, epochs: int = 12, rate: float = 0.02, batch: int = 64, seed: int = 11, weight: float = 2.0) -> Model:
-    """texts: words with counts. Adam on mini-batches; a toxic text weighs ``weight`` times a clean one."""
+def train(words: list[str], ids: np.ndarray, times: np.ndarray, sizes: np.ndarray, labels: np.ndarray, epochs: int = 12, rate: float = 0.1, batch: int = 64, least: int = 5, decay: float = 1e-4, weight: float = 2.0, seed: int = 11) -> Model:
+    """Adagrad on mini-batches of texts; a text is the next ``sizes`` of (ids of words, times).
+
+    Words that fewer than ``least`` texts have are left out of training, so that no text is learned by heart; a toxic
+    text weighs ``weight`` times a clean one.
+    """
     rng = np.random.default_rng(seed)
-    g = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
-    w = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
+    g = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
+    w = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     b = np.zeros(2, np.float32)
-    state = [(np.zeros_like(x), np.zeros_like(x)) for x in (g, w, b)]
-    index: dict[str, int] = {}
-    docs = []
-    for c in texts:
-        ids = np.array([index.setdefault(x, len(index)) for x in c], np.int64)
-        docs.append((ids, np.array(list(c.values()), np.float32) / max(1, sum(c.values()))))
-    lists = [np.array(buckets_of(x), np.int32) for x in index]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-    first = np.cumsum(sizes) - sizes
-    step = 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(docs))
+    seen_g, seen_w, seen_b = np.full_like(g, 1e-6), np.full_like(w, 1e-2), np.full_like(b, 1e-2)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    share = GAIN * times / np.bincount(of, times, len(sizes))[of]
+    often = np.bincount(ids, minlength=len(words)) >= least
+    keep = often[ids]
+    ids, share, of = ids[keep], share[keep], of[keep]
+    cuts = np.searchsorted(of, np.arange(len(sizes) + 1))
+    lists = [np.array(buckets_of(x) if use else [], np.int64) for x, use in zip(words, often.tolist(), strict=True)]
+    n_grams = np.array([len(x) for x in lists], np.int64)
+    flat = np.concatenate(lists)
+    first = np.cumsum(n_grams) - n_grams
+    for _ in range(epochs):
+        order = rng.permutation(len(sizes))
         for at in range(0, len(order), batch):
             part = order[at : at + batch]
-            ids = np.concatenate([docs[i][0] for i in part])
-            share = np.concatenate([docs[i][1] for i in part])
-            of = np.repeat(np.arange(len(part)), [len(docs[i][0]) for i in part])
-            own, inverse = np.unique(ids, return_inverse=True)
-            n = sizes[own]
-            grams = flat[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            word = np.repeat(np.arange(len(own)), n)
-            e = np.stack([np.bincount(word, g[grams, d], len(own)) for d in range(DIM)], axis=1) / np.maximum(n, 1)[:, None]
-            x = np.stack([np.bincount(of, e[inverse, d] * share, len(part)) for d in range(DIM)], axis=1)
+            take = np.concatenate([np.arange(cuts[i], cuts[i + 1]) for i in part])
+            if not len(take):
+                continue
+            text = np.repeat(np.arange(len(part)), cuts[part + 1] - cuts[part])
+            own, inverse = np.unique(ids[take], return_inverse=True)
+            n = n_grams[own]
+            starts = np.cumsum(n) - n
+            grams, at_gram = np.unique(flat[np.repeat(first[own] - starts, n) + np.arange(n.sum())], return_inverse=True)
+            e = np.add.reduceat(g[grams][at_gram], starts, axis=0) / n[:, None]
+            x = np.stack([np.bincount(text, e[inverse, k] * share[take], len(part)) for k in range(DIM)], axis=1)
             z = x @ w + b
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
+            d = np.exp(z - z.max(axis=1, keepdims=True))
+            d /= d.sum(axis=1, keepdims=True)
             y = labels[part]
-            d = p.copy()
             d[np.arange(len(part)), y] -= 1
             d *= np.where(y == 1, weight, 1.0)[:, None] / len(part)
             dx = d @ w.T
-            de = np.stack([np.bincount(inverse, dx[of, k] * share, len(own)) for k in range(DIM)], axis=1) / np.maximum(n, 1)[:, None]
-            dg = np.stack([np.bincount(grams, de[word, k], BUCKETS) for k in range(DIM)], axis=1)
-            step += 1
-            pace = rate * (1 - epoch / epochs)
-            for value, grad, (m, v) in zip((g, w, b), (dg, x.T @ d, d.sum(axis=0)), state, strict=True):
-                m *= 0.9
-                m += 0.1 * grad
-                v *= 0.99
-                v += 0.01 * grad * grad
-                value -= pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Model((g @ (w[:, 1] - w[:, 0])).astype(np.float64), float(b[1] - b[0]))
-
-
-def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", held: int = 0, folds: int = 5, bound: int = 4000) -> Model:
+            de = np.stack([np.bincount(inverse, dx[text, k] * share[take], len(own)) for k in range(DIM)], axis=1) / n[:, None]
+            de = np.repeat(de, n, axis=0)
+            dg = np.stack([np.bincount(at_gram, de[:, k], len(grams)) for k in range(DIM)], axis=1) + decay * g[grams]
+            seen_g[grams] += dg * dg
+            g[grams] -= rate * dg / np.sqrt(seen_g[grams])
+            for value, seen, grad in ((w, seen_w, x.T @ d), (b, seen_b, d.sum(axis=0))):
+                seen += grad * grad
+                value -= rate * grad / np.sqrt(seen)
+    return Model(GAIN * (g @ (w[:, 1] - w[:, 0])).astype(np.float64), float(b[1] - b[0]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", held: int = 0, folds: int = 5, bound: int = 8000) -> Model:
     """Learn from the whole texts of at most ``bound`` labelled documents outside the fold ``held``."""
     sample = common.labelled_sample(docs, labels, target, folds, held, bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 64):
-            found = [Counter(words_of(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64())), batch.column("target").cast(pa.int64())], names=["words", "times", "target"])
-
-    rows = sample.mapInArrow(run, "words array<string>, times array<long>, target long").collect()
-    rows = sorted(rows, key=lambda r: (len(r["words"]), r["words"][:20], r["target"]))  # the same model for any order
-    texts = [Counter(dict(zip(r["words"], r["times"], strict=True))) for r in rows]
-    y = np.array([int(r["target"] > 0) for r in rows], np.int64)
-    if len(set(y.tolist())) < 2:
+            found = [np.unique(np.array(words_of(t), object), return_counts=True) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([w.tolist() for w, _ in found], pa.list_(pa.string())), pa.array([n.tolist() for _, n in found], pa.list_(pa.int32())), batch.column("target").cast(pa.int64())], names=["words", "times", "target"])
+
+    rows = sample.mapInArrow(run, "words array<string>, times array<int>, target long").toArrow().combine_chunks()
+    y = np.array([int(x > 0) for x in rows["target"].to_pylist()], np.int64)
+    lists = rows["words"].combine_chunks() if len(y) else None
+    sizes = np.array([len(x) for x in rows["times"].to_pylist()], np.int64)
+    if len(set(y.tolist())) < 2 or not sizes.sum():
         rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
-        return Model(np.zeros(BUCKETS), float(np.log(rate / (1 - rate))))
-    return train(texts, y)
+        return Model(np.zeros(BUCKETS), math.log(rate / (1 - rate)))
+    coded = lists.flatten().dictionary_encode()
+    words, ids = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    times = rows["times"].combine_chunks().flatten().to_numpy().astype(np.float64)
+    # texts and words in an order of their own, so that the model is the same for any order of rows
+    rank = np.argsort(np.argsort(np.array(words, object)))
+    starts = np.cumsum(sizes) - sizes
+    marks = np.array([zlib.crc32(rank[ids[s : s + n]].astype("<i8").tobytes() + times[s : s + n].tobytes()) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
+    order = np.lexsort((y, sizes, marks))
+    take = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in order])
+    return train(sorted(words), rank[ids[take]], times[take], sizes[order], y[order])
 
 
 _stores: dict[int, tuple] = {}
@@ -124,10 +138,23 @@ def store_of(model: Model) -> WordStore:
     return _stores[0][1]
 
 
+def highest(each: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each text, a stretch of ``each`` with the given size, its highest mean over STRETCH words."""
+    total = np.concatenate(([0.0], np.cumsum(each)))
+    ends = np.cumsum(sizes)
+    out = (total[ends] - total[ends - sizes]) / np.maximum(1, sizes)
+    for i in np.flatnonzero(sizes > STRETCH).tolist():
+        last = ends[i] - STRETCH
+        at = np.append(np.arange(ends[i] - sizes[i], last, STRETCH // 2), last)
+        out[i] = (total[at + STRETCH] - total[at]).max() / STRETCH
+    return out
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """Add ``column``, the probability of class 1, to each row; every column is kept.
 
-    Only the text is read, all of it. Null and empty texts and texts without words have the score of the bias alone. If
+    Only the text is read, all of it: texts of up to STRETCH words as one mean, longer ones as the highest of the means
+    over stretches of that length, the last of them at the end. Null and empty texts and texts without words have the score of the bias alone. If
     the labels hold one class only, or none, the score is constant. Repeated rows and null ids give rows of their own;
     an input column named ``column`` is replaced.
     """
@@ -143,8 +170,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
         for batch in common.slices(batches, 64):
             found = [words_of(t) for t in batch.column(at).to_pylist()]
             sizes = [len(x) for x in found]
-            total = by_text(store.find([w for x in found for w in x]), sizes)[:, 0]
-            z = total / np.maximum(1, sizes) + m.bias
+            each = store.find([w for x in found for w in x])[:, 0]
+            z = highest(each, np.array(sizes, np.int64)) + m.bias
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*names, column])
 
     return docs.select(*[docs[n] for n in names]).mapInArrow(run, schema)
