@@ -1,14 +1,16 @@
 """Token counts without token ids: pieces are counted once for each distinct pre-token of the corpus.
 
 A pre-token is a stretch of text that no merge can cross: a run of blanks with the letters that follow, or a single
-character that the vocabulary has in no longer piece. Documents are turned into (pre-token, documents and frequencies)
-rows, the distinct pre-tokens are counted by the library, the two are joined, and frequencies times pieces are summed
-for each document.
+character that the vocabulary has in no longer piece. Batches of documents are turned into pre-tokens with frequencies
+by document, dealt into buckets by pre-token. There each distinct pre-token is counted by the library when first met,
+joined to its frequencies in all batches, and frequencies times pieces are summed for each document.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +18,12 @@ import pyarrow as pa
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from veritally.llm import common
 
 BATCH_DOCS, BATCH_CHARS = 4096, 16_000_000  #: a batch of documents ends at either; a place in it takes 12 bits
 HELD = 256  #: batches whose sums a task holds before it hands them on
+KNOWN = 1_000_000  #: pre-tokens whose pieces a task remembers; a bucket with more has some counted again
 
 
 class Pieces:
@@ -56,43 +58,49 @@ def pieces(model: bytes) -> Pieces:
     return _loaded[model]
 
 
-def _binary(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """A binary value for each stretch of ``values`` from one start to the next."""
-    offsets = (np.append(starts, len(values)) * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+def _packed(tokens: list[bytes], posts: list[np.ndarray]) -> tuple[bytes, bytes, bytes, bytes]:
+    """Lengths and bytes of tokens; numbers of posts and posts."""
+    return np.array([len(x) for x in tokens], "<u4").tobytes(), b"".join(tokens), np.array([len(x) for x in posts], "<u4").tobytes(), b"".join(x.tobytes() for x in posts)
 
 
-def postings(docs: DataFrame, model, id_col: str, text: str) -> DataFrame:
-    """Rows of a batch's documents (ids, bytes), and of its pre-tokens (token, posts).
+SCHEMA = "batch long, bucket int, lengths binary, tokens binary, times binary, posts binary, ids array<{}>, sizes array<long>"
 
-    A post is 16 bits: the document's place in the batch, and a frequency up to 15; higher ones take several posts.
+
+def postings(docs: DataFrame, model, buckets: int, id_col: str, text: str) -> DataFrame:
+    """Of each batch of documents a row with ids and sizes, and a row for each bucket of its pre-tokens.
+
+    A pre-token's bucket is a hash of it; of one that an eighth of the batch has, a hash of it and the batch, so that no
+    bucket takes all there is of a frequent word. A post is 16 bits: the document's place in the batch, and a frequency
+    up to 15; higher ones take several posts.
     """
-    kind = docs.select(id_col).schema[0].dataType
-    ids_type = kind.simpleString()
-
-    def emit(batch_id: int, ids: pa.ChunkedArray, sizes: list[int], codes: list[np.ndarray], seen: dict[str, int]) -> Iterator[pa.RecordBatch]:
-        n = len(seen)
-        flat = ids.combine_chunks()
-        one = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([batch_id], pa.int64()), pa.array([None], pa.binary()), one, pa.array([sizes], pa.list_(pa.int64()))], names=["token", "batch", "posts", "ids", "sizes"])
-        if not n:
-            return
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+
+    def emit(batch_id: int, ids: list[pa.Array], sizes: list[int], codes: list[np.ndarray], seen: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        flat = pa.concat_arrays(ids)
+        own = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
+        names = ["batch", "bucket", "lengths", "tokens", "times", "posts", "ids", "sizes"]
+        one = lambda x: pa.array([x], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([batch_id]), pa.array([zlib.crc32(str(batch_id).encode()) % buckets], pa.int32()), *[one(None)] * 4, own, pa.array([sizes], pa.list_(pa.int64()))], names=names)
         at = np.repeat(np.arange(len(codes), dtype=np.int64), [len(c) for c in codes])
         keys, freq = np.unique(np.concatenate(codes).astype(np.int64) << 12 | at, return_counts=True)
         times = -(-freq // 15)
         keys, full = np.repeat(keys, times), np.repeat(freq, times)
         nth = np.arange(len(keys)) - np.repeat(np.cumsum(times) - times, times)
         posts = ((keys & 4095) | np.minimum(15, full - 15 * nth) << 12).astype("<u2")
-        starts = np.searchsorted(keys >> 12, np.arange(n))
-        tokens = pa.array(list(seen), pa.string())
-        blobs = _binary(posts, starts)
-        for i in range(0, n, 50_000):
-            k = min(50_000, n - i)
-            yield pa.RecordBatch.from_arrays([tokens.slice(i, k), pa.array(np.full(k, batch_id)), blobs.slice(i, k), pa.nulls(k, one.type), pa.nulls(k, pa.list_(pa.int64()))], names=["token", "batch", "posts", "ids", "sizes"])
+        cuts = np.searchsorted(keys >> 12, np.arange(len(seen) + 1))
+        many = np.diff(cuts) > max(64, len(codes) // 8)
+        raw = [w.encode() for w in seen]
+        salt = batch_id & 0xFFFFFFFF ^ batch_id >> 32
+        bucket = np.array([zlib.crc32(w, salt if m else 0) % buckets for w, m in zip(raw, many.tolist(), strict=True)], np.int64)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for k in np.unique(bucket).tolist():
+            part = order[ends[k] : ends[k + 1]]
+            spans = [posts[cuts[i] : cuts[i + 1]] for i in part.tolist()]
+            blobs = _packed([raw[i] for i in part.tolist()], spans)
+            yield pa.RecordBatch.from_arrays([pa.array([batch_id]), pa.array([k], pa.int32()), *map(one, blobs), pa.nulls(1, own.type), pa.nulls(1, pa.list_(pa.int64()))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import defaultdict
-
         words, nth, base = pieces(model.value).words, 0, TaskContext.get().partitionId() << 32
         ids, sizes, codes, chars, seen = [], [], [], 0, defaultdict()
         seen.default_factory = seen.__len__
@@ -104,63 +112,73 @@ def postings(docs: DataFrame, model, id_col: str, text: str) -> DataFrame:
                 codes.append(np.array([seen[w] for w in words(t)], np.int32))
                 chars += len(t)
                 if len(ids) == BATCH_DOCS or chars >= BATCH_CHARS:
-                    yield from emit(base + nth, pa.chunked_array(ids), sizes, codes, seen)
+                    yield from emit(base + nth, ids, sizes, codes, seen)
                     nth += 1
                     ids, sizes, codes, chars = [], [], [], 0
                     seen.clear()
         if ids:
-            yield from emit(base + nth, pa.chunked_array(ids), sizes, codes, seen)
+            yield from emit(base + nth, ids, sizes, codes, seen)
 
-    return docs.select(id_col, text).mapInArrow(run, f"token string, batch long, posts binary, ids array<{ids_type}>, sizes array<long>")
+    return docs.select(id_col, text).mapInArrow(run, SCHEMA.format(kind))
 
 
-def count_pieces(tokens: DataFrame, model) -> DataFrame:
-    """token, pieces: of each distinct token."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(model.value)
-        for batch in common.slices(batches, 4096):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.count(batch.column(0).to_pylist()), pa.int64())], names=["token", "pieces"])
-
-    return tokens.mapInArrow(run, "token string, pieces long")
+def sums(posts: DataFrame, model) -> DataFrame:
+    """Join pre-tokens to their numbers of pieces, and sum pieces times frequency for each document of a batch.
 
+    All rows of a bucket meet in one task; it has the library count a pre-token when it first meets it. Rows with
+    documents' ids pass through.
+    """
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch of documents, pieces times frequency by place, for the rows of one task."""
-    held: dict[int, np.ndarray] = {}
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["batch", "sums"])
-
-    for part in batches:
-        of, n = part.column(0).to_numpy(), part.column(2).to_numpy()
-        for b, blob, k in zip(of.tolist(), part.column(1).to_pylist(), n.tolist(), strict=True):
-            if (v := held.get(b)) is None:
-                if len(held) == HELD:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, known, held = pieces(model.value), {}, {}
+        kind = None
+
+        def out() -> pa.RecordBatch:
+            n = len(held)
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([v.tobytes() for v in held.values()], pa.binary()), pa.nulls(n, kind[0]), pa.nulls(n, kind[1])], names=["batch", "sums", "ids", "sizes"])
+
+        for part in batches:
+            kind = part.schema.field("ids").type, part.schema.field("sizes").type
+            own = part.filter(part.column("ids").is_valid())
+            if own.num_rows:
+                yield pa.RecordBatch.from_arrays([own.column("batch"), pa.nulls(own.num_rows, pa.binary()), own.column("ids"), own.column("sizes")], names=["batch", "sums", "ids", "sizes"])
+            for r in part.select(["batch", "lengths", "tokens", "times", "posts"]).to_pylist():
+                if r["tokens"] is None:
+                    continue
+                lengths = np.frombuffer(r["lengths"], "<u4")
+                offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+                tokens = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(r["tokens"])).to_pylist()
+                if new := list(set(tokens).difference(known)):
+                    if len(known) > KNOWN:
+                        known.clear()
+                        new = list(set(tokens))
+                    known.update(zip(new, p.count(new), strict=True))
+                n = np.repeat(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)), np.frombuffer(r["times"], "<u4"))
+                posts = np.frombuffer(r["posts"], "<u2")
+                if r["batch"] not in held and len(held) == HELD:
                     yield out()
                     held.clear()
-                v = held[b] = np.zeros(BATCH_DOCS, "<i4")
-            posts = np.frombuffer(blob, "<u2")
-            np.add.at(v, posts & 4095, (posts >> 12).astype(np.int32) * k)
-    if held:
-        yield out()
+                total = np.bincount(posts & 4095, (posts >> 12) * n, BATCH_DOCS).astype("<i4")
+                held[r["batch"]] = held[r["batch"]] + total if r["batch"] in held else total
+        if held:
+            yield out()
+
+    ids = posts.schema["ids"].dataType.simpleString()
+    return posts.mapInArrow(run, f"batch long, sums binary, ids {ids}, sizes array<long>")
 
 
 def token_counts(docs: DataFrame, limit: int = 4096, id_col: str = "doc_id", text: str = "text", vocabulary: str = f"{common.TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of each whole text.
 
     Null texts count as empty: no bytes, no tokens. Each input row gives one row, also when rows or ids repeat or the
-    id is null; other columns are not carried on. Neither ids of tokens nor lists of documents are gathered for any
-    word: a frequent word has one row for each batch of documents, and Spark can split them in the join.
+    id is null; other columns are not carried on. No ids of tokens are made. A frequent word is spread over buckets by
+    batch, so its documents are never gathered in one place; it is counted once in each task that has a share of it.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(common.read_bytes(vocabulary))
-    posts = common.staged(postings(docs, model, id_col, text), "postings")
-    words = posts.where(F.col("token").isNotNull())
-    counted = count_pieces(words.select("token").distinct(), model)
-    sums = words.select("token", "batch", "posts").join(counted.hint("merge"), "token").select("batch", "posts", "pieces").mapInArrow(_sums, "batch long, sums binary")
-    ids_type = posts.schema["ids"].dataType.simpleString()
-    both = sums.select("batch", "sums", F.lit(None).cast(ids_type).alias("ids"), F.lit(None).cast("array<long>").alias("sizes")).unionByName(posts.where(F.col("token").isNull()).select("batch", F.lit(None).cast("binary").alias("sums"), "ids", "sizes"))
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # the more tasks, the more buckets
+    posts = common.staged(postings(docs, model, buckets, id_col, text), "postings")
+    both = sums(posts.repartition("bucket"), model)
 
     def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, own = np.zeros(BATCH_DOCS, np.int64), None
