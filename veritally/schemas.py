@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Enumerations, display categories, adjective bands and id patterns of the evidence model.
 SOURCE_TYPES = [
@@ -41,23 +40,20 @@ def category_of(source_type: Column) -> Column:
     return out.otherwise("Other")
 
 
-def struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-FILES = struct(
+# Schemas as DDL, so that they can be named before there is a session.
+FILES = (
     "file_id string not null, source_type string not null, company string not null, lifecycle string not null, segment string not null, quality string not null, "
     "summary string not null, excluded boolean, exclusion_reason string, interaction_count int, interaction_type string, interaction_note string"
 )
-QUESTIONS = struct("question_id string not null, text string not null")
-SEGMENTS = struct("id string not null, label string not null, description string not null")
-SEGMENT_ASSIGNMENTS = struct("file_id string not null, segment_id string not null")
-SOURCES = struct("file_id string not null, text string not null")
+QUESTIONS = ("question_id string not null, text string not null")
+SEGMENTS = ("id string not null, label string not null, description string not null")
+SEGMENT_ASSIGNMENTS = ("file_id string not null, segment_id string not null")
+SOURCES = ("file_id string not null, text string not null")
 MENTION = "mention_id:string,question_id:string,mention:string,quote:string,quote_attribution:string,sentiment:string,notable_quote:boolean"
-MENTION_RECORDS = struct(f"file_id string not null, mentions array<struct<{MENTION}>>")
-THEMES = struct("question_id string, theme_id string, label string, description string, type string, `include` string, `exclude` string, example_mention string")
-ASSIGNMENTS = struct("question_id string, mention_id string, theme_id string")
-VERDICTS = struct("mention_id string, fingerprint string, verdict string, reason string, round int, line long")
-DEVIATIONS = struct("timestamp string, phase string, step string, category string, description string, resolution string, source_id string, question_id string, details string")
-LEDGER_EVENTS = struct("event string, key string, attempt int, at double")
-ISSUES = struct("entity_key string, check_name string, severity string, message string")
+MENTION_RECORDS = (f"file_id string not null, mentions array<struct<{MENTION}>>")
+THEMES = ("question_id string, theme_id string, label string, description string, type string, `include` string, `exclude` string, example_mention string")
+ASSIGNMENTS = ("question_id string, mention_id string, theme_id string")
+VERDICTS = ("mention_id string, fingerprint string, verdict string, reason string, round int, line long")
+DEVIATIONS = ("timestamp string, phase string, step string, category string, description string, resolution string, source_id string, question_id string, details string")
+LEDGER_EVENTS = ("event string, key string, attempt int, at double")
+ISSUES = ("entity_key string, check_name string, severity string, message string")

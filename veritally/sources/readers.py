@@ -8,25 +8,24 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def json_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.json(path, schema=schema, multiLine=True, mode="FAILFAST")
 
 
-def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a line; blank lines don't count, a malformed one is an error."""
     return spark.read.json(path, schema=schema, mode="FAILFAST")
 
 
-def json_lines_tolerant(spark: SparkSession, path: str, schema: T.StructType, category: str | None = None) -> DataFrame:
+def json_lines_tolerant(spark: SparkSession, path: str, schema: str, category: str | None = None) -> DataFrame:
     """As json_lines, but malformed lines are passed over."""
     rows = spark.read.json(path, schema=schema, mode="DROPMALFORMED")
     return rows if category is None else rows.where(F.col("category") == category)
 
 
-def json_per_question(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
+def json_per_question(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     """Files of a glob, one for each question; the id comes from the content, else from the file's name."""
     rows = spark.read.json(pattern, schema=schema, multiLine=True, mode="FAILFAST")
     named = F.regexp_extract(F.col("_metadata.file_name"), r"(Q\d+)", 1)
@@ -81,7 +80,7 @@ def write_once(path: Path, value: bytes) -> None:
     write_whole(path, value)
 
 
-def landing(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def landing(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Submissions as they came: path, sha256 of the bytes, and the parsed value, null where it isn't valid JSON."""
     raw = spark.read.format("binaryFile").load(path)
     text = F.decode("content", "UTF-8")
