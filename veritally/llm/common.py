@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +49,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[str, tuple] = {}
+
+
+def kept(name: str, key, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives for ``key``, kept in this process until another is asked for.
+
+    Workers live on from stage to stage; they hold one such object at a time, and hand its memory back with it.
+    """
+    at = _kept.get("it")
+    if at is None or at[0] != name or not (at[1] is key or at[1] == key):
+        _kept.clear()
+        at = None
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can do so
+            ctypes.CDLL(None).malloc_trim(0)
+        at = _kept["it"] = (name, key, make())
+    return at[2]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Parts of at most ``rows`` rows, so that few texts are Python objects at a time."""
     for batch in batches:

@@ -143,25 +143,20 @@ def fit(docs: DataFrame, held: int = 2, folds: int = 4, bound: int = 2000, types
     return train([tuple(r) for r in rows], vocabulary(common.read_bytes(pieces_file)))
 
 
-_scorers: dict[int, tuple] = {}
-
-
 def scorer(model: Model) -> WordStore:
     """Of words, the log probability in each language."""
-    if _scorers.get(0, (None,))[0] is not model:
-        index, scaled = {x: i for i, x in enumerate(model.pieces)}, model.scaled()
+    index, scaled = {x: i for i, x in enumerate(model.pieces)}, model.scaled()
 
-        def compute(words: list[str]) -> np.ndarray:
-            out = np.zeros((len(words), len(model.languages)))
-            for i in range(0, len(words), 2000):
-                lattice = Lattice(words[i : i + 2000], index)
-                ends = lattice.first + lattice.lengths
-                for k, p in enumerate(scaled):
-                    out[i : i + 2000, k] = np.log(np.maximum(lattice.forward(p)[ends], 1e-300)) - SCALE * lattice.lengths
-            return out
+    def compute(words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), len(model.languages)))
+        for i in range(0, len(words), 2000):
+            lattice = Lattice(words[i : i + 2000], index)
+            ends = lattice.first + lattice.lengths
+            for k, p in enumerate(scaled):
+                out[i : i + 2000, k] = np.log(np.maximum(lattice.forward(p)[ends], 1e-300)) - SCALE * lattice.lengths
+        return out
 
-        _scorers[0] = (model, WordStore(compute, len(model.languages)))
-    return _scorers[0][1]
+    return WordStore(compute, len(model.languages))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -178,7 +173,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        store = scorer(m) if m.languages else None
+        store = common.kept("langid", m, lambda: scorer(m)) if m.languages else None
         for batch in common.slices(batches, 64):
             found = [words_of(t) for t in batch.column(len(names)).to_pylist()]
             sizes = [len(x) for x in found]

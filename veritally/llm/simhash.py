@@ -48,6 +48,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text:
     source = docs.select(id_col, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.kept("simhash", None, lambda: None)  # memory that other operators hold in this worker
         for batch in common.slices(batches):
             fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
