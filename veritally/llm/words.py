@@ -10,7 +10,7 @@ import numpy as np
 class WordStore:
     """Rows of a matrix by word; words that it lacks are computed many at a time. Emptied when it is full."""
 
-    def __init__(self, compute: Callable[[list[str]], np.ndarray], width: int, words: int = 200_000, chars: int = 8_000_000):
+    def __init__(self, compute: Callable[[list[str]], np.ndarray], width: int, words: int = 600_000, chars: int = 20_000_000):
         self.compute, self.width, self.most, self.most_chars = compute, width, words, chars
         self.clear()
 
