@@ -22,7 +22,7 @@ from veritally.llm.words import WordStore
 
 HASHED, RANK = 1 << 15, 8
 MARKS = (b"!", b"?", b"|", b".", b",", b"#$%&*@^~_=+<>/\\", b"\n", b"\"'()[]{}", b":;-")  #: groups of signs, counted by share
-STATS = 10 + len(MARKS)
+STATS = 12 + len(MARKS)
 
 
 def _groups() -> np.ndarray:
@@ -51,13 +51,16 @@ def features(texts: list[str | None], n_chars: list[int | None], store: WordStor
     stats = np.zeros((len(texts), STATS))
     most = np.zeros(len(texts))
     np.maximum.at(most, of, times)
+    kinds = np.bincount(of, minlength=len(texts))
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    again = np.bincount(owner[1:][(flat[1:] == flat[:-1]) & (owner[1:] == owner[:-1])], minlength=len(texts))
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         n, k = max(1, len(raw)), max(1, int(sizes[i]))
         stats[i, : GROUPS.shape[1]] = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ GROUPS / n
         lines = (t or "").split("\n")
         stated = n_chars[i] if n_chars[i] is not None and n_chars[i] >= 0 else len(t or "")
-        stats[i, GROUPS.shape[1] :] = (n / k, len(set(lines)) / len(lines), most[i] / k, math.log1p(sizes[i]), math.log1p(stated), math.log1p(stated) - math.log1p(len(t or "")))
+        stats[i, GROUPS.shape[1] :] = (n / k, len(set(lines)) / len(lines), most[i] / k, kinds[i] / k, again[i] / k, math.log1p(sizes[i]), math.log1p(stated), math.log1p(stated) - math.log1p(len(t or "")))
     return of, bucket, value, stats
 
 
@@ -84,7 +87,7 @@ class Model:
         return self.w0 + np.add.reduceat(self.w[cols] * x, starts) + 0.5 * (total * total - squares).sum(axis=1)
 
 
-def train(texts: list[tuple[np.ndarray, np.ndarray]], stats: np.ndarray, y: np.ndarray, epochs: int = 15, rate: float = 0.05, decay: float = 1e-5, batch: int = 64, seed: int = 5) -> Model:
+def train(texts: list[tuple[np.ndarray, np.ndarray]], stats: np.ndarray, y: np.ndarray, epochs: int = 30, rate: float = 0.05, decay: float = 1e-5, batch: int = 64, seed: int = 5) -> Model:
     """Adagrad on the log loss; texts: (buckets, values)."""
     rng = np.random.default_rng(seed)
     size = HASHED + STATS
@@ -116,12 +119,12 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], stats: np.ndarray, y: np.n
 
 def _with_size(docs: DataFrame) -> DataFrame:
     size = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
-    return docs.withColumn("_stated", size)
+    return docs.withColumn("__stated_chars", size)
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", held: int = 0, folds: int = 5, bound: int = 4000) -> Model:
     """Learn from at most ``bound`` labelled documents outside the fold ``held``; features are taken where texts are."""
-    keep = _with_size(docs).where(F.col("text").isNotNull()).select("doc_id", F.struct("text", F.col("_stated").alias("n")).alias("text"))
+    keep = _with_size(docs).where(F.col("text").isNotNull()).select("doc_id", F.struct("text", F.col("__stated_chars").alias("n")).alias("text"))
     sample = common.labelled_sample(keep, labels, target, folds, held, bound).select("text.text", "text.n", "target")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,10 +160,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, store = shipped.value, WordStore(_bucket, 1)
+        m, store = shipped.value, common.kept("quality", "words", lambda: WordStore(_bucket, 1))
         for batch in common.slices(batches, 64):
             got = m.inputs(*features(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), store))
             z = m.logits(*got, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*names, column])
 
-    return _with_size(docs).select(*names, "_stated").mapInArrow(run, schema)
+    return _with_size(docs).select(*names, "__stated_chars").mapInArrow(run, schema)
