@@ -26,6 +26,7 @@ BUCKETS, DIM = 1 << 16, 8
 WORD = re.compile(r"\w+")
 LETTERS = 40  #: a longer word has no bucket of its own, only those of its n-grams
 GAIN = 100.0  #: by which means are multiplied before the softmax; it sets the pace of training, not what can be learned
+CALM = 10  #: words without any meaning that each text is taken to have besides its own, so that one odd word doesn't settle a short text
 STRETCH = 256  #: words of the stretches that a longer text is scored by; they overlap by half
 
 
@@ -60,7 +61,7 @@ def train(words: list[str], ids: np.ndarray, times: np.ndarray, sizes: np.ndarra
     b = np.zeros(2, np.float32)
     seen_g, seen_w, seen_b = np.full_like(g, 1e-6), np.full_like(w, 1e-2), np.full_like(b, 1e-2)
     of = np.repeat(np.arange(len(sizes)), sizes)
-    share = GAIN * times / np.bincount(of, times, len(sizes))[of]
+    share = GAIN * times / (CALM + np.bincount(of, times, len(sizes))[of])
     often = np.bincount(ids, minlength=len(words)) >= least
     keep = often[ids]
     ids, share, of = ids[keep], share[keep], of[keep]
@@ -129,24 +130,19 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", held: int = 0
     return train(sorted(words), rank[ids[take]], times[take], sizes[order], y[order])
 
 
-_stores: dict[int, tuple] = {}
-
-
 def store_of(model: Model) -> WordStore:
-    if _stores.get(0, (None,))[0] is not model:
-        _stores[0] = (model, WordStore(lambda words: np.array([[np.mean(model.weight[buckets_of(w)])] for w in words]), 1))
-    return _stores[0][1]
+    return WordStore(lambda words: np.array([[np.mean(model.weight[buckets_of(w)])] for w in words]), 1)
 
 
 def highest(each: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Of each text, a stretch of ``each`` with the given size, its highest mean over STRETCH words."""
     total = np.concatenate(([0.0], np.cumsum(each)))
     ends = np.cumsum(sizes)
-    out = (total[ends] - total[ends - sizes]) / np.maximum(1, sizes)
+    out = (total[ends] - total[ends - sizes]) / (CALM + sizes)
     for i in np.flatnonzero(sizes > STRETCH).tolist():
         last = ends[i] - STRETCH
         at = np.append(np.arange(ends[i] - sizes[i], last, STRETCH // 2), last)
-        out[i] = (total[at + STRETCH] - total[at]).max() / STRETCH
+        out[i] = (total[at + STRETCH] - total[at]).max() / (CALM + STRETCH)
     return out
 
 
@@ -166,7 +162,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        store = store_of(m)
+        store = common.kept("toxicity", m, lambda: store_of(m))
         for batch in common.slices(batches, 64):
             found = [words_of(t) for t in batch.column(at).to_pylist()]
             sizes = [len(x) for x in found]
