@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veritally.functions import prose
 from veritally.functions import text as fx
-from veritally.operators import audit, checks, counting, grounding, ledger, rendering, selection, semantic
+from veritally.operators import audit, checks, counting, grounding, ledger, rendering, reporting, selection, semantic
 from veritally.schemas import category_of
 from veritally.semantics import n_words, normalized
 from veritally.sources import adapters as src
@@ -584,6 +584,47 @@ def claim_annotations(spark, sf_dir):
     return counting.claim_annotations(_claims(t), t.mentions).select("claim_id", "mentions", "source_files", F.array_join("shown_ids", ",").alias("shown"))
 
 
+@query("""#c as (select question_id || '_c' || (doc_id % 50) as claim_id, mention_id, file_id from mentions)
+select claim_id, array_to_string(list_sort(list(distinct file_id)), ',') as files from c group by 1""")
+def claim_sources(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return reporting.claim_sources(_claims(t), t.mentions).select("claim_id", F.array_join("source_file_ids", ",").alias("files"))
+
+
+@query("""
+select mention_id, question_id || '_c' || (doc_id % 50) as claim_id from mentions where notable_quote and doc_id % 5 = 0""")
+def claim_bindings(spark, sf_dir):
+    """Displayed quotes and the claims that cite them."""
+    t = Tables(spark, sf_dir)
+    return reporting.bindings(t.mentions.where("notable_quote and doc_id % 5 = 0"), _claims(t))
+
+
+@query(f"""#{TOTALS}, c as (select question_id, question_id || '_c' || (doc_id % 50) as claim_id, mention_id, file_id from mentions),
+s as (select claim_id, question_id, count(distinct mention_id) as mentions, count(distinct file_id) as source_files from c group by all)
+select claim_id, s.question_id, mentions, source_files, total_mentions, {pct("mentions", "total_mentions")} as percentage from s join totals t on s.question_id = t.question_id""")
+def claim_statistics(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return reporting.claim_statistics(_claims(t), t.mentions, counting.question_totals(t.mentions, t.assignments, t.files)).drop("stat_ref")
+
+
+@query()
+def unverified_numbers(spark, sf_dir):
+    """Numbers that quotes state and no statistic of their question has."""
+    t = Tables(spark, sf_dir)
+    method = counting.methodology(t.files)
+    known = reporting.number_registry(t.counts(), counting.inventory_stats(t.mentions, t.assignments), t.mentions.limit(0), method)
+    fields = t.mentions.select(F.col("mention_id").alias("path"), F.col("quote").alias("text"), "question_id")
+    return grounding.unverified_numbers(reporting.stated_numbers(fields), known)
+
+
+@query()
+def unsupported_quantities(spark, sf_dir):
+    """Quantities that quotes state, against the statistics of their question."""
+    t = Tables(spark, sf_dir)
+    claims = t.mentions.select(F.col("mention_id").alias("claim_id"), "question_id", F.col("quote").alias("text"))
+    return reporting.quantity_issues(claims, counting.inventory_stats(t.mentions, t.assignments))
+
+
 @query("""
 select mention_id, sha256('["' || file_id || '","' || mention_id || '","' || mention || '","' || replace(replace(quote, '\\', '\\\\'), '"', '\\"') || '"]') as fingerprint from mentions""")
 def mention_fingerprints(spark, sf_dir):
