@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -49,18 +50,14 @@ class Pieces:
         return [len(x) - self.lead for x in self.sp.encode(["\n" + w for w in words], num_threads=1)]
 
 
-_loaded: dict[bytes, Pieces] = {}
-
-
 def pieces(model: bytes) -> Pieces:
-    if model not in _loaded:
-        _loaded[model] = Pieces(model)
-    return _loaded[model]
+    return common.kept("pieces", model, lambda: Pieces(model))
 
 
 def _packed(tokens: list[bytes], posts: list[np.ndarray]) -> tuple[bytes, bytes, bytes, bytes]:
-    """Lengths and bytes of tokens; numbers of posts and posts."""
-    return np.array([len(x) for x in tokens], "<u4").tobytes(), b"".join(tokens), np.array([len(x) for x in posts], "<u4").tobytes(), b"".join(x.tobytes() for x in posts)
+    """Lengths and bytes of tokens; numbers of posts and posts; all compressed."""
+    parts = np.array([len(x) for x in tokens], "<u4").tobytes(), b"".join(tokens), np.array([len(x) for x in posts], "<u4").tobytes(), b"".join(x.tobytes() for x in posts)
+    return tuple(map(zstandard.ZstdCompressor(level=3).compress, parts))
 
 
 SCHEMA = "batch long, bucket int, lengths binary, tokens binary, times binary, posts binary, ids array<{}>, sizes array<long>"
@@ -131,7 +128,7 @@ def sums(posts: DataFrame, model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, known, held = pieces(model.value), {}, {}
-        kind = None
+        kind, unpack = None, zstandard.ZstdDecompressor().decompress
 
         def out() -> pa.RecordBatch:
             n = len(held)
@@ -145,16 +142,17 @@ def sums(posts: DataFrame, model) -> DataFrame:
             for r in part.select(["batch", "lengths", "tokens", "times", "posts"]).to_pylist():
                 if r["tokens"] is None:
                     continue
-                lengths = np.frombuffer(r["lengths"], "<u4")
+                raw = {c: unpack(r[c]) for c in ("lengths", "tokens", "times", "posts")}
+                lengths = np.frombuffer(raw["lengths"], "<u4")
                 offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-                tokens = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(r["tokens"])).to_pylist()
+                tokens = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(raw["tokens"])).to_pylist()
                 if new := list(set(tokens).difference(known)):
                     if len(known) > KNOWN:
                         known.clear()
                         new = list(set(tokens))
                     known.update(zip(new, p.count(new), strict=True))
-                n = np.repeat(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)), np.frombuffer(r["times"], "<u4"))
-                posts = np.frombuffer(r["posts"], "<u2")
+                n = np.repeat(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)), np.frombuffer(raw["times"], "<u4"))
+                posts = np.frombuffer(raw["posts"], "<u2")
                 if r["batch"] not in held and len(held) == HELD:
                     yield out()
                     held.clear()
