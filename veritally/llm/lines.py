@@ -3,9 +3,10 @@
 A document is its sequence of non-blank lines, each hashed in lower case with blanks collapsed. A window is the shortest
 stretch of lines from a given line on that has ``run_words`` words or more; its smallest hash (the last of equals) is a
 fingerprint. Two documents that share a run of lines with that many words share a whole window of it, hence a
-fingerprint. Positions with a fingerprint in common are joined to the first of them, and to the first that has the same
-neighbouring line before or after as well, never to one another. Each joined pair is extended line by line both ways to
-its maximal run; if the run has ``run_words`` words, its later occurrence goes.
+fingerprint. Positions with a fingerprint in common are joined to the first of them, to the first whose whole window is
+the same, and to the first that has the same neighbouring line before or after, never to one another. Each joined pair
+is extended line by line both ways to its maximal run; if the run has ``run_words`` words, its later occurrence goes. So
+each window that stands somewhere earlier goes as a whole.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from veritally.llm import common
 RUN_WORDS = 10
 
 
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
 def sequence(text: str | None) -> tuple[list[int], list[int], list[int]]:
     """Place, hash (signed) and number of words of each line that isn't blank."""
     place, hashes, words = [], [], []
@@ -31,14 +36,14 @@ def sequence(text: str | None) -> tuple[list[int], list[int], list[int]]:
         if w:
             place.append(i)
             h = xxhash.xxh64_intdigest(" ".join(w).encode())
-            hashes.append(h - (1 << 64) if h >> 63 else h)
+            hashes.append(signed(h))
             words.append(len(w))
     return place, hashes, words
 
 
-def winnow(hashes: list[int], words: list[int], run_words: int = RUN_WORDS) -> list[int]:
-    """Positions in the sequence of the minima of all windows."""
-    chosen, end, total, last = [], 0, 0, -1
+def winnow(hashes: list[int], words: list[int], run_words: int = RUN_WORDS) -> list[tuple[int, int]]:
+    """Of each window the position of its minimum, and a hash of the window; of one line, that line's hash."""
+    out, end, total = [], 0, 0
     for start in range(len(hashes)):
         while total < run_words and end < len(hashes):
             total += words[end]
@@ -46,14 +51,12 @@ def winnow(hashes: list[int], words: list[int], run_words: int = RUN_WORDS) -> l
         if total < run_words:
             break
         if end - start == 1:
-            best = start
+            out.append((start, hashes[start]))
         else:
-            best = min(range(start, end), key=lambda i: (hashes[i], -i))
-        if best != last:
-            chosen.append(best)
-            last = best
+            part = np.array(hashes[start:end], "<i8")
+            out.append((end - 1 - int(part[::-1].argmin()), signed(xxhash.xxh64_intdigest(part.tobytes()))))
         total -= words[start]
-    return sorted(set(chosen))
+    return out
 
 
 def extend(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
@@ -75,17 +78,20 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "do
     source = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.kept("lines", None, lambda: None)  # memory that other operators hold in this worker
         for batch in common.slices(batches):
-            places, hashes, words, prints = [], [], [], []
+            places, hashes, words, prints, windows = [], [], [], [], []
             for t in batch.column(2).to_pylist():
                 p, h, w = sequence(t)
                 places.append(np.array(p, "<i4").tobytes())
                 hashes.append(np.array(h, "<i8").tobytes())
                 words.append(np.array(w, "<i4").tobytes())
-                prints.append(winnow(h, w, run_words))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(places, pa.binary()), pa.array(hashes, pa.binary()), pa.array(words, pa.binary()), pa.array(prints, pa.list_(pa.int32()))], names=["doc", "mark", "places", "hashes", "words", "prints"])
+                chosen = winnow(h, w, run_words)
+                prints.append([x for x, _ in chosen])
+                windows.append([x for _, x in chosen])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(places, pa.binary()), pa.array(hashes, pa.binary()), pa.array(words, pa.binary()), pa.array(prints, pa.list_(pa.int32())), pa.array(windows, pa.list_(pa.int64()))], names=["doc", "mark", "places", "hashes", "words", "prints", "windows"])
 
-    seqs = common.staged(source.mapInArrow(run, "doc long, mark long, places binary, hashes binary, words binary, prints array<int>"), "lines")
+    seqs = common.staged(source.mapInArrow(run, "doc long, mark long, places binary, hashes binary, words binary, prints array<int>, windows array<long>"), "lines")
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,15 +107,16 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "do
                     before[at : at + n], own[at : at + n], after[at : at + n] = h[p], h[p + 1], h[p + 2]
                     at += n
             take = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pos, pa.int32()), pa.array(before), pa.array(own), pa.array(after)], names=["doc", "mark", "pos", "before", "own", "after"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pos, pa.int32()), pa.array(before), pa.array(own), pa.array(after), batch.column(4).flatten()], names=["doc", "mark", "pos", "before", "own", "after", "window"])
 
-    prints = seqs.select("doc", "mark", "hashes", "prints")
+    prints = seqs.select("doc", "mark", "hashes", "prints", "windows")
     at = F.struct("doc", "mark", "pos")
-    found = prints.mapInArrow(points, "doc long, mark long, pos int, before long, own long, after long")
+    found = prints.mapInArrow(points, "doc long, mark long, pos int, before long, own long, after long, window long")
     many = found.groupBy("own").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("own", "first")
     found = common.staged(found.join(many, "own"), "prints")
-    # the first position with the same fingerprint, and the first with a neighbouring line in common as well
-    sides = found.select("doc", "mark", "pos", F.explode(F.array(F.xxhash64(F.lit(1), "own", "after"), F.xxhash64(F.lit(2), "own", "before"))).alias("side"))
+    # the first position with the same fingerprint, and the first with the window or a neighbouring line in common as well
+    beside = [F.xxhash64(F.lit(1), "own", "after"), F.xxhash64(F.lit(2), "own", "before"), F.when(F.col("window") != F.col("own"), F.xxhash64(F.lit(3), "own", "window"))]
+    sides = found.select("doc", "mark", "pos", F.explode(F.array(*beside)).alias("side")).where("side is not null")
     firsts = sides.groupBy("side").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("side", "first")
     near = sides.join(firsts, "side").select("doc", "mark", "pos", "first")
     pairs = found.select("doc", "mark", "pos", "first").unionByName(near).where(at > F.col("first"))
@@ -156,9 +163,10 @@ def dedup(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id", t
     """
     runs = repeated_runs(docs, run_words, id_col, text)
     names = docs.columns
-    base = docs.withColumn("_doc", F.col(id_col).cast("long")).withColumn("_mark", F.xxhash64(text))
-    joined = base.join(runs.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("runs").alias("_runs")), ["_doc", "_mark"], "left")
-    joined = joined.select(*names, "_runs")
+    base = docs.withColumn("__dedup_doc", F.col(id_col).cast("long")).withColumn("__dedup_mark", F.xxhash64(text))
+    found = runs.select(F.col("doc").alias("__dedup_doc"), F.col("mark").alias("__dedup_mark"), F.col("runs").alias("__dedup_runs"))
+    joined = base.join(found.hint("shuffle_hash"), ["__dedup_doc", "__dedup_mark"], "left")  # whole texts needn't be sorted
+    joined = joined.select(*names, "__dedup_runs")
     at = names.index(text)
     size = names.index("n_chars") if "n_chars" in names else None
 
