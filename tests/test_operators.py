@@ -1,6 +1,7 @@
 """Operators on hand-made rows: greedy choices, samples, predicates, checks, ledger and reports."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -141,7 +142,7 @@ def test_quotas(spark, sizes, fraction):
 def test_fixed_audit_sample(spark):
     rng = random.Random(5)
     rows = [(f"f{i % 11}_Q{q}_{i}", f"f{i % 11}", f"Q{q}", f"t{i % 11 % 4}") for i in range(70) for q in [rng.randrange(1, 5)]]
-    tie = lambda kind, x: hashlib.sha256(f"{kind}:{x}".encode()).hexdigest()
+    tie = lambda kind, x: hashlib.sha256(json.dumps({f"{kind}_sample": "v1", "id": x}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
     cells, chosen, covered = {}, [], set()
     for _, f, q, t in rows:
         cells.setdefault(f, set()).add((q, t))

@@ -160,15 +160,15 @@ def stratified_sample(rows: DataFrame, stratum: str, id_col: str, fraction: floa
     return rows.withColumn("_rn", F.row_number().over(w)).join(F.broadcast(most.select(stratum, "quota")), stratum).where("_rn <= quota").drop("_rn", "quota")
 
 
-def fixed_audit_sample(mentions: DataFrame, limit: int = 20, sources: int = 6) -> DataFrame:
+def fixed_audit_sample(mentions: DataFrame, limit: int = 20, sources: int = 6, salt: str = "v1") -> DataFrame:
     """(mention_id, place): a small sample clustered in few sources, for cell coverage and then balance.
 
     Sources are taken one at a time, each with the most cells (question, source type) not yet covered, ties by a stable
     hash. A step is one aggregate over (file, cells) and brings one row to the driver; there are ``sources`` steps. The
     mentions of the chosen sources are then balanced in one list, which is cut to what could be chosen: of a cell in a
-    source no more than ``limit``.
+    source no more than ``limit``. ``salt`` goes into the hashes that break ties, so that a sample can be drawn again.
     """
-    tie = lambda kind, c: F.sha2(F.concat(F.lit(f"{kind}:"), c), 256)
+    tie = lambda kind, c: F.sha2(F.concat(F.lit('{"id":"'), c, F.lit(f'","{kind}_sample":"{salt}"}}')), 256)
     rows = mentions.withColumn("cell", F.concat_ws("|", "question_id", "source_type"))
     cells = rows.groupBy("file_id").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
     chosen, covered = [], []
