@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,27 +27,21 @@ from veritally.llm import common
 WORD = re.compile(r"\w+")
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 16
 PASS_BYTES = 32_000_000  #: of benchmark text that one pass over the documents compares
-MIX = np.uint64(0x9E3779B97F4A7C15)
+FACTORS = np.random.default_rng(23).integers(1 << 62, 1 << 63, WIDTH, dtype=np.uint64) | np.uint64(1)  #: one for each place in a shingle
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Spread 64-bit values, so that all bits depend on all bits."""
+def shingle_hashes(ids: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash for each run of ``width`` word ids, or for those that start at ``at``; all bits depend on all words."""
+    at = np.arange(max(0, len(ids) - width + 1)) if at is None else at
     with np.errstate(over="ignore"):
+        x = np.full(len(at), width, np.uint64)
+        for k in range(width):
+            x += ids[at + k].astype(np.uint64) * FACTORS[k]
         x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
     return x ^ x >> np.uint64(31)
 
 
-def shingle_hashes(ids: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash for each run of ``width`` word ids."""
-    n = len(ids) - width + 1
-    with np.errstate(over="ignore"):
-        out = np.zeros(max(0, n), np.uint64)
-        for k in range(width):
-            out = mix(out * MIX + ids[k : k + n].astype(np.uint64) + np.uint64(1))
-    return out
-
-
 def simhash(hashes: np.ndarray) -> int:
     ones = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
@@ -59,6 +53,24 @@ def similarity(a: Counter, b: Counter) -> float:
     return low / (sum(a.values()) + sum(b.values()) - low) if a or b else 0.0
 
 
+class Hashes:
+    """A set of 64-bit hashes; a table of their first bits turns most others away at once."""
+
+    def __init__(self, values: np.ndarray):
+        self.sorted = np.unique(values)
+        self.shift = np.uint64(64 - min(26, max(16, len(self.sorted).bit_length() + 4)))
+        self.table = np.zeros(1 << int(64 - self.shift), bool)
+        self.table[(self.sorted >> self.shift).astype(np.int64)] = True
+
+    def among(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of ``hashes`` that are in the set."""
+        at = np.flatnonzero(self.table[(hashes >> self.shift).astype(np.int64)])
+        if len(at):
+            near = np.minimum(np.searchsorted(self.sorted, hashes[at]), len(self.sorted) - 1)
+            at = at[self.sorted[near] == hashes[at]]
+        return at
+
+
 class Size:
     """The items of one number of words."""
 
@@ -66,7 +78,7 @@ class Size:
         self.words, self.width, self.radius = words, min(WIDTH, words), radius
         self.items = [i for i, _ in items]
         hashes = [shingle_hashes(x, self.width) for _, x in items]
-        self.known = np.unique(np.concatenate(hashes))
+        self.known = Hashes(np.concatenate(hashes))
         self.bags = [Counter(h.tolist()) for h in hashes]
         self.prints = [simhash(h) for h in hashes]
         edges = np.linspace(0, 64, radius + 2).round().astype(int).tolist()
@@ -98,13 +110,8 @@ class Benchmark:
             self.same.append(items)
         self.sizes = [Size(n, x, radius) for n, x in sorted(sizes.items())]
         widths = {s.width for s in self.sizes}
-        self.any = {w: np.unique(np.concatenate([s.known for s in self.sizes if s.width == w])) for w in widths}
+        self.any = {w: Hashes(np.concatenate([s.known.sorted for s in self.sizes if s.width == w])) for w in widths}
         self.shortest = min((s.words for s in self.sizes), default=1 << 60)
-        # one bit for each hash's first 20 bits, to pass over most shingles at once
-        self.first = {}
-        for w, known in self.any.items():
-            self.first[w] = np.zeros(1 << 20, bool)
-            self.first[w][(known >> np.uint64(44)).astype(np.int64)] = True
 
     def leaks(self, text: str | None) -> list[tuple[int, int, int, float]]:
         """(item, first word, number of words, similarity) of the best window of each place where an item leaks."""
@@ -112,35 +119,38 @@ class Benchmark:
         n = len(words)
         if n < self.shortest:
             return []
-        get = self.ids.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, n)
+        ids = np.fromiter(map(self.ids.get, words, repeat(0)), np.int64, n)
+        strange = np.concatenate(([0], np.cumsum(ids == 0)))
         out = []
-        hashed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        hits_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for width, known in self.any.items():
-            h = shingle_hashes(ids, width)
-            at = np.flatnonzero(self.first[width][(h >> np.uint64(44)).astype(np.int64)])
-            if len(at):
-                at = at[np.isin(h[at], known)]
-            hashed[width] = (h, at)
+            at = np.flatnonzero(strange[width:] == strange[: max(0, n + 1 - width)])  # a shingle with a strange word is in no item
+            h = shingle_hashes(ids, width, at)
+            own = known.among(h)
+            hits_of[width] = at[own], h[own]
         for size in self.sizes:
-            h, at = hashed[size.width]
+            at, h = hits_of[size.width]
             if size.words > n or not len(at):
                 continue
             k = size.words - size.width + 1
             need = math.ceil(2 * self.threshold / (1 + self.threshold) * k - 1e-9)
             if len(at) < need:
                 continue
-            hits = at[np.isin(h[at], size.known)]
+            hits = at[size.known.among(h)]
             if len(hits) < need:
                 continue
             # windows [s, s + k) of shingles with enough hits
-            mark = np.zeros(len(h) + 1, np.int32)
+            mark = np.zeros(n - size.width + 2, np.int32)
             mark[hits + 1] = 1
             total = np.cumsum(mark)
             starts = np.flatnonzero(total[k:] - total[: len(total) - k] >= need)
+            if not len(starts):
+                continue
+            low = int(starts[0])
+            around = shingle_hashes(ids[low : int(starts[-1]) + size.words], size.width)
             best: dict[int, list] = {}
             for s in starts.tolist():
-                part = h[s : s + k]
+                part = around[s - low : s - low + k]
                 for i in size.near(simhash(part)):
                     x = similarity(Counter(part.tolist()), size.bags[i])
                     if x >= self.threshold:
@@ -155,17 +165,6 @@ class Benchmark:
         return sorted(out)
 
 
-_made: dict[int, Benchmark] = {}
-
-
-def _benchmark(shipped) -> Benchmark:
-    key = zlib.crc32(repr(shipped.value).encode())
-    if key not in _made:
-        _made.clear()
-        _made[key] = Benchmark(*shipped.value)
-    return _made[key]
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, radius: int = RADIUS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, item_id, start, words, similarity: where a benchmark item leaks into a document.
 
@@ -186,7 +185,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY,
         shipped = docs.sparkSession.sparkContext.broadcast(([(r[0], r[1]) for r in rows], threshold, radius))
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            b = _benchmark(shipped)
+            b = common.kept("benchmark", shipped.value, lambda: Benchmark(*shipped.value))
             for batch in common.slices(batches):
                 found = [b.leaks(t) for t in batch.column(1).to_pylist()]
                 take = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in found]))
@@ -205,4 +204,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMI
     Rows that share an id with a leaking one go with it; rows with a null id stay.
     """
     found = leaks(docs, benchmark, threshold, radius, id_col, text).select(id_col).where(F.col(id_col).isNotNull()).distinct()
+    found = common.staged(found, "leaks")  # its size is known, so Spark broadcasts it if it is small, and shuffles if not
     return docs.join(found, id_col, "left_anti").select(*docs.columns)
