@@ -30,7 +30,7 @@ from veritally.llm import common
 #: White space as Unicode lists it, and the pattern that splits text before the merges. Fixed values of the file format.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-WORDS_KEPT = 300_000  #: encoded words that a worker keeps at a time; others are encoded anew
+WORDS_KEPT = 200_000  #: encoded words that a worker keeps at a time; others are encoded anew
 
 
 def byte_letters() -> dict[str, int]:
@@ -73,20 +73,18 @@ class Automaton:
         self.splits = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, bytes] = {s: array("I", [i]).tobytes() for s, i in self.special.items()}
 
-    def _compile(self, start: list[int], rules: list[tuple[int, int, int]]) -> tuple[list[int], list[bytes]]:
+    def _compile(self, start: list[int], rules: list[tuple[int, int, int]]) -> tuple[list[int], memoryview]:
         goto, users, states = [0] * self.size, [len(start)], 1
-        bits = np.zeros((1024, self.size + 7 >> 3), np.uint8)  # of each state, the arcs it lacks
+        bits = np.zeros((len(rules) + 1, self.size + 7 >> 3), np.uint8)  # of each state, the arcs it lacks; pages come with use
         for u, v, w in rules:
             old, after = goto[u], goto[v]
             if bits[old, v >> 3] >> (v & 7) & 1:  # earlier merges never leave this pair
-                bits[:, w >> 3] |= np.uint8(1 << (w & 7))
+                bits[:states, w >> 3] |= np.uint8(1 << (w & 7))
                 continue
             if users[old] == 1 and u != v:
                 new = old  # nothing else leads there, so the copy can take its place
             else:
                 new, states = states, states + 1
-                if new == len(bits):
-                    bits = np.concatenate([bits, np.zeros_like(bits)])
                 bits[new] = bits[old]
                 users[old] -= 1
                 users.append(1)
@@ -95,23 +93,23 @@ class Automaton:
             bits[:states, w >> 3] |= (bits[:states, u >> 3] >> np.uint8(u & 7) & np.uint8(1)) << np.uint8(w & 7)
             goto[w] = after
             users[after] += 1
-        return goto, [row.tobytes() for row in bits[:states]]
+        return goto, memoryview(bits[:states].reshape(-1))
 
     def encode_word(self, word: bytes) -> list[int]:
         n = len(word)
         state, last = [-1] * (n + 1), [-1] * (n + 1)
         state[0] = 0
-        branch, ends, goto, lacks = self.branch.get, self.ends, self.goto, self.lacks
+        branch, ends, goto, lacks, wide = self.branch.get, self.ends, self.goto, self.lacks, self.size + 7 >> 3
         for i in range(n):
             if state[i] < 0:
                 continue
-            row, node = lacks[state[i]], 0
+            row, node = wide * state[i], 0
             for j in range(i, n):
                 node = branch(node << 8 | word[j])
                 if node is None:
                     break
                 t = ends[node]
-                if t >= 0 and not row[t >> 3] >> (t & 7) & 1:
+                if t >= 0 and not lacks[row + (t >> 3)] >> (t & 7) & 1:
                     state[j + 1], last[j + 1] = goto[t], t
         if state[n] < 0:
             raise ValueError("a byte of the text is not in the vocabulary")
@@ -155,15 +153,9 @@ class Automaton:
         return b"".join(map(self.label.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_compiled: dict[str, Automaton] = {}
-
-
 def automaton(file: bytes) -> Automaton:
-    """The automaton of a file; compiled once in each Python process."""
-    key = hashlib.sha256(file).hexdigest()
-    if key not in _compiled:
-        _compiled[key] = Automaton(file)
-    return _compiled[key]
+    """The automaton of a file; a process keeps the last."""
+    return common.kept("bpe", hashlib.sha256(file).hexdigest(), lambda: Automaton(file))
 
 
 #: What encode_decode can add to the columns of its input.
