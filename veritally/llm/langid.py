@@ -31,37 +31,53 @@ UNKNOWN = "und"
 
 def words_of(text: str | None) -> list[str]:
     found = WORD.findall(text.lower()) if text else []
-    if any(len(w) > STRETCH for w in found):
+    if max(map(len, found), default=0) > STRETCH:
         found = [w[i : i + STRETCH] for w in found for i in range(0, len(w), STRETCH)]
     return found
 
 
+def trie(pieces: list[bytes]) -> tuple[dict[int, int], list[int]]:
+    """(node << 8 | byte -> node, piece that ends at each node or -1); the root is 0."""
+    branch, ends = {}, [-1]
+    for i, piece in enumerate(pieces):
+        node = 0
+        for b in piece:
+            if (key := node << 8 | b) not in branch:
+                branch[key] = len(ends)
+                ends.append(-1)
+            node = branch[key]
+        ends[node] = i
+    return branch, ends
+
+
 class Lattice:
     """All arcs (from byte, to byte, piece) of a list of words, in order of their ends."""
 
-    def __init__(self, words: list[str], vocabulary: dict[bytes, int]):
-        at, piece, end, low = [], [], [], []
-        base, lengths = 0, []
-        get = vocabulary.get
+    def __init__(self, words: list[str], vocabulary: tuple[dict[int, int], list[int]]):
+        arcs, lengths, base = [], [], 0
+        step, ends = vocabulary[0].get, vocabulary[1]
         for w in words:
             s = b" " + w.encode()
             n = len(s)
             for i in range(n):
-                for j in range(i + 1, min(n, i + LONGEST) + 1):
-                    p = get(s[i:j])
-                    if p is not None:
-                        at.append(base + i)
-                        end.append(base + j)
-                        piece.append(p)
-                        low.append(j)
+                node = 0
+                for j in range(i, n):
+                    node = step(node << 8 | s[j])
+                    if node is None:
+                        break
+                    p = ends[node]
+                    if p >= 0:  # one number: the word's first byte, from, to, piece
+                        arcs.append(base << 40 | i << 32 | j + 1 << 24 | p)
             lengths.append(n)
             base += n + 1
         self.size, self.lengths = base, np.array(lengths, np.int64)
         self.first = np.cumsum(self.lengths + 1) - self.lengths - 1
-        depth = np.array(low, np.int64)
+        x = np.array(arcs, np.int64)
+        depth = x >> 24 & 255
         order = np.argsort(depth, kind="stable")
-        self.at, self.end, self.piece = (np.array(x, np.int64)[order] for x in (at, end, piece))
-        self.cuts = np.searchsorted(depth[order], np.arange(1, (int(depth.max()) if len(depth) else 0) + 2))
+        x, depth = x[order], depth[order]
+        self.at, self.end, self.piece = (x >> 40) + (x >> 32 & 255), (x >> 40) + depth, x & 0xFFFFFF
+        self.cuts = np.searchsorted(depth, np.arange(1, (int(depth[-1]) if len(depth) else 0) + 2))
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """p: scaled probability by piece. Of each place, the sum over all segmentations of what lies before it."""
@@ -80,7 +96,7 @@ class Lattice:
         return beta
 
 
-@dataclass
+@dataclass(eq=False)  # a model is itself; its arrays have no one truth
 class Model:
     languages: list[str]
     pieces: list[bytes]
@@ -98,7 +114,7 @@ def vocabulary(file: bytes) -> list[bytes]:
 def train(counts: list[tuple[str, str, int]], pieces: list[bytes], rounds: int = 4, smooth: float = 0.05) -> Model:
     """counts: (language, word, times). Each language's counts are smoothed with the pooled ones and a constant."""
     languages = sorted({x[0] for x in counts})
-    index = {x: i for i, x in enumerate(pieces)}
+    index = trie(pieces)
     words = sorted({x[1] for x in counts})
     place = {w: i for i, w in enumerate(words)}
     times = np.zeros((len(languages), len(words)))
@@ -145,7 +161,7 @@ def fit(docs: DataFrame, held: int = 2, folds: int = 4, bound: int = 2000, types
 
 def scorer(model: Model) -> WordStore:
     """Of words, the log probability in each language."""
-    index, scaled = {x: i for i, x in enumerate(model.pieces)}, model.scaled()
+    index, scaled = trie(model.pieces), model.scaled()
 
     def compute(words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(model.languages)))

@@ -43,7 +43,7 @@ def buckets_of(word: str) -> list[int]:
     return [zlib.crc32(g.encode()) & BUCKETS - 1 for g in sorted(grams)]
 
 
-@dataclass
+@dataclass(eq=False)  # a model is itself; its arrays have no one truth
 class Model:
     weight: np.ndarray  # bucket: its vector times the softmax's rows, class 1 less class 0
     bias: float
@@ -121,6 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", held: int = 0
     coded = lists.flatten().dictionary_encode()
     words, ids = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
     times = rows["times"].combine_chunks().flatten().to_numpy().astype(np.float64)
+    del rows, lists, coded  # the driver needs the room
     # texts and words in an order of their own, so that the model is the same for any order of rows
     rank = np.argsort(np.argsort(np.array(words, object)))
     starts = np.cumsum(sizes) - sizes
