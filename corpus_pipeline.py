@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veritally.llm import bpe, common, decontam, lines, simhash, toxicity
 
@@ -22,8 +21,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays; documents without id stay."""
     found = simhash.near_duplicates(docs)
-    later = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(later.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    later = common.staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "later")  # broadcast if it is small
+    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
