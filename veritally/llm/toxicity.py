@@ -58,8 +58,9 @@ def train(words: list[str], ids: np.ndarray, times: np.ndarray, sizes: np.ndarra
     rng = np.random.default_rng(seed)
     g = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
     w = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
-    b = np.zeros(2, np.float32)
-    seen_g, seen_w, seen_b = np.full_like(g, 1e-6), np.full_like(w, 1e-2), np.full_like(b, 1e-2)
+    rate1 = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
+    b = np.array([0, math.log(rate1 / (1 - rate1))])  # fixed: what a text without words is taken for
+    seen_g, seen_w = np.full_like(g, 1e-6), np.full_like(w, 1e-2)
     of = np.repeat(np.arange(len(sizes)), sizes)
     share = GAIN * times / (CALM + np.bincount(of, times, len(sizes))[of])
     often = np.bincount(ids, minlength=len(words)) >= least
@@ -96,14 +97,15 @@ def train(words: list[str], ids: np.ndarray, times: np.ndarray, sizes: np.ndarra
             dg = np.stack([np.bincount(at_gram, de[:, k], len(grams)) for k in range(DIM)], axis=1) + decay * g[grams]
             seen_g[grams] += dg * dg
             g[grams] -= rate * dg / np.sqrt(seen_g[grams])
-            for value, seen, grad in ((w, seen_w, x.T @ d), (b, seen_b, d.sum(axis=0))):
-                seen += grad * grad
-                value -= rate * grad / np.sqrt(seen)
+            dw = x.T @ d
+            seen_w += dw * dw
+            w -= rate * dw / np.sqrt(seen_w)
     return Model(GAIN * (g @ (w[:, 1] - w[:, 0])).astype(np.float64), float(b[1] - b[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", held: int = 0, folds: int = 5, bound: int = 8000) -> Model:
     """Learn from the whole texts of at most ``bound`` labelled documents outside the fold ``held``."""
+    common.text_batches(docs.sparkSession)
     sample = common.labelled_sample(docs, labels, target, folds, held, bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +160,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
     kept = [f for f in docs.schema.fields if f.name != column]
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField(column, T.DoubleType())])
+    common.text_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = names.index(text)
 
