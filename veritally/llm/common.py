@@ -27,6 +27,17 @@ def read_bytes(path: str) -> bytes:
         return f.read()
 
 
+#: Rows that readers and Python workers get at a time where rows are whole texts: Spark's defaults are for short rows.
+TEXT_BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1024")}
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Smaller batches for this session, unless it has its own: very long texts then fill no executor's memory."""
+    for key, (default, ours) in TEXT_BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,11 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
-    Cuts the lineage in a way that outlives any executor. The folder goes when the session ends.
+    Cuts the lineage in a way that outlives any executor. The folder goes when the session ends. ``compact``: rows that
+    are far smaller than the texts they come from are gathered first, so that each task of texts doesn't make a file.
     """
+    if compact:
+        df = df.hint("rebalance")
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)

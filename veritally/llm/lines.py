@@ -75,6 +75,7 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "do
 
     Earlier means a smaller id, or an earlier line of the same text. Rows alike in id and text are one document.
     """
+    common.text_batches(docs.sparkSession)
     source = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +92,7 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "do
                 windows.append([x for _, x in chosen])
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(places, pa.binary()), pa.array(hashes, pa.binary()), pa.array(words, pa.binary()), pa.array(prints, pa.list_(pa.int32())), pa.array(windows, pa.list_(pa.int64()))], names=["doc", "mark", "places", "hashes", "words", "prints", "windows"])
 
-    seqs = common.staged(source.mapInArrow(run, "doc long, mark long, places binary, hashes binary, words binary, prints array<int>, windows array<long>"), "lines")
+    seqs = common.staged(source.mapInArrow(run, "doc long, mark long, places binary, hashes binary, words binary, prints array<int>, windows array<long>"), "lines", compact=True)
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -45,6 +45,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, fp (long, the 64 bits) of each row."""
+    common.text_batches(docs.sparkSession)
     source = docs.select(id_col, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +181,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: st
     or ids repeat; a null id takes the smallest non-null id of its component, null if there is none. Other columns are
     not carried on. Copies are one fingerprint from the start, so groups of any size are one vertex.
     """
-    fps = common.staged(fingerprints(docs, width, id_col, text), "fingerprints")
+    fps = common.staged(fingerprints(docs, width, id_col, text), "fingerprints", compact=True)
     nodes = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
     found = graph.connected_components(links(nodes.select("fp"), radius, hot), "simhash")
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

@@ -173,6 +173,7 @@ def token_counts(docs: DataFrame, limit: int = 4096, id_col: str = "doc_id", tex
     batch, so its documents are never gathered in one place; it is counted once in each task that has a share of it.
     """
     spark = docs.sparkSession
+    common.text_batches(spark)
     model = spark.sparkContext.broadcast(common.read_bytes(vocabulary))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # the more tasks, the more buckets
     posts = common.staged(postings(docs, model, buckets, id_col, text), "postings")
