@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritally.llm import bpe, common, decontam, lines, simhash, toxicity
+from veritally.llm import bpe, common, decontam, lines, resemblance, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; documents without id stay."""
-    found = simhash.near_duplicates(docs)
+    """Of each group that shares 0.8 of its five-word shingles the document with the smallest id stays; documents without id stay."""
+    found = resemblance.near_duplicates(docs)
     later = common.staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "later")  # broadcast if it is small
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 

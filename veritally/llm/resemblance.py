@@ -1,0 +1,132 @@
+"""Near-duplicate documents by the share of five-word shingles they have in common.
+
+Candidates are documents that agree on one of BANDS groups of ROWS minimum hashes of their shingles; at a similarity of
+just 0.8 a pair agrees on none in three of a million cases, above it in fewer. Each candidate pair's shingle sets are then
+compared, so that no link lies below the threshold. First every document is compared with the first of its group;
+then, whatever those links leave apart, with the others of it, so a large group of near copies isn't compared pair by
+pair.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from veritally.llm import common, graph
+
+WIDTH, SIMILARITY = 5, 0.8
+SEED = 42
+BANDS, ROWS = 24, 4
+_draw = np.random.default_rng(SEED)
+_TIMES = _draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False) | np.uint64(1)
+_PLUS = _draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False)
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; of a text with fewer words, or none, one hash."""
+    words = (text or "").encode().lower().split()  # of bytes, as in simhash.fingerprint
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([digest(joined, SEED)], np.uint64)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    spans = zip(starts.tolist(), ends[width - 1 :].tolist())  # noqa: B905 the last words start none
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - width + 1))
+
+
+def node_of(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes())).view(np.int64))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: a hash of its minimum hashes."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 512):
+        np.minimum(least, (hashes[at : at + 512] * _TIMES[:, None] + _PLUS[:, None]).min(axis=1), out=least)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in least.astype("<u8").reshape(BANDS, ROWS)], np.uint64).view(np.int64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def signatures(docs: DataFrame, width: int, id_col: str, text: str) -> DataFrame:
+    """id, mark (hash of the text), node (hash of the shingle set), n (its size) and the keys of the bands."""
+    common.text_batches(docs.sparkSession)
+    source = docs.select(id_col, F.xxhash64(text).alias("mark"), text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.kept("resemblance", None, lambda: None)  # memory that other operators hold in this worker
+        for batch in common.slices(batches):
+            nodes, sizes, keys = [], [], []
+            for t in batch.column(2).to_pylist():
+                s = shingles(t, width)
+                nodes.append(node_of(s))
+                sizes.append(len(s))
+                keys.append(bands(s))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=[id_col, "mark", "node", "n", "keys"])
+
+    return source.mapInArrow(run, f"{id_col} {source.schema[0].dataType.simpleString()}, mark long, node long, n long, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, marks: DataFrame, width: int, text: str) -> DataFrame:
+    """node and hashes (binary) of the texts that ``marks`` (mark) names."""
+    source = docs.select(F.xxhash64(text).alias("mark"), text).join(marks, "mark", "left_semi").select(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            sets = [shingles(t, width) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
+
+    return source.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are as similar as ``least``."""
+    of = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"{x}_hashes"))
+    both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_hashes", "b_hashes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            sides = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            near = [similarity(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= least for x, y in sides]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id and component_id of each row.
+
+    Documents link if they share ``least`` of their distinct shingles; component_id is the smallest id reachable. Each
+    row gives a row, also when rows or ids repeat; a null id takes the smallest non-null id of its component, null if
+    there is none. Texts without words are alike. Copies are one node from the start.
+    """
+    rows = common.staged(signatures(docs, width, id_col, text), "signatures", compact=True)
+    nodes = rows.groupBy("node").agg(F.min(id_col).alias("least"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    posts = nodes.select("node", "mark", "n", F.posexplode("keys").alias("band", "key"))
+    many = posts.groupBy("band", "key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("band", "key", "first")
+    posts = common.staged(posts.join(many, ["band", "key"]), "posts", compact=True)
+    sets = common.staged(shingle_sets(docs, posts.select("mark").distinct(), width, text), "sets", compact=True)
+    fits = F.least("n", "n2") >= F.greatest("n", "n2") * least
+    sizes = posts.select(F.col("node").alias("first"), F.col("n").alias("n2")).distinct()
+    stars = posts.where("node <> first").select("node", "n", "first").distinct().join(sizes, "first").where(fits)
+    links = common.staged(verified(stars.select(F.col("node").alias("a"), F.col("first").alias("b")), sets, least), "links", compact=True)
+    found = graph.connected_components(links, "stars")
+    # within a group, the pairs that those links leave apart
+    placed = posts.select("band", "key", "node", "n").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    others = placed.select("band", "key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "root")))
+    apart = placed.join(others, ["band", "key"]).where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & fits)
+    apart = apart.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    links = links.unionByName(common.staged(verified(apart, sets, least), "links", compact=True))
+    found = graph.connected_components(links, "resemblance")
+    rooted = nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select(id_col, "node").join(rooted.join(ids, "root").select("node", "component_id"), "node").select(id_col, "component_id")
