@@ -539,13 +539,13 @@ def html_checks(spark, sf_dir):
 
 @query()
 def number_extract(spark, sf_dir):
-    rows = Tables(spark, sf_dir).mentions.select("mention_id", F.explode(prose.column("numbers")("quote")).alias("n"))
+    rows = Tables(spark, sf_dir).sentences.select("mention_id", F.explode(prose.column("numbers")("quote")).alias("n"))
     return rows.select("mention_id", "n.*")
 
 
 @query()
 def quantity_extract(spark, sf_dir):
-    rows = Tables(spark, sf_dir).mentions.select("mention_id", F.explode(prose.column("quantities")("quote")).alias("n"))
+    rows = Tables(spark, sf_dir).sentences.select("mention_id", F.explode(prose.column("quantities")("quote")).alias("n"))
     return rows.select("mention_id", "n.*")
 
 

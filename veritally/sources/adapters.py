@@ -56,6 +56,15 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of four characters or more; sentence k answers question k % 5 + 1, the first five are ``mentions``."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\\. ", -1)).alias("k", "quote")).where(F.char_length("quote") >= 4)
+    question = F.concat(F.lit("Q"), F.col("k") % QUESTIONS + 1)
+    number = F.floor(F.col("k") / QUESTIONS)
+    return rows.select("doc_id", "k", question.alias("question_id"), F.concat(F.lit("doc_"), "doc_id", F.lit("_"), question, F.lit("_"), number).alias("mention_id"), "quote")
+
+
 def themes(spark: SparkSession) -> DataFrame:
     """Eight themes for each question, the last of them ``other``."""
     rows = [(f"Q{q}", f"Q{q}_T{t}", f"theme {t}", f"about {KEYWORDS[t - 1]}", schemas.THEME_TYPES[(t - 1) % 6] if t < 8 else "other", f"{KEYWORDS[t - 1]}, {KEYWORDS[t - 1]}s", "", "") for q in range(1, QUESTIONS + 1) for t in range(1, 9)]
