@@ -33,6 +33,8 @@ def test_language_id(spark):
     by = {r["doc_id"]: r for r in out}
     assert [by[i]["lang_pred"] for i in (1000, 1001, 1002)] == ["und"] * 3 and by[1000]["score"] == 0
     assert by[1003]["lang_pred"] == "en" and by[None]["lang_pred"] == "de" and all(0 <= r["score"] <= 1 for r in out)
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(spark.createDataFrame([(1, "² ½ ①"), (2, "Ⅷ_9"), (3, "der²und")], "doc_id long, text string"), model).collect()} == {1: "und", 2: "und", 3: "de"}
+    assert langid.predict(docs.limit(0), model).collect() == [] and langid.fit(docs.limit(0)).languages == []
     none = langid.fit(docs.where("lang is null"))
     assert {r["lang_pred"] for r in langid.predict(docs, none).collect()} == {"und"}
 
@@ -50,6 +52,37 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [np.log(total(b" " + w)) for w in (b"abab", b"a", b"bbba")])
 
 
+def test_words_of_any_length_are_summed_whole():
+    """A word over the vector length has the same score as a plain forward pass over all its bytes gives."""
+    pieces = [b" ", b"a", b"b", b"ab", b"ba", b"a" * 33]
+    model = langid.Model(["x"], pieces, np.log(np.array([[0.3, 0.2, 0.1, 0.15, 0.05, 0.2]])))
+    for word in ("ab" * 10, "a" * 60, "ab" * 200, "a" * 300):
+        s, p = b" " + word.encode(), np.exp(model.logp[0])
+        total = [1.0] + [0.0] * len(s)
+        for j in range(1, len(s) + 1):
+            total[j] = sum(total[j - len(q)] * p[k] for k, q in enumerate(pieces) if s[:j].endswith(q))
+        assert np.isclose(langid.scorer(model).find([word])[0, 0], np.log(total[-1]), rtol=1e-9)
+
+
+def test_a_rare_language_is_learned(spark):
+    rng = random.Random(9)
+    rows = [(i, text_of(rng, "en"), "en") for i in range(600)] + [(1000 + i, text_of(rng, "fr"), "fr") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, bound=20)
+    assert model.languages == ["en", "fr"]
+    assert {r["lang_pred"] for r in langid.predict(docs.where("lang = 'fr'"), model).collect()} == {"fr"}
+
+
+def test_samples_keep_to_their_bound(spark):
+    """Ids that repeat don't let more rows in than the bound says."""
+    docs = spark.createDataFrame([(i % 3, f"text {i}", 1) for i in range(90)], "doc_id long, text string, target int")
+    labels = spark.createDataFrame([(i, 1) for i in range(3)], "doc_id long, toxic int")
+    from veritally.llm import common
+
+    rows = common.labelled(docs.select("doc_id", "text"), labels, "toxic", 5, 9, 2).withColumn("tie", common.F.xxhash64("text"))
+    assert common.first_rows(rows, 2).count() == 2 and rows.count() == 60
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     bad, fine = ["wretched", "vermin", "stupidest"], [f"{a}{b}" for a in ("lo", "mi", "ra", "ten", "su") for b in ("na", "ko", "pel", "dor")]

@@ -168,7 +168,7 @@ COLUMNS = {
 }
 
 
-def encode_decode(docs: DataFrame, text: str = "text", add: tuple[str, ...] = ("n_tokens", "ids_sha256", "decoded_sha256"), vocabulary: str = f"{common.TOKENIZERS}/byte_bpe_50k.json", drop: tuple[str, ...] = ()) -> DataFrame:
+def encode_decode(docs: DataFrame, text: str = "text", add: tuple[str, ...] = ("n_tokens", "ids_sha256", "decoded_sha256"), vocabulary: str = "byte_bpe_50k.json", drop: tuple[str, ...] = ()) -> DataFrame:
     """Encode each whole text, decode the ids, and add what ``add`` names (see COLUMNS).
 
     ``bpe_ids`` are the ids as little-endian unsigned 32-bit integers, ``bpe_text`` is the decoded text. A null text
@@ -176,8 +176,7 @@ def encode_decode(docs: DataFrame, text: str = "text", add: tuple[str, ...] = ("
     of the input that has the name of an added one is replaced; ``drop`` names input columns to leave out. There is no
     shuffle, so a task's memory is one batch of texts and a bounded store of encoded words.
     """
-    common.text_batches(docs.sparkSession)
-    file = docs.sparkSession.sparkContext.broadcast(common.read_bytes(vocabulary))
+    file = docs.sparkSession.sparkContext.broadcast(common.vocabulary_bytes(vocabulary))
     kept = [f for f in docs.schema.fields if f.name not in add and f.name not in drop]
     schema = T.StructType([*kept, *(T.StructField(c, COLUMNS[c]) for c in add)])
     names = [f.name for f in kept]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,16 +15,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKENIZERS = "/opt/tokenizers"  #: folder of the public vocabulary files
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a query or stage; the session then reads texts in small batches, see ``text_batches``."""
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_bytes(path: str) -> bytes:
-    """A small public vocabulary file, read by the driver; executors get it with the task."""
-    with open(path, "rb") as f:
+def vocabulary_bytes(file: str) -> bytes:
+    """A small public vocabulary, read by the driver; executors get it with the task.
+
+    ``file`` is the name of one that the installed package of public tokenizers has, or the path of another.
+    """
+    if "/" not in file:
+        import public_tokenizers
+
+        file = public_tokenizers.path(file)
+    with open(file, "rb") as f:
         return f.read()
 
 
@@ -32,21 +39,34 @@ TEXT_BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"), "s
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Smaller batches for this session, unless it has its own: very long texts then fill no executor's memory."""
+    """Smaller batches for this session, unless it has its own: very long texts then fill no executor's memory.
+
+    Queries and the pipeline call it (by ``table``), as applications; operators leave the session's settings alone.
+    """
     for key, (default, ours) in TEXT_BATCHES.items():
         if spark.conf.get(key, default) == default:
             spark.conf.set(key, ours)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a temporary folder of its own; a cluster is an error, as its executors would
+    each write to a disk of theirs.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="veritally-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _own_dirs.get(spark.sparkContext.applicationId)
+        if root is None:
+            root = _own_dirs[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="veritally-")
     return root
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def staged(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
@@ -60,7 +80,16 @@ def staged(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.staged_path = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``staged`` wrote for ``df``, once nothing reads it any more."""
+    spark = df.sparkSession
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 _kept: dict[str, tuple] = {}
@@ -95,16 +124,35 @@ def fold_of(id_col: str, n: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, folds: int, held: int, bound: int) -> DataFrame:
-    """At most ``bound`` labelled rows (text, target) of the learning folds, chosen by a hash of the id.
+def labelled(docs: DataFrame, labels: DataFrame, target: str, folds: int, held: int, bound: int) -> DataFrame:
+    """Rows of ``docs`` that have a label and lie outside the fold ``held``, with ``target`` and ``order`` (a hash of the id).
 
-    Ids are ranked first, so that only the chosen rows' texts move.
+    Ids are ranked by that hash and the first ``bound`` chosen before any text moves, so there are at most ``bound`` rows
+    if ids don't repeat; ``first_rows`` holds the bound if they do. Labels that repeat give the largest of an id.
     """
-    keep = (
+    chosen = (
         labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & (fold_of("doc_id", folds) != held))
         .groupBy("doc_id")
         .agg(F.max(target).alias("target"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(bound)
     )
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(keep), "doc_id").select("text", "target")
+    return docs.join(F.broadcast(chosen), "doc_id").withColumn("order", F.xxhash64("doc_id"))
+
+
+def first_rows(rows: DataFrame, bound: int) -> DataFrame:
+    """The ``bound`` rows with the smallest ``order`` and ``tie``, in one partition: what a model is trained on."""
+    return rows.orderBy("order", "tie").limit(bound).drop("order", "tie")
+
+
+def trained(rows: DataFrame, train: Callable[[pa.Table], Any]) -> Any:
+    """What ``train`` makes of all ``rows``, which are bounded and in one partition: a task trains, not the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("training", None, lambda: None)  # memory that other operators hold in this worker
+        held = list(batches)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(pa.Table.from_batches(held)))], pa.binary())], names=["model"])
+
+    got = rows.mapInArrow(run, "model binary").first()
+    return pickle.loads(got[0]) if got else None

@@ -1,16 +1,19 @@
-"""Line dedup: winnowing over line hashes, matches extended both ways, later repeated runs deleted.
-
-A document is its sequence of non-blank lines, each hashed in lower case with blanks collapsed. A window is the shortest
-stretch of lines from a given line on that has ``run_words`` words or more; its smallest hash (the last of equals) is a
-fingerprint. Two documents that share a run of lines with that many words share a whole window of it, hence a
-fingerprint. Positions with a fingerprint in common are joined to the first of them, to the first whose whole window is
-the same, and to the first that has the same neighbouring line before or after, never to one another. Each joined pair
-is extended line by line both ways to its maximal run; if the run has ``run_words`` words, its later occurrence goes. So
-each window that stands somewhere earlier goes as a whole.
+"""Line dedup: winnowing over hashes of lines, matches extended both ways, later repeated runs deleted.
+
+A text is cut into pieces: at line ends, after sentence ends, and within a piece of more than LONG words after words that
+their own hash chooses, so that a passage in the middle of a line is cut alike wherever it stands. Pieces are hashed in
+lower case with blanks collapsed. From each piece on, a window is the shortest stretch ahead that has ``run_words`` words
+or more, and the shortest one back; its smallest hash is its fingerprint, so two texts that share a window share a
+fingerprint. Positions are joined by fingerprint, and those whose fingerprint stands nowhere else are done with. The others
+are extended ahead and back to their windows: a run of pieces with ``run_words`` words or more repeats an earlier one
+exactly where the windows that cover it do, so each window is held against its first occurrence anywhere, and what
+windows that stand earlier cover together are the maximal repeated runs. Their later occurrences go.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,175 +25,161 @@ from pyspark.sql import functions as F
 from veritally.llm import common
 
 RUN_WORDS = 10
-
-
-def signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
-def sequence(text: str | None) -> tuple[list[int], list[int], list[int]]:
-    """Place, hash (signed) and number of words of each line that isn't blank."""
-    place, hashes, words = [], [], []
-    for i, line in enumerate((text or "").split("\n")):
-        w = line.lower().split()
-        if w:
-            place.append(i)
-            h = xxhash.xxh64_intdigest(" ".join(w).encode())
-            hashes.append(signed(h))
-            words.append(len(w))
-    return place, hashes, words
-
-
-def winnow(hashes: list[int], words: list[int], run_words: int = RUN_WORDS) -> list[tuple[int, int]]:
-    """Of each window the position of its minimum, and a hash of the window; of one line, that line's hash."""
-    out, end, total = [], 0, 0
-    for start in range(len(hashes)):
-        while total < run_words and end < len(hashes):
-            total += words[end]
-            end += 1
-        if total < run_words:
-            break
-        if end - start == 1:
-            out.append((start, hashes[start]))
-        else:
-            part = np.array(hashes[start:end], "<i8")
-            out.append((end - 1 - int(part[::-1].argmin()), signed(xxhash.xxh64_intdigest(part.tobytes()))))
-        total -= words[start]
-    return out
-
-
-def extend(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
-    """The maximal run through a[i] == b[j]: its start in a, and its length."""
-    back = min(i, j)
-    off = np.flatnonzero(a[i - back : i][::-1] != b[j - back : j][::-1])
-    left = int(off[0]) if len(off) else back
-    ahead = min(len(a) - i, len(b) - j)
-    off = np.flatnonzero(a[i : i + ahead] != b[j : j + ahead])
-    right = int(off[0]) if len(off) else ahead
-    return i - left, left + right
+LONG = 24  #: words from which a piece without sentence ends is cut further
+CUT = re.compile(r"[.!?]\s+|\n\s*")
+WORD = re.compile(r"\S+\s*")
+BASE = 0x9E3779B97F4A7C15  #: odd, so it has an inverse modulo 2**64
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def pieces(text: str | None) -> tuple[list[int], list[int], list[int], list[int]]:
+    """First and last character (exclusive), hash and number of words of each piece that has words; they tile the text."""
+    starts, ends, hashes, words = [], [], [], []
+    if not text:
+        return starts, ends, hashes, words
+    digest = xxhash.xxh64_intdigest
+    cuts = [m.end() for m in CUT.finditer(text)]
+    if not cuts or cuts[-1] < len(text):
+        cuts.append(len(text))
+    at = 0
+    for end in cuts:
+        own = text[at:end].lower().split()
+        if len(own) > LONG:
+            low, part = at, []
+            for m in WORD.finditer(text, at, end):
+                w = m.group().lower().split()
+                part += w
+                if m.end() >= end or (w and not zlib.crc32(w[-1].encode()) & 7):
+                    starts.append(low)
+                    ends.append(m.end())
+                    hashes.append(digest(" ".join(part).encode()))
+                    words.append(len(part))
+                    low, part = m.end(), []
+        elif own:
+            starts.append(at)
+            ends.append(end)
+            hashes.append(digest(" ".join(own).encode()))
+            words.append(len(own))
+        at = end
+    return starts, ends, hashes, words
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE to the powers 0 to n, and its inverse to them, modulo 2**64."""
+    out = []
+    for b in (BASE, INVERSE):
+        x = np.full(n + 1, b, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+def windows(hashes: np.ndarray, words: np.ndarray, sizes: np.ndarray, run_words: int = RUN_WORDS) -> tuple[np.ndarray, ...]:
+    """(text, first piece, last piece exclusive, smallest hash, hash of the window) of all windows of the texts.
+
+    ``sizes`` is the number of pieces of each text; hashes (unsigned) and words are those of all texts, one after another.
+    """
+    n = len(hashes)
+    ends = np.cumsum(sizes)
+    first, last = np.repeat(ends - sizes, sizes), np.repeat(ends, sizes)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    total = np.concatenate(([0], np.cumsum(words)))
+    ahead = np.searchsorted(total, total[:-1] + run_words)
+    back = np.searchsorted(total, total[1:] - run_words, "right") - 1
+    s = np.concatenate([np.arange(n)[ahead <= last], back[back >= first]])
+    e = np.concatenate([ahead[ahead <= last], np.arange(1, n + 1)[back >= first]])
+    key = np.unique(s * np.int64(n + 1) + e)
+    s, e = key // (n + 1), key % (n + 1)
+    low = hashes[s] if n else np.zeros(0, np.uint64)
+    for k in range(1, int((e - s).max(initial=1))):
+        more = s + k < e
+        low[more] = np.minimum(low[more], hashes[s[more] + k])
+    with np.errstate(over="ignore"):
+        up, down = powers(int(sizes.max(initial=0)))
+        place = np.arange(n) - first
+        run = np.concatenate(([np.uint64(0)], np.cumsum((hashes ^ hashes >> np.uint64(29)) * up[place], dtype=np.uint64)))
+        x = (run[e] - run[s]) * down[s - first[s]] + (e - s).astype(np.uint64)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    return text[s] if n else s, s, e, low, x ^ x >> np.uint64(31)
 
 
 def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, mark (hash of the text), and runs: (start, end) of the lines that repeat an earlier run.
+    """doc, mark (hash of the text), and runs: (start, end) characters of windows that stand earlier, as an array.
 
-    Earlier means a smaller id, or an earlier line of the same text. Rows alike in id and text are one document.
+    Earlier means a smaller id, or an earlier place of the same text; of texts that share an id, the one with the smaller
+    hash counts as the earlier. Rows alike in id and text are one document.
     """
-    common.text_batches(docs.sparkSession)
-    source = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    source = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("long"), F.xxhash64(text), F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.kept("lines", None, lambda: None)  # memory that other operators hold in this worker
         for batch in common.slices(batches):
-            places, hashes, words, prints, windows = [], [], [], [], []
-            for t in batch.column(2).to_pylist():
-                p, h, w = sequence(t)
-                places.append(np.array(p, "<i4").tobytes())
-                hashes.append(np.array(h, "<i8").tobytes())
-                words.append(np.array(w, "<i4").tobytes())
-                chosen = winnow(h, w, run_words)
-                prints.append([x for x, _ in chosen])
-                windows.append([x for _, x in chosen])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(places, pa.binary()), pa.array(hashes, pa.binary()), pa.array(words, pa.binary()), pa.array(prints, pa.list_(pa.int32())), pa.array(windows, pa.list_(pa.int64()))], names=["doc", "mark", "places", "hashes", "words", "prints", "windows"])
-
-    seqs = common.staged(source.mapInArrow(run, "doc long, mark long, places binary, hashes binary, words binary, prints array<int>, windows array<long>"), "lines", compact=True)
-
-    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = batch.column(3)
-            sizes = np.diff(prints.offsets.to_numpy())
-            pos = prints.flatten().to_numpy()
-            before, own, after = (np.zeros(len(pos), np.int64) for _ in range(3))
-            at = 0
-            for raw, n in zip(batch.column(2).to_pylist(), sizes.tolist(), strict=True):
-                if n:
-                    h = np.concatenate(([-1], np.frombuffer(raw, "<i8"), [-1]))
-                    p = pos[at : at + n]
-                    before[at : at + n], own[at : at + n], after[at : at + n] = h[p], h[p + 1], h[p + 2]
-                    at += n
-            take = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pos, pa.int32()), pa.array(before), pa.array(own), pa.array(after), batch.column(4).flatten()], names=["doc", "mark", "pos", "before", "own", "after", "window"])
-
-    prints = seqs.select("doc", "mark", "hashes", "prints", "windows")
-    at = F.struct("doc", "mark", "pos")
-    found = prints.mapInArrow(points, "doc long, mark long, pos int, before long, own long, after long, window long")
-    many = found.groupBy("own").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("own", "first")
-    found = common.staged(found.join(many, "own"), "prints")
-    # the first position with the same fingerprint, and the first with the window or a neighbouring line in common as well
-    beside = [F.xxhash64(F.lit(1), "own", "after"), F.xxhash64(F.lit(2), "own", "before"), F.when(F.col("window") != F.col("own"), F.xxhash64(F.lit(3), "own", "window"))]
-    sides = found.select("doc", "mark", "pos", F.explode(F.array(*beside)).alias("side")).where("side is not null")
-    firsts = sides.groupBy("side").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("side", "first")
-    near = sides.join(firsts, "side").select("doc", "mark", "pos", "first")
-    pairs = found.select("doc", "mark", "pos", "first").unionByName(near).where(at > F.col("first"))
-    # of the pairs of two documents on one diagonal, one for each stretch of positions is enough; extension is maximal
-    pairs = pairs.select("doc", "mark", "pos", F.col("first.doc").alias("doc2"), F.col("first.mark").alias("mark2"), F.col("first.pos").alias("pos2"))
-    pairs = pairs.groupBy("doc", "mark", "doc2", "mark2", (F.col("pos") - F.col("pos2")).alias("off")).agg(F.collect_set("pos").alias("at"))
-    once = seqs.dropDuplicates(["doc", "mark"])
-    early = once.select(F.col("doc").alias("doc2"), F.col("mark").alias("mark2"), F.col("hashes").alias("hashes2"))
-    both = pairs.join(early, ["doc2", "mark2"]).join(once.select("doc", "mark", "places", "hashes", "words"), ["doc", "mark"])
-
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, 1024):
-            docs_, marks, starts, ends = [], [], [], []
-            for r in batch.to_pylist():
-                a, b, words = np.frombuffer(r["hashes"], "<i8"), np.frombuffer(r["hashes2"], "<i8"), np.frombuffer(r["words"], "<i4")
-                done = -1
-                for i in sorted(r["at"]):
-                    if i < done:
-                        continue
-                    if a[i] != b[i - r["off"]]:
-                        continue
-                    s, n = extend(a, b, i, i - r["off"])
-                    done = s + n
-                    if words[s : s + n].sum() >= run_words:
-                        place = np.frombuffer(r["places"], "<i4")
-                        docs_.append(r["doc"])
-                        marks.append(r["mark"])
-                        starts.append(int(place[s]))
-                        ends.append(int(place[s + n - 1]) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(marks, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc", "mark", "start", "end"])
-
-    columns = ["doc", "mark", "at", "off", "hashes2", "places", "hashes", "words"]
-    runs = both.select(columns).mapInArrow(grow, "doc long, mark long, start int, end int").distinct()
-    return runs.groupBy("doc", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
+            cut = [pieces(t) for t in batch.column(2).to_pylist()]
+            a, b, h, w = (np.array([x for c in cut for x in c[k]], kind) for k, kind in enumerate((np.int32, np.int32, np.uint64, np.int64)))
+            of, s, e, low, whole = windows(h, w, np.array([len(c[0]) for c in cut], np.int64), run_words)
+            take = pa.array(of)
+            columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(a[s]), pa.array(b[e - 1]), pa.array(low.view(np.int64)), pa.array(whole.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "mark", "start", "end", "own", "window"])
+
+    found = common.staged(source.mapInArrow(run, "doc long, mark long, start int, end int, own long, window long"), "windows", compact=True)
+    # keys that stand once are done with; what the others are joined to is staged, so that Spark sees its size and splits hot keys
+    many = common.staged(found.groupBy("own").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("own"), "fingerprints", compact=True)
+    hits = common.staged(found.join(many, "own").select("doc", "mark", "start", "end", "window"), "hits", compact=True)
+    at = F.struct("doc", "mark", "start")
+    firsts = hits.groupBy("window").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("window", "first")
+    firsts = common.staged(firsts, "firsts", compact=True)
+    later = hits.join(firsts, "window").where(at > F.col("first")).select("doc", "mark", "start", "end")
+    return later.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+
+
+def without(text: str, runs: list[tuple[int, int]]) -> str:
+    """``text`` without the characters of ``runs`` (start, end). A run that begins in mid-line leaves its line end there."""
+    out, at = [], 0
+    merged: list[list[int]] = []
+    for a, b in sorted(runs):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    for a, b in merged:
+        out.append(text[at:a])
+        gone = text[a:b]
+        if a and text[a - 1] != "\n" and "\n" in gone[len(gone.rstrip()) :]:
+            out.append("\n")
+        at = b
+    out.append(text[at:])
+    left = "".join(out)
+    return left.rstrip() if at == len(text) and not text[-1].isspace() else left
 
 
 def dedup(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id", text: str = "text", drop_emptied: bool = True) -> DataFrame:
-    """``docs`` with later repeated runs of lines deleted from ``text``; all columns are kept, in order.
+    """``docs`` with later repeated runs deleted from ``text``; all columns are kept, in order, whatever their names.
 
-    A column n_chars gets the new length where a text changed. A document whose every line went is dropped if
+    A column n_chars gets the new length where a text changed. A document of which nothing but blanks is left is dropped if
     ``drop_emptied`` is true: it is a copy, whole, of what stands earlier. Rows with a null id or text stay as they are and
-    are not compared; texts with fewer words than ``run_words`` have no fingerprint and stay. Rows alike in id and text
-    are one document: each keeps what the first does. An empty table gives an empty table.
+    are not compared; texts with fewer words than ``run_words`` have no window and stay. Rows alike in id and text are one
+    document: each keeps what the first does. An empty table gives an empty table.
     """
-    runs = repeated_runs(docs, run_words, id_col, text)
-    names = docs.columns
-    base = docs.withColumn("__dedup_doc", F.col(id_col).cast("long")).withColumn("__dedup_mark", F.xxhash64(text))
-    found = runs.select(F.col("doc").alias("__dedup_doc"), F.col("mark").alias("__dedup_mark"), F.col("runs").alias("__dedup_runs"))
-    joined = base.join(found.hint("shuffle_hash"), ["__dedup_doc", "__dedup_mark"], "left")  # whole texts needn't be sorted
-    joined = joined.select(*names, "__dedup_runs")
+    found = repeated_runs(docs, run_words, id_col, text)
+    names, rows = docs.columns, docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), F.struct(*docs.columns).alias("row"))
+    joined = rows.join(found, ["doc", "mark"], "left").select("row", "runs")
     at = names.index(text)
     size = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            runs_ = batch.column(len(names)).to_pylist()
-            if not any(runs_):
-                yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names)
+            columns, cuts = batch.column(0).flatten(), batch.column(1).to_pylist()
+            if not any(cuts):
+                yield pa.RecordBatch.from_arrays(columns, names=names)
                 continue
-            out, keep, sizes = [], [], batch.column(size).to_pylist() if size is not None else []
-            for k, (t, cuts) in enumerate(zip(batch.column(at).to_pylist(), runs_, strict=True)):
-                if cuts:
-                    lines = t.split("\n")
-                    for cut in cuts:
-                        lines[cut["start"] : cut["end"]] = [None] * (cut["end"] - cut["start"])
-                    t = "\n".join(x for x in lines if x is not None)
-                    keep.append(bool(t.strip()) or not drop_emptied)
+            out, keep = columns[at].to_pylist(), np.ones(batch.num_rows, bool)
+            sizes = columns[size].to_pylist() if size is not None else []
+            for k, runs in enumerate(cuts):
+                if runs:
+                    out[k] = without(out[k], [(r["start"], r["end"]) for r in runs])
+                    keep[k] = not drop_emptied or bool(out[k].strip())
                     if size is not None:
-                        sizes[k] = len(t)
-                else:
-                    keep.append(True)
-                out.append(t)
-            columns = list(batch.columns[: len(names)])
+                        sizes[k] = len(out[k])
             columns[at] = pa.array(out, columns[at].type)
             if size is not None:
                 columns[size] = pa.array(sizes, columns[size].type)

@@ -117,15 +117,29 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], stats: np.ndarray, y: np.n
     return model
 
 
-def _with_size(docs: DataFrame) -> DataFrame:
-    size = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
-    return docs.withColumn("__stated_chars", size)
+def _stated(docs: DataFrame):
+    return F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+
+
+def _empty() -> Model:
+    return Model(0.0, np.zeros(HASHED + STATS), np.zeros((HASHED + STATS, RANK)), np.zeros(STATS), np.ones(STATS))
+
+
+def learn(table: pa.Table) -> Model:
+    """The model of rows (bucket, value, stats, target), the same for any order of them."""
+    stats = np.array(table.column("stats").to_pylist(), float).reshape(-1, STATS)
+    bucket, value = table.column("bucket").combine_chunks(), table.column("value").combine_chunks()
+    texts = [(bucket[i].values.to_numpy(), value[i].values.to_numpy()) for i in range(len(stats))]
+    y = np.array([int(x > 0) for x in table.column("target").to_pylist()], float)
+    marks = [zlib.crc32(a.tobytes() + b.tobytes()) for a, b in texts]
+    order = np.lexsort((y, marks, *stats.T))
+    return train([texts[i] for i in order.tolist()], stats[order], y[order])
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", held: int = 0, folds: int = 5, bound: int = 4000) -> Model:
-    """Learn from at most ``bound`` labelled documents outside the fold ``held``; features are taken where texts are."""
-    keep = _with_size(docs).where(F.col("text").isNotNull()).select("doc_id", F.struct("text", F.col("__stated_chars").alias("n")).alias("text"))
-    sample = common.labelled_sample(keep, labels, target, folds, held, bound).select("text.text", "text.n", "target")
+    """Learn from at most ``bound`` labelled rows outside the fold ``held``; features are taken where texts are, a task trains."""
+    rows = docs.where("text is not null").select("doc_id", "text", _stated(docs).alias("size"))
+    sample = common.labelled(rows, labels, target, folds, held, bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = WordStore(_bucket, 1)
@@ -133,17 +147,10 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", held: int =
             of, bucket, value, stats = features(batch.column(0).to_pylist(), batch.column(1).to_pylist(), store)
             cuts = np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (bucket, value)]
-            yield pa.RecordBatch.from_arrays([*lists, pa.array(stats.tolist(), pa.list_(pa.float64())), batch.column(2).cast(pa.int64())], names=["bucket", "value", "stats", "target"])
+            yield pa.RecordBatch.from_arrays([*lists, pa.array(stats.tolist(), pa.list_(pa.float64())), batch.column(2).cast(pa.int64()), *batch.columns[3:]], names=["bucket", "value", "stats", "target", "order", "tie"])
 
-    rows = sample.mapInArrow(run, "bucket array<long>, value array<double>, stats array<double>, target long").toArrow()
-    stats = np.array(rows["stats"].to_pylist(), float).reshape(-1, STATS)
-    order = np.lexsort(stats.T)  # the same model for any order of rows
-    y = np.array([int(x > 0) for x in rows["target"].to_pylist()], float)[order]
-    bucket, value = rows["bucket"].combine_chunks(), rows["value"].combine_chunks()
-    texts = [(bucket[i].values.to_numpy(), value[i].values.to_numpy()) for i in order.tolist()]
-    if not len(y):
-        return Model(0.0, np.zeros(HASHED + STATS), np.zeros((HASHED + STATS, RANK)), np.zeros(STATS), np.ones(STATS))
-    return train(texts, stats[order], y)
+    made = sample.select("text", "size", "target", "order", F.xxhash64("text", "size").alias("tie")).mapInArrow(run, "bucket array<long>, value array<double>, stats array<double>, target long, order long, tie long")
+    return common.trained(common.first_rows(made, bound), learn) or _empty()
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
@@ -156,15 +163,15 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
     kept = [f for f in docs.schema.fields if f.name != column]
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField(column, T.DoubleType())])
-    common.text_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, store = shipped.value, common.kept("quality", "words", lambda: WordStore(_bucket, 1))
         for batch in common.slices(batches, 64):
-            got = m.inputs(*features(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), store))
+            columns = batch.column(0).flatten()
+            got = m.inputs(*features(columns[at].to_pylist(), batch.column(1).to_pylist(), store))
             z = m.logits(*got, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*names, column])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*names, column])
 
-    return _with_size(docs).select(*names, "__stated_chars").mapInArrow(run, schema)
+    return docs.select(F.struct(*names).alias("row"), _stated(docs).alias("size")).mapInArrow(run, schema)

@@ -165,7 +165,7 @@ def sums(posts: DataFrame, model) -> DataFrame:
     return posts.mapInArrow(run, f"batch long, sums binary, ids {ids}, sizes array<long>")
 
 
-def token_counts(docs: DataFrame, limit: int = 4096, id_col: str = "doc_id", text: str = "text", vocabulary: str = f"{common.TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+def token_counts(docs: DataFrame, limit: int = 4096, id_col: str = "doc_id", text: str = "text", vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of each whole text.
 
     Null texts count as empty: no bytes, no tokens. Each input row gives one row, also when rows or ids repeat or the
@@ -173,8 +173,7 @@ def token_counts(docs: DataFrame, limit: int = 4096, id_col: str = "doc_id", tex
     batch, so its documents are never gathered in one place; it is counted once in each task that has a share of it.
     """
     spark = docs.sparkSession
-    common.text_batches(spark)
-    model = spark.sparkContext.broadcast(common.read_bytes(vocabulary))
+    model = spark.sparkContext.broadcast(common.vocabulary_bytes(vocabulary))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # the more tasks, the more buckets
     posts = common.staged(postings(docs, model, buckets, id_col, text), "postings")
     both = sums(posts.repartition("bucket"), model)

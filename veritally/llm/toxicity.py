@@ -3,7 +3,7 @@
 A word is the mean of the vectors of its character n-grams and of the word itself, hashed into buckets, so a misspelling
 shares most of its n-grams with the word it stands for. A text is the mean of its words. The softmax is linear, so after
 training a bucket's vector is folded into one number, the difference of the classes, and a text is scored in one pass over
-its words. A long text is scored as its most toxic stretch, as a mean over thousands of words would hide a few.
+its words. Texts of all lengths are learned and scored alike, as the mean of all their words.
 """
 
 from __future__ import annotations
@@ -11,23 +11,23 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritally.llm import common
-from veritally.llm.words import WordStore
+from veritally.llm.words import WordStore, by_text
 
 BUCKETS, DIM = 1 << 16, 8
 WORD = re.compile(r"\w+")
-LETTERS = 40  #: a longer word has no bucket of its own, only those of its n-grams
 GAIN = 100.0  #: by which means are multiplied before the softmax; it sets the pace of training, not what can be learned
 CALM = 10  #: words without any meaning that each text is taken to have besides its own, so that one odd word doesn't settle a short text
-STRETCH = 256  #: words of the stretches that a longer text is scored by; they overlap by half
 
 
 def words_of(text: str | None) -> list[str]:
@@ -37,7 +37,7 @@ def words_of(text: str | None) -> list[str]:
 def buckets_of(word: str) -> list[int]:
     """Buckets of the whole word and of its n-grams of 3 to 5 letters, with marks at its ends."""
     s = f"<{word}>"
-    grams = {s} if len(s) <= LETTERS else set()
+    grams = {s}
     for n in (3, 4, 5):
         grams.update(s[i : i + n] for i in range(len(s) - n + 1))
     return [zlib.crc32(g.encode()) & BUCKETS - 1 for g in sorted(grams)]
@@ -49,118 +49,99 @@ class Model:
     bias: float
 
 
-def train(words: list[str], ids: np.ndarray, times: np.ndarray, sizes: np.ndarray, labels: np.ndarray, epochs: int = 12, rate: float = 0.1, batch: int = 64, least: int = 5, decay: float = 1e-4, weight: float = 2.0, seed: int = 11) -> Model:
-    """Adagrad on mini-batches of texts; a text is the next ``sizes`` of (ids of words, times).
+def bags(words: list[list[str]], times: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text, the buckets of its words' n-grams and their shares in the mean of its words."""
+    known: dict[str, np.ndarray] = {}
+    out = []
+    for own, n in zip(words, times, strict=True):
+        found = [known[w] if w in known else known.setdefault(w, np.array(buckets_of(w), np.uint16)) for w in own]
+        sizes = np.array([len(x) for x in found], np.int64)
+        share = np.repeat(n / (CALM + n.sum()) / sizes, sizes) if len(own) else np.zeros(0)
+        whole = np.bincount(np.concatenate(found) if len(own) else np.zeros(0, np.int64), share, BUCKETS).astype(np.float32)
+        at = np.flatnonzero(whole)
+        out.append((at.astype(np.uint16), whole[at]))
+    return out
 
-    Words that fewer than ``least`` texts have are left out of training, so that no text is learned by heart; a toxic
-    text weighs ``weight`` times a clean one.
-    """
+
+def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, rate: float = 0.1, batch: int = 64, decay: float = 1e-4, weight: float = 4.0, seed: int = 11) -> Model:
+    """Adagrad on mini-batches; vectors, softmax and bias are trained together. A toxic text weighs ``weight`` times a clean one."""
     rng = np.random.default_rng(seed)
     g = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
     w = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     rate1 = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
-    b = np.array([0, math.log(rate1 / (1 - rate1))])  # fixed: what a text without words is taken for
-    seen_g, seen_w = np.full_like(g, 1e-6), np.full_like(w, 1e-2)
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    share = GAIN * times / (CALM + np.bincount(of, times, len(sizes))[of])
-    often = np.bincount(ids, minlength=len(words)) >= least
-    keep = often[ids]
-    ids, share, of = ids[keep], share[keep], of[keep]
-    cuts = np.searchsorted(of, np.arange(len(sizes) + 1))
-    lists = [np.array(buckets_of(x) if use else [], np.int64) for x, use in zip(words, often.tolist(), strict=True)]
-    n_grams = np.array([len(x) for x in lists], np.int64)
-    flat = np.concatenate(lists)
-    first = np.cumsum(n_grams) - n_grams
+    b = np.array([0, math.log(rate1 / (1 - rate1))])
+    seen_g, seen_w, seen_b = np.full_like(g, 1e-6), np.full_like(w, 1e-2), np.ones(2)
     for _ in range(epochs):
-        order = rng.permutation(len(sizes))
+        order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):
             part = order[at : at + batch]
-            take = np.concatenate([np.arange(cuts[i], cuts[i + 1]) for i in part])
-            if not len(take):
-                continue
-            text = np.repeat(np.arange(len(part)), cuts[part + 1] - cuts[part])
-            own, inverse = np.unique(ids[take], return_inverse=True)
-            n = n_grams[own]
-            starts = np.cumsum(n) - n
-            grams, at_gram = np.unique(flat[np.repeat(first[own] - starts, n) + np.arange(n.sum())], return_inverse=True)
-            e = np.add.reduceat(g[grams][at_gram], starts, axis=0) / n[:, None]
-            x = np.stack([np.bincount(text, e[inverse, k] * share[take], len(part)) for k in range(DIM)], axis=1)
-            z = x @ w + b
+            own, inverse = np.unique(np.concatenate([texts[i][0] for i in part]), return_inverse=True)
+            x = np.zeros((len(part), len(own)), np.float32)
+            x[np.repeat(np.arange(len(part)), [len(texts[i][0]) for i in part]), inverse] = np.concatenate([texts[i][1] for i in part]) * GAIN
+            mean = x @ g[own]
+            z = mean @ w + b
             d = np.exp(z - z.max(axis=1, keepdims=True))
             d /= d.sum(axis=1, keepdims=True)
             y = labels[part]
             d[np.arange(len(part)), y] -= 1
             d *= np.where(y == 1, weight, 1.0)[:, None] / len(part)
-            dx = d @ w.T
-            de = np.stack([np.bincount(inverse, dx[text, k] * share[take], len(own)) for k in range(DIM)], axis=1) / n[:, None]
-            de = np.repeat(de, n, axis=0)
-            dg = np.stack([np.bincount(at_gram, de[:, k], len(grams)) for k in range(DIM)], axis=1) + decay * g[grams]
-            seen_g[grams] += dg * dg
-            g[grams] -= rate * dg / np.sqrt(seen_g[grams])
-            dw = x.T @ d
+            dg = x.T @ (d @ w.T).astype(np.float32) + decay * g[own]
+            seen_g[own] += dg * dg
+            g[own] -= rate * dg / np.sqrt(seen_g[own])
+            dw, db = mean.T @ d, d.sum(axis=0)
             seen_w += dw * dw
             w -= rate * dw / np.sqrt(seen_w)
+            seen_b += db * db
+            b -= rate * db / np.sqrt(seen_b)
     return Model(GAIN * (g @ (w[:, 1] - w[:, 0])).astype(np.float64), float(b[1] - b[0]))
 
 
+def _constant(rate: float) -> Model:
+    rate = float(np.clip(rate, 1e-3, 1 - 1e-3))
+    return Model(np.zeros(BUCKETS), math.log(rate / (1 - rate)))
+
+
+def learn(table: pa.Table) -> Model:
+    """The model of rows (words, times, target), the same for any order of them."""
+    y = np.array([int(x > 0) for x in table.column("target").to_pylist()], np.int64)
+    words, times = table.column("words").to_pylist(), [np.array(x, np.float64) for x in table.column("times").to_pylist()]
+    if len(set(y.tolist())) < 2 or not any(words):
+        return _constant(y.mean())
+    texts = bags(words, times)
+    marks = [zlib.crc32(a.tobytes() + b.tobytes()) for a, b in texts]
+    order = np.lexsort((y, [len(a) for a, _ in texts], marks))
+    return train([texts[i] for i in order.tolist()], y[order])
+
+
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", held: int = 0, folds: int = 5, bound: int = 8000) -> Model:
-    """Learn from the whole texts of at most ``bound`` labelled documents outside the fold ``held``."""
-    common.text_batches(docs.sparkSession)
-    sample = common.labelled_sample(docs, labels, target, folds, held, bound)
+    """Learn from the whole texts of at most ``bound`` labelled rows outside the fold ``held``; a task trains, not the driver."""
+    sample = common.labelled(docs.select("doc_id", "text").where("text is not null"), labels, target, folds, held, bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 64):
-            found = [np.unique(np.array(words_of(t), object), return_counts=True) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([w.tolist() for w, _ in found], pa.list_(pa.string())), pa.array([n.tolist() for _, n in found], pa.list_(pa.int32())), batch.column("target").cast(pa.int64())], names=["words", "times", "target"])
-
-    rows = sample.mapInArrow(run, "words array<string>, times array<int>, target long").toArrow().combine_chunks()
-    y = np.array([int(x > 0) for x in rows["target"].to_pylist()], np.int64)
-    lists = rows["words"].combine_chunks() if len(y) else None
-    sizes = np.array([len(x) for x in rows["times"].to_pylist()], np.int64)
-    if len(set(y.tolist())) < 2 or not sizes.sum():
-        rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
-        return Model(np.zeros(BUCKETS), math.log(rate / (1 - rate)))
-    coded = lists.flatten().dictionary_encode()
-    words, ids = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-    times = rows["times"].combine_chunks().flatten().to_numpy().astype(np.float64)
-    del rows, lists, coded  # the driver needs the room
-    # texts and words in an order of their own, so that the model is the same for any order of rows
-    rank = np.argsort(np.argsort(np.array(words, object)))
-    starts = np.cumsum(sizes) - sizes
-    marks = np.array([zlib.crc32(rank[ids[s : s + n]].astype("<i8").tobytes() + times[s : s + n].tobytes()) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
-    order = np.lexsort((y, sizes, marks))
-    take = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in order])
-    return train(sorted(words), rank[ids[take]], times[take], sizes[order], y[order])
+            found = [Counter(words_of(t)) for t in batch.column("text").to_pylist()]
+            words = [sorted(c) for c in found]
+            times = [[c[w] for w in own] for c, own in zip(found, words, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32())), batch.column("target").cast(pa.int64()), batch.column("order"), batch.column("tie")], names=["words", "times", "target", "order", "tie"])
+
+    rows = sample.select("text", "target", "order", F.xxhash64("text").alias("tie")).mapInArrow(run, "words array<string>, times array<int>, target long, order long, tie long")
+    return common.trained(common.first_rows(rows, bound), learn) or _constant(0.0)
 
 
 def store_of(model: Model) -> WordStore:
     return WordStore(lambda words: np.array([[np.mean(model.weight[buckets_of(w)])] for w in words]), 1)
 
 
-def highest(each: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Of each text, a stretch of ``each`` with the given size, its highest mean over STRETCH words."""
-    total = np.concatenate(([0.0], np.cumsum(each)))
-    ends = np.cumsum(sizes)
-    out = (total[ends] - total[ends - sizes]) / (CALM + sizes)
-    for i in np.flatnonzero(sizes > STRETCH).tolist():
-        last = ends[i] - STRETCH
-        at = np.append(np.arange(ends[i] - sizes[i], last, STRETCH // 2), last)
-        out[i] = (total[at + STRETCH] - total[at]).max() / (CALM + STRETCH)
-    return out
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """Add ``column``, the probability of class 1, to each row; every column is kept.
 
-    Only the text is read, all of it: texts of up to STRETCH words as one mean, longer ones as the highest of the means
-    over stretches of that length, the last of them at the end. Null and empty texts and texts without words have the score of the bias alone. If
-    the labels hold one class only, or none, the score is constant. Repeated rows and null ids give rows of their own;
-    an input column named ``column`` is replaced.
+    Only the text is read, all of it, as one mean of its words. Null and empty texts and texts without words have the
+    score of the bias alone. If the labels hold one class only, or none, the score is constant. Repeated rows and null
+    ids give rows of their own; an input column named ``column`` is replaced.
     """
     kept = [f for f in docs.schema.fields if f.name != column]
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField(column, T.DoubleType())])
-    common.text_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = names.index(text)
 
@@ -170,8 +151,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
         for batch in common.slices(batches, 64):
             found = [words_of(t) for t in batch.column(at).to_pylist()]
             sizes = [len(x) for x in found]
-            each = store.find([w for x in found for w in x])[:, 0]
-            z = highest(each, np.array(sizes, np.int64)) + m.bias
+            z = by_text(store.find([w for x in found for w in x])[:, 0], sizes) / (CALM + np.array(sizes)) + m.bias
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*names, column])
 
-    return docs.select(*[docs[n] for n in names]).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(run, schema)
