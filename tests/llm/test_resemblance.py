@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 from tests.conftest import SMALL
 from tests.llm.test_text_operators import ODD, components
-from veritally.llm import resemblance
+from veritally.llm import simhash
 
 
 def plain_set(text, width=5):
@@ -35,18 +35,18 @@ def test_links_are_those_of_the_shingles(spark):
     docs = spark.createDataFrame([*rows, rows[5], (None, texts[len(ODD)])], "doc_id long, text string")
     sets = dict((i, plain_set(t)) for i, t in rows)
     want = components(list(sets), [(a, b) for a in sets for b in sets if a < b and plain_similarity(sets[a], sets[b]) >= 0.8])
-    got = resemblance.near_duplicates(docs).collect()
+    got = simhash.near_copies(docs).collect()
     assert len(got) == len(rows) + 2
     for r in got:
         assert r["component_id"] == want[len(ODD) if r["doc_id"] is None else r["doc_id"]]
-    assert resemblance.near_duplicates(docs.limit(0)).collect() == []
+    assert simhash.near_copies(docs.limit(0)).collect() == []
 
 
 def test_chain_of_which_the_first_is_no_neighbour_of_the_last(spark):
     words = [f"w{i}" for i in range(300)]
     texts = [" ".join(words[k : k + 200]) for k in range(0, 100, 15)]  # neighbours share 181 of 211 shingles, next ones 166 of 226
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["component_id"] for r in resemblance.near_duplicates(docs).collect()} == {0}
+    assert {r["component_id"] for r in simhash.near_copies(docs).collect()} == {0}
 
 
 def test_stage_drops_a_document_with_one_changed_word(spark):

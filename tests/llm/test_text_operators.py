@@ -275,12 +275,38 @@ def test_leaks_in_parts(spark, monkeypatch):
     assert sorted((r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench).collect()) == [(i, i) for i in range(9)]
 
 
-def test_radius_guarantee():
-    size = decontam.Size(12, [(0, np.arange(1, 13))], 16)
-    rng = random.Random(3)
-    for _ in range(300):
+@pytest.mark.parametrize("others", [0, 3000])
+def test_radius_guarantee(others):
+    """Whatever lies within the radius is found, beside few items and beside many."""
+    rng, numbers = random.Random(3), np.random.default_rng(1)
+    size = decontam.Size(12, [(i, numbers.integers(1, 1 << 63, 12, dtype=np.uint64)) for i in range(1 + others)], 16)
+    for _ in range(200):
         flips = rng.sample(range(64), rng.randrange(20))
         f = size.prints[0]
         for b in flips:
             f ^= 1 << b
-        assert bool(size.near(f)) == (len(flips) <= 16)
+        want = [i for i, x in enumerate(size.prints) if (x ^ f).bit_count() <= 16]
+        assert size.near(f) == want and (0 in want) == (len(flips) <= 16)
+
+
+def test_fingerprints_depend_on_the_window_alone():
+    item = "one item of the benchmark with words of its own and nothing else"
+    alone = decontam.Benchmark([(1, item)])
+    beside = decontam.Benchmark([(0, "of words the benchmark another item"), (1, item), (2, "nothing else but one")])
+    find = lambda b: next(s for s in b.sizes if s.words == len(item.split())).prints
+    assert find(alone) == find(beside)
+
+
+def test_recall_of_fingerprints():
+    """Of windows with a weighted similarity from 0.8 to 0.85 the radius reaches nearly all."""
+    rng = random.Random(6)
+    met = []
+    while len(met) < 400:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 200))]
+        other = list(words)
+        for _ in range(max(1, len(words) // 45)):
+            other[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        a, b = (decontam.shingle_hashes(np.array([decontam.word_hash(w) for w in x], np.uint64), 5) for x in (words, other))
+        if 0.8 <= decontam.similarity(Counter(a.tolist()), Counter(b.tolist())) <= 0.85:
+            met.append((decontam.simhash(a) ^ decontam.simhash(b)).bit_count() <= decontam.RADIUS)
+    assert np.mean(met) > 0.97

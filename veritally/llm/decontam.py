@@ -1,9 +1,10 @@
 """Benchmark decontamination: fingerprints of item-sized windows, Hamming blocks, and exact shingle similarity.
 
 Each benchmark item of n words is compared to all windows of n words of a document. A window's SimHash, over the hashes
-of its five-word shingles, is looked up in an index of the items of that size by blocks of bits: fingerprints within
-the radius agree on at least one of radius + 1 blocks, so none of them is missed. For items so found the weighted
-Jaccard similarity of the two multisets of shingles decides.
+of its five-word shingles, is looked up in an index of the items of that size by blocks of bits: of two fingerprints
+within the radius at least one block differs in no more than its share of the radius, and all such values of a block are
+probed, so none of them is missed. For items so found the weighted Jaccard similarity of the two multisets of shingles
+decides. A fingerprint depends on the words of its window alone.
 
 A similarity of s over k shingles on each side needs 2 s k / (1 + s) of them in common. Windows that have fewer shingles
 of any item of their size can't pass the last test, and are left out before fingerprints are taken.
@@ -19,6 +20,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +29,17 @@ from veritally.llm import common
 WORD = re.compile(r"\w+")
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 16
 PASS_BYTES = 32_000_000  #: of benchmark text that one pass over the documents compares
+BLOCKS = 4  #: of 16 bits of a fingerprint
+_all = np.arange(1 << 64 // BLOCKS, dtype=np.uint16)
 FACTORS = np.random.default_rng(23).integers(1 << 62, 1 << 63, WIDTH, dtype=np.uint64) | np.uint64(1)  #: one for each place in a shingle
 
 
+def word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode(), 42) or 1
+
+
 def shingle_hashes(ids: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit hash for each run of ``width`` word ids, or for those that start at ``at``; all bits depend on all words."""
+    """A 64-bit hash for each run of ``width`` hashes of words, or for those that start at ``at``; all bits depend on all words."""
     at = np.arange(max(0, len(ids) - width + 1)) if at is None else at
     with np.errstate(over="ignore"):
         x = np.full(len(at), width, np.uint64)
@@ -81,20 +89,30 @@ class Size:
         self.known = Hashes(np.concatenate(hashes))
         self.bags = [Counter(h.tolist()) for h in hashes]
         self.prints = [simhash(h) for h in hashes]
-        edges = np.linspace(0, 64, radius + 2).round().astype(int).tolist()
-        self.blocks = [(a, (1 << b - a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-        self.index: dict[tuple[int, int], list[int]] = {}
-        for i, f in enumerate(self.prints):
-            for k, (shift, mask) in enumerate(self.blocks):
-                self.index.setdefault((k, f >> shift & mask), []).append(i)
+        self.wide = np.array(self.prints, np.uint64)
+        self.masks = _all[np.bitwise_count(_all) <= radius // BLOCKS]  # what a block may differ in if all do not exceed the radius
+        self.index = []
+        for k in range(BLOCKS):
+            block = (self.wide >> np.uint64(16 * k)).astype(np.uint16)
+            order = np.argsort(block, kind="stable")
+            self.index.append((block[order], order))
 
     def near(self, fingerprint: int) -> list[int]:
-        found = {i for k, (shift, mask) in enumerate(self.blocks) for i in self.index.get((k, fingerprint >> shift & mask), ())}
-        return [i for i in sorted(found) if (self.prints[i] ^ fingerprint).bit_count() <= self.radius]
+        """Items whose fingerprint differs in ``radius`` bits or fewer."""
+        found = []
+        for k, (block, order) in enumerate(self.index):
+            own = np.uint16(fingerprint >> 16 * k & 0xFFFF)
+            if len(block) <= len(self.masks):  # then a look at each item costs less than the probes
+                found.append(order[np.bitwise_count(block ^ own) <= self.radius // BLOCKS])
+                continue
+            low, high = (np.searchsorted(block, own ^ self.masks, side) for side in ("left", "right"))
+            found += [order[a:b] for a, b in zip(low[high > low].tolist(), high[high > low].tolist(), strict=True)]
+        some = np.unique(np.concatenate(found))
+        return some[np.bitwise_count(self.wide[some] ^ np.uint64(fingerprint)) <= self.radius].tolist()
 
 
 class Benchmark:
-    """Items by size, ready to be compared; words outside the benchmark are all alike."""
+    """Items by size, ready to be compared."""
 
     def __init__(self, rows: list[tuple[int, str]], threshold: float = SIMILARITY, radius: int = RADIUS):
         self.threshold = threshold
@@ -106,7 +124,7 @@ class Benchmark:
         sizes: dict[int, list] = {}
         self.same: list[list[int]] = []
         for words, items in by_words.items():
-            sizes.setdefault(len(words), []).append((len(self.same), np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words])))
+            sizes.setdefault(len(words), []).append((len(self.same), np.array([self.ids.setdefault(w, word_hash(w)) for w in words], np.uint64)))
             self.same.append(items)
         self.sizes = [Size(n, x, radius) for n, x in sorted(sizes.items())]
         widths = {s.width for s in self.sizes}
@@ -119,7 +137,7 @@ class Benchmark:
         n = len(words)
         if n < self.shortest:
             return []
-        ids = np.fromiter(map(self.ids.get, words, repeat(0)), np.int64, n)
+        ids = np.fromiter(map(self.ids.get, words, repeat(0)), np.uint64, n)  # 0: a word that no item has
         strange = np.concatenate(([0], np.cumsum(ids == 0)))
         out = []
         hits_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -147,7 +165,9 @@ class Benchmark:
             if not len(starts):
                 continue
             low = int(starts[0])
-            around = shingle_hashes(ids[low : int(starts[-1]) + size.words], size.width)
+            end = int(starts[-1]) + size.words
+            own = np.array([x or word_hash(w) for x, w in zip(ids[low:end].tolist(), words[low:end], strict=True)], np.uint64)
+            around = shingle_hashes(own, size.width)
             best: dict[int, list] = {}
             for s in starts.tolist():
                 part = around[s - low : s - low + k]
@@ -171,10 +191,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY,
     Words are runs of letters, digits and underscores in lower case; ``start`` counts them. Of overlapping windows the
     most similar counts, the first of equals. Items without words, and null ones, leak nowhere; equal items leak
     together; items of fewer than five words are one shingle. Null and short texts have no leaks; each row with leaks gives
-    its own rows, also when ids repeat or are null. The benchmark goes to the tasks in parts of at most PASS_BYTES on
-    average, with a pass over the documents for each part; one of any size is compared whole.
+    its own rows, also when ids repeat or are null. The benchmark's size is checked: it goes to the tasks in parts of at
+    most PASS_BYTES on average, with a pass over the documents for each; the parts have no bearing on the result.
     """
-    common.text_batches(docs.sparkSession)
     source = docs.select(id_col, text)
     kind = source.schema[0].dataType.simpleString()
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")

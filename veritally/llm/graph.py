@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 
     Each round hangs a node's larger neighbours, then its smaller ones, on its smallest neighbour, until the edges are
     the stars of the components. Minima are aggregated before rows move, and only joins meet a frequent node, so no
-    task gathers a component. Rounds are written to the shared folder. Loops and repeated edges are allowed; null ends
+    task gathers a component. Each round is written to the shared folder, and the one before deleted. Loops and repeated edges are allowed; null ends
     are dropped; without edges the result is empty.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -34,6 +34,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = common.staged(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), name)
         new = _mark(after)
+        common.discard(e)  # executors that are lost later read the new round
         e = after
         if new == mark:
             break
