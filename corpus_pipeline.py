@@ -1,10 +1,16 @@
-"""A corpus pipeline: five stages, each on what its predecessor kept."""
+"""A corpus pipeline: five stages, each on what its predecessor kept.
+
+All stages but the last keep the columns of their input, whatever they are called. A row with a null id is never compared
+by lines, never dropped as a copy or a leak, and is encoded like any other; a null text counts as empty. Repeated rows are
+judged alike: copies of a row share its fate, apart from near-duplicate removal, which goes by id. Empty tables give empty
+tables. Texts of any length are read whole.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritally.llm import bpe, common, decontam, lines, resemblance, toxicity
+from veritally.llm import bpe, common, decontam, lines, simhash, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +26,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that shares 0.8 of its five-word shingles the document with the smallest id stays; documents without id stay."""
-    found = resemblance.near_duplicates(docs)
+    found = simhash.near_copies(docs)
     later = common.staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "later")  # broadcast if it is small
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 
@@ -48,7 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The token ids and digests of the documents that all stages kept; each stage's rows are written before the next reads them."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = common.staged(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            common.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
