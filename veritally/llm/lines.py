@@ -3,8 +3,9 @@
 A text is cut into pieces: at line ends, after sentence ends, and within a piece of more than LONG words after words that
 their own hash chooses, so that a passage in the middle of a line is cut alike wherever it stands. Pieces are hashed in
 lower case with blanks collapsed. From each piece on, a window is the shortest stretch ahead that has ``run_words`` words
-or more, and the shortest one back; its smallest hash is its fingerprint, so two texts that share a window share a
-fingerprint. Positions are joined by fingerprint, and those whose fingerprint stands nowhere else are done with. The others
+or more, and the shortest one back; its minimum is its fingerprint, so two texts that share a window share a fingerprint.
+Pieces of more words count as the smaller ones and equal ones go by hash, so that short, common pieces are seldom chosen.
+Positions are joined by fingerprint, and those whose fingerprint stands nowhere else are done with. The others
 are extended ahead and back to their windows: a run of pieces with ``run_words`` words or more repeats an earlier one
 exactly where the windows that cover it do, so each window is held against its first occurrence anywhere, and what
 windows that stand earlier cover together are the maximal repeated runs. Their later occurrences go.
@@ -28,6 +29,7 @@ RUN_WORDS = 10
 LONG = 24  #: words from which a piece without sentence ends is cut further
 CUT = re.compile(r"[.!?]\s+|\n\s*")
 WORD = re.compile(r"\S+\s*")
+ODD = re.compile(r"  |[^\S \n]")
 BASE = 0x9E3779B97F4A7C15  #: odd, so it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -41,25 +43,32 @@ def pieces(text: str | None) -> tuple[list[int], list[int], list[int], list[int]
     cuts = [m.end() for m in CUT.finditer(text)]
     if not cuts or cuts[-1] < len(text):
         cuts.append(len(text))
+    low = text.lower()
+    plain = len(low) == len(text) and not ODD.search(low)  # words are parted by single blanks
     at = 0
     for end in cuts:
-        own = text[at:end].lower().split()
-        if len(own) > LONG:
-            low, part = at, []
+        if plain:
+            whole = low[at:end].strip()
+            n = whole.count(" ") + 1 if whole else 0
+        else:
+            own = text[at:end].lower().split()
+            whole, n = " ".join(own), len(own)
+        if n > LONG:
+            start, part = at, []
             for m in WORD.finditer(text, at, end):
                 w = m.group().lower().split()
                 part += w
                 if m.end() >= end or (w and not zlib.crc32(w[-1].encode()) & 7):
-                    starts.append(low)
+                    starts.append(start)
                     ends.append(m.end())
                     hashes.append(digest(" ".join(part).encode()))
                     words.append(len(part))
-                    low, part = m.end(), []
-        elif own:
+                    start, part = m.end(), []
+        elif n:
             starts.append(at)
             ends.append(end)
-            hashes.append(digest(" ".join(own).encode()))
-            words.append(len(own))
+            hashes.append(digest(whole.encode()))
+            words.append(n)
         at = end
     return starts, ends, hashes, words
 
@@ -75,7 +84,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(hashes: np.ndarray, words: np.ndarray, sizes: np.ndarray, run_words: int = RUN_WORDS) -> tuple[np.ndarray, ...]:
-    """(text, first piece, last piece exclusive, smallest hash, hash of the window) of all windows of the texts.
+    """(text, first piece, last piece exclusive, minimum, hash) of all windows of the texts; (text, minimum) of its positions.
 
     ``sizes`` is the number of pieces of each text; hashes (unsigned) and words are those of all texts, one after another.
     """
@@ -90,17 +99,21 @@ def windows(hashes: np.ndarray, words: np.ndarray, sizes: np.ndarray, run_words:
     e = np.concatenate([ahead[ahead <= last], np.arange(1, n + 1)[back >= first]])
     key = np.unique(s * np.int64(n + 1) + e)
     s, e = key // (n + 1), key % (n + 1)
-    low = hashes[s] if n else np.zeros(0, np.uint64)
+    order = (255 - np.minimum(words, 255)).astype(np.uint64) << np.uint64(56) | hashes >> np.uint64(8)
+    low, at = order[s], s.copy()
     for k in range(1, int((e - s).max(initial=1))):
-        more = s + k < e
-        low[more] = np.minimum(low[more], hashes[s[more] + k])
+        more = np.flatnonzero(s + k < e)
+        more = more[order[s[more] + k] < low[more]]
+        at[more] = s[more] + k
+        low[more] = order[at[more]]
     with np.errstate(over="ignore"):
         up, down = powers(int(sizes.max(initial=0)))
         place = np.arange(n) - first
         run = np.concatenate(([np.uint64(0)], np.cumsum((hashes ^ hashes >> np.uint64(29)) * up[place], dtype=np.uint64)))
         x = (run[e] - run[s]) * down[s - first[s]] + (e - s).astype(np.uint64)
         x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    return text[s] if n else s, s, e, low, x ^ x >> np.uint64(31)
+    chosen = np.unique(at)
+    return text[s], s, e, low, x ^ x >> np.uint64(31), text[chosen], order[chosen]
 
 
 def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,15 +129,18 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "do
         for batch in common.slices(batches):
             cut = [pieces(t) for t in batch.column(2).to_pylist()]
             a, b, h, w = (np.array([x for c in cut for x in c[k]], kind) for k, kind in enumerate((np.int32, np.int32, np.uint64, np.int64)))
-            of, s, e, low, whole = windows(h, w, np.array([len(c[0]) for c in cut], np.int64), run_words)
-            take = pa.array(of)
-            columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(a[s]), pa.array(b[e - 1]), pa.array(low.view(np.int64)), pa.array(whole.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "mark", "start", "end", "own", "window"])
+            of, s, e, low, whole, holder, chosen = windows(h, w, np.array([len(c[0]) for c in cut], np.int64), run_words)
+            cuts, cuts2 = (pa.array(np.concatenate(([0], np.cumsum(np.bincount(x, minlength=batch.num_rows)))).astype(np.int32)) for x in (of, holder))
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (a[s], b[e - 1], low.view(np.int64), whole.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *lists, pa.ListArray.from_arrays(cuts2, pa.array(chosen.view(np.int64)))], names=["doc", "mark", "start", "end", "own", "window", "prints"])
 
-    found = common.staged(source.mapInArrow(run, "doc long, mark long, start int, end int, own long, window long"), "windows", compact=True)
+    found = common.staged(source.mapInArrow(run, "doc long, mark long, start array<int>, end array<int>, own array<long>, window array<long>, prints array<long>"), "windows")
     # keys that stand once are done with; what the others are joined to is staged, so that Spark sees its size and splits hot keys
-    many = common.staged(found.groupBy("own").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("own"), "fingerprints", compact=True)
-    hits = common.staged(found.join(many, "own").select("doc", "mark", "start", "end", "window"), "hits", compact=True)
+    prints = found.select(F.explode("prints").alias("own"))
+    many = common.staged(prints.groupBy("own").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("own"), "fingerprints", compact=True)
+    hits = found.select("doc", "mark", F.inline(F.arrays_zip("own", "window", "start", "end"))).join(many, "own")
+    hits = common.staged(hits.select("doc", "mark", "start", "end", "window"), "hits", compact=True)
+    common.discard(found)
     at = F.struct("doc", "mark", "start")
     firsts = hits.groupBy("window").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("window", "first")
     firsts = common.staged(firsts, "firsts", compact=True)
