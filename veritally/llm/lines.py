@@ -1,8 +1,8 @@
 """Line dedup: winnowing over hashes of lines, matches extended both ways, later repeated runs deleted.
 
-A text is cut into pieces: at line ends, after sentence ends, and within a piece of more than LONG words after words that
-their own hash chooses, so that a passage in the middle of a line is cut alike wherever it stands. Pieces are hashed in
-lower case with blanks collapsed. From each piece on, a window is the shortest stretch ahead that has ``run_words`` words
+A text is cut into pieces: its lines, and lines of more than LONG words after those sentence ends that the letters before
+them choose; what is then over twice as long, after all sentence ends, and after words that their hash chooses. So a passage in the middle of a line is cut
+alike wherever it stands. Pieces are hashed in lower case with blanks collapsed. From each piece on, a window is the shortest stretch ahead that has ``run_words`` words
 or more, and the shortest one back; its minimum is its fingerprint, so two texts that share a window share a fingerprint.
 Pieces of more words count as the smaller ones and equal ones go by hash, so that short, common pieces are seldom chosen.
 Positions are joined by fingerprint, and those whose fingerprint stands nowhere else are done with. The others
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from veritally.llm import common
 
 RUN_WORDS = 10
-LONG = 24  #: words from which a piece without sentence ends is cut further
-CUT = re.compile(r"[.!?]\s+|\n\s*")
+LONG = 24  #: words beyond which a line is cut at sentence ends; beyond twice as many a piece is cut between words
+LINE = re.compile(r"\n\s*")
+SENTENCE = re.compile(r"[.!?]\s+")
 WORD = re.compile(r"\S+\s*")
 ODD = re.compile(r"  |[^\S \n]")
 BASE = 0x9E3779B97F4A7C15  #: odd, so it has an inverse modulo 2**64
@@ -40,35 +42,46 @@ def pieces(text: str | None) -> tuple[list[int], list[int], list[int], list[int]
     if not text:
         return starts, ends, hashes, words
     digest = xxhash.xxh64_intdigest
-    cuts = [m.end() for m in CUT.finditer(text)]
-    if not cuts or cuts[-1] < len(text):
-        cuts.append(len(text))
     low = text.lower()
     plain = len(low) == len(text) and not ODD.search(low)  # words are parted by single blanks
-    at = 0
-    for end in cuts:
+
+    def words_in(a: int, b: int) -> tuple[str, int]:
         if plain:
-            whole = low[at:end].strip()
-            n = whole.count(" ") + 1 if whole else 0
-        else:
-            own = text[at:end].lower().split()
-            whole, n = " ".join(own), len(own)
-        if n > LONG:
-            start, part = at, []
-            for m in WORD.finditer(text, at, end):
-                w = m.group().lower().split()
-                part += w
-                if m.end() >= end or (w and not zlib.crc32(w[-1].encode()) & 7):
-                    starts.append(start)
-                    ends.append(m.end())
-                    hashes.append(digest(" ".join(part).encode()))
-                    words.append(len(part))
-                    start, part = m.end(), []
-        elif n:
-            starts.append(at)
-            ends.append(end)
+            whole = low[a:b].strip()
+            return whole, whole.count(" ") + 1 if whole else 0
+        own = text[a:b].lower().split()
+        return " ".join(own), len(own)
+
+    def add(a: int, b: int, whole: str, n: int) -> None:
+        if n:
+            starts.append(a)
+            ends.append(b)
             hashes.append(digest(whole.encode()))
             words.append(n)
+
+    at = 0
+    for end in (*(m.end() for m in LINE.finditer(text)), len(text)):
+        whole, n = words_in(at, end)
+        if n <= LONG:
+            add(at, end, whole, n)
+            at = end
+            continue
+        for cut in (*(m.end() for m in SENTENCE.finditer(text, at, end) if not zlib.crc32(text[max(at, m.start() - 8) : m.start()].lower().encode()) & 1), end):
+            whole, n = words_in(at, cut)
+            if n <= 2 * LONG:
+                add(at, cut, whole, n)
+                at = cut
+                continue
+            for part in (*(m.end() for m in SENTENCE.finditer(text, at, cut)), cut):
+                whole, n = words_in(at, part)
+                if n > 2 * LONG:
+                    for m in WORD.finditer(text, at, part):
+                        if m.end() < part and not zlib.crc32(m.group().lower().strip().encode()) & 7:
+                            add(at, m.end(), *words_in(at, m.end()))
+                            at = m.end()
+                    whole, n = words_in(at, part)
+                add(at, part, whole, n)
+                at = part
         at = end
     return starts, ends, hashes, words
 
@@ -139,7 +152,7 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "do
     prints = found.select(F.explode("prints").alias("own"))
     many = common.staged(prints.groupBy("own").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("own"), "fingerprints", compact=True)
     hits = found.select("doc", "mark", F.inline(F.arrays_zip("own", "window", "start", "end"))).join(many, "own")
-    hits = common.staged(hits.select("doc", "mark", "start", "end", "window"), "hits", compact=True)
+    hits = common.staged(hits.select("doc", "mark", "start", "end", "window"), "hits")
     common.discard(found)
     at = F.struct("doc", "mark", "start")
     firsts = hits.groupBy("window").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("window", "first")
@@ -184,21 +197,18 @@ def dedup(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            columns, cuts = batch.column(0).flatten(), batch.column(1).to_pylist()
-            if not any(cuts):
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-                continue
-            out, keep = columns[at].to_pylist(), np.ones(batch.num_rows, bool)
-            sizes = columns[size].to_pylist() if size is not None else []
-            for k, runs in enumerate(cuts):
-                if runs:
-                    out[k] = without(out[k], [(r["start"], r["end"]) for r in runs])
-                    keep[k] = not drop_emptied or bool(out[k].strip())
-                    if size is not None:
-                        sizes[k] = len(out[k])
-            columns[at] = pa.array(out, columns[at].type)
-            if size is not None:
-                columns[size] = pa.array(sizes, columns[size].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
+            columns, cuts = batch.column(0).flatten(), batch.column(1)
+            some = np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False))
+            if len(some):
+                taken = pa.array(some)
+                changed = [without(t, [(r["start"], r["end"]) for r in runs]) for t, runs in zip(columns[at].take(taken).to_pylist(), cuts.take(taken).to_pylist(), strict=True)]
+                mask = pa.array(np.isin(np.arange(batch.num_rows), some))
+                columns[at] = pc.replace_with_mask(columns[at], mask, pa.array(changed, columns[at].type))
+                if size is not None:
+                    columns[size] = pc.replace_with_mask(columns[size], mask, pa.array([len(t) for t in changed], columns[size].type))
+                if drop_emptied:
+                    empty = some[[not t.strip() for t in changed]]
+                    columns = [c.filter(pa.array(~np.isin(np.arange(batch.num_rows), empty))) for c in columns]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(run, docs.schema)
