@@ -164,6 +164,7 @@ def test_secrets(spark):
 @pytest.mark.parametrize("block", [1024, 5])
 def test_embeddings(spark, monkeypatch, block):
     monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "CODE_BLOCK", 8 * block)
     rng = np.random.default_rng(6)
     base = rng.normal(size=(12, 24))
     vectors = [b + rng.normal(size=24) * s for b in base for s in (0, 0, 0.1, 0.2, 0.3, 0.35)] + [base[0] * 2.0]
@@ -199,12 +200,27 @@ def test_recall_of_the_plan():
     """Random pairs just over the threshold meet in some table about as often as planned."""
     rng = np.random.default_rng(2)
     bits, tables = embeddings.plan(50_000, 0.93)
-    h = embeddings.planes(64, bits, tables)
-    a = rng.normal(size=(800, 64))
+    wide = embeddings.code_bits(bits, tables)
+    h = embeddings.planes(64, wide)
+    a = rng.normal(size=(2000, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     side = rng.normal(size=a.shape)
     side -= (side * a).sum(axis=1, keepdims=True) * a
     side /= np.linalg.norm(side, axis=1, keepdims=True)
-    b = 0.935 * a + np.sqrt(1 - 0.935**2) * side
-    met = ((a @ h > 0) == (b @ h > 0)).reshape(-1, tables, bits).all(axis=2).any(axis=1)
-    assert met.mean() > 0.98
+    b = 0.9301 * a + np.sqrt(1 - 0.9301**2) * side
+    codes = [np.packbits(x @ h > 0, axis=1, bitorder="little") for x in (a, b)]
+    met = (embeddings.keys_of(codes[0], bits, tables) == embeddings.keys_of(codes[1], bits, tables)).any(axis=1)
+    far = np.bitwise_count(codes[0] ^ codes[1]).sum(axis=1)
+    assert (met & (far <= embeddings.differing(0.93, wide))).mean() > 0.99
+
+
+def test_embeddings_at_production_recall(spark):
+    """All links of clusters of near vectors, without raising the planned recall."""
+    rng = np.random.default_rng(8)
+    vectors = np.concatenate([c + 0.25 * rng.normal(size=(20, 32)) for c in rng.normal(size=(25, 32))]).astype(np.float32)
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(frame).collect()}
+    assert near.sum() > 1000 and sum(got.values()) > 0.995 * near.sum() and all(got[i] <= near[i].sum() for i in got)
