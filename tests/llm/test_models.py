@@ -149,6 +149,7 @@ def test_secrets(spark):
         (1, f"some words {key} and more", "src0"), (2, f'token = "{hexes}" then password=0030ef94f364d8386a.', None), (3, "card 4533864262090449 of mine", "src1"),
         (4, "commit 61fedef2798093a39309a7b84b6ac5168d2ba911 is fine", "src1"), (5, None, "x"), (6, "", "x"), (7, "nothing long in here", "x"), (7, "nothing long in here", "x"),
         (8, f"{key} {key}", "x"), (8, f"{key} {key}", "x"), (None, f"a {key}", None), (9, ("word " * 5000) + key, "x"), (10, "id: 123e4567-e89b-12d3-a456-426614174000", "x"),
+        (11, "db_password: CorrectHorse7Battery!", "x"), (12, 'api_key = "qhZkwPdTvJxLmNbRcYsGfQaWeUiOpXzK"', "x"), (13, "SECRET_KEY='$k!9#vQ2@xZ'", "x"), (14, "password = settings.default.value", "x"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = secrets.scan(docs, model).collect()
@@ -156,7 +157,7 @@ def test_secrets(spark):
     for r in out:
         assert text[r["doc_id"]][r["start"] : r["start"] + len(r["candidate"])] == r["candidate"] and 0 <= r["score"] <= 1
     found = sorted([(str(r["doc_id"]), r["nth"], r["is_secret"]) for r in out])
-    want = [("1", 0, True), ("2", 0, True), ("2", 1, True), ("3", 0, False), ("4", 0, False), ("8", 0, True), ("8", 0, True), ("8", 1, True), ("8", 1, True), ("None", 0, True), ("9", 0, True), ("10", 0, False)]
+    want = [("1", 0, True), ("2", 0, True), ("2", 1, True), ("3", 0, False), ("4", 0, False), ("8", 0, True), ("8", 0, True), ("8", 1, True), ("8", 1, True), ("None", 0, True), ("9", 0, True), ("10", 0, False), ("11", 0, True), ("12", 0, True), ("13", 0, True), ("14", 0, False)]
     assert found == sorted(want)
     assert secrets.scan(docs.limit(0), model).collect() == [] and len(secrets.scan(docs.drop("source"), model).collect()) == len(out)
 

@@ -1,23 +1,37 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest; DataFrame operations throughout.
 
-A candidate is a stretch of 16 or more key characters with a digit among them. Its features are its length, how its
-character classes change and are shared out, how much of it dictionary words cover, what its path says, and the words on
-either side. The forest is Spark's own, trained on labelled findings.
+A candidate is what a name such as password or token is set to, of 8 characters or more of any kind; or, wherever it stands,
+a stretch of 16 or more key characters with a digit among them. Its features are its length, how likely its transitions
+from character to character are in secrets and in other findings, its classes of characters, how much of it dictionary words
+cover, what its path says, and the words on either side. The forest is Spark's own; it and the transitions are learned from
+labelled findings. The dictionary is the letters-only part of a public vocabulary.
 """
 
 from __future__ import annotations
 
+import json
+import math
+from dataclasses import dataclass
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veritally.llm import common
+
 KEY = "[A-Za-z0-9+/_\\-]"
-CANDIDATE = f"(?<!{KEY})(?=[A-Za-z+/_\\-]*+[0-9]){KEY}{{16,}}+={{0,2}}"
+FOR = "pass|pwd|secret|token|api.?key|access.?key|private|credential|auth|bearer|signing|client_id"
+SET = "[:=][\"' ]{0,2}"
+ASSIGNED = f"(?<={SET})(?<=(?i:{FOR})[A-Za-z_\\-]{{0,12}}[\"']?[ ]?{SET})[^\\s\"'<>,;&()]{{8,}}"
+CANDIDATE = f"{ASSIGNED}|(?<!{KEY})(?=[A-Za-z+/_\\-]*+[0-9]){KEY}{{16,}}+={{0,2}}"
 BEFORE, AFTER = 48, 24  #: characters that count as neighbours
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
+SIGNS = len(ALPHABET) + 1  #: kinds of characters in a transition; all others are one
+WORD_LETTERS = (4, 12)  #: letters of the dictionary's words
 
-#: Words whose presence in a candidate speaks against a random key. Fixed values.
+#: Words that names in code are made of; the labelled findings below use them. Fixed values.
 WORDS = (
     "about above account action address after again agent alert align alpha apple apply array async author avail back base batch beta "
     "block board body book border button cache call cart case chain change check child class clean client clone close cloud code color "
@@ -30,19 +44,64 @@ WORDS = (
     "size sort source start state static status step string style system table target task test text theme thread time title token tool "
     "tree true type update upload user value version video view widget window with word work world xxxx your zone"
 ).split()
-FOR = "pass|pwd|secret|token|api.?key|access.?key|private|credential|auth|bearer|signing|client_id"
 AGAINST = "commit|revision|sha|md5|checksum|digest|uuid|guid|etag|hash|isbn|order|invoice|card|account|phone|build|version|image|example|placeholder|dummy"
 PATHS = "test|example|sample|fixture|mock|doc|vendor|node_modules|\\.lock|\\.md$"
 
 
-def features(candidate: Column, path: Column, before: Column, after: Column) -> dict[str, Column]:
+def dictionary(spark: SparkSession, vocabulary: str) -> DataFrame:
+    """The lower-case words of WORD_LETTERS letters in a vocabulary file (tokenizers, word ends marked); at most its size."""
+    low, high = WORD_LETTERS
+    found = json.loads(common.vocabulary_bytes(vocabulary))["model"]["vocab"]
+    words = sorted({w.removesuffix("</w>") for w in found if w.endswith("</w>")})
+    return spark.createDataFrame([(w,) for w in words if low <= len(w) <= high and w.isascii() and w.isalpha()], "word string")
+
+
+def covered(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """``rows`` with ``cover``: the share of characters of ``candidate`` that lie in words of the dictionary."""
+    low, high = WORD_LETTERS
+    c = F.lower("candidate")
+    one = rows.select("candidate").distinct()
+    starts = one.select("candidate", c.alias("c"), F.explode(F.sequence(F.lit(1), F.greatest(F.char_length("candidate") - low + 1, F.lit(1)))).alias("at"))
+    parts = starts.select("candidate", "at", F.explode(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.substring(F.col("c"), F.col("at"), n))).alias("word"))
+    hits = parts.where(F.col("word").rlike("^[a-z]+$")).join(F.broadcast(words), "word")  # bounded by the vocabulary file
+    seen = hits.groupBy("candidate").agg(F.collect_set(F.struct("at", F.char_length("word").alias("n"))).alias("spans"))
+    places = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))))
+    cover = seen.select("candidate", (places / F.char_length("candidate")).alias("cover"))
+    return rows.join(cover, "candidate", "left").withColumn("cover", F.coalesce("cover", F.lit(0.0)))
+
+
+def _pairs(candidate: Column) -> Column:
+    """Numbers of the transitions from each character to the next."""
+    kinds = F.transform(F.split(candidate, ""), lambda x: F.when(x == "", 0).otherwise(F.instr(F.lit(ALPHABET), x)))
+    return F.zip_with(F.slice(kinds, F.lit(1), F.greatest(F.size(kinds) - 1, F.lit(0))), F.slice(kinds, F.lit(2), F.greatest(F.size(kinds) - 1, F.lit(0))), lambda a, b: a * SIGNS + b)
+
+
+def transitions(findings: DataFrame) -> list[float]:
+    """Of each transition, the log of how much likelier it is in secrets than in other findings; a row for each pair of signs."""
+    each = findings.select("label", F.explode(_pairs(F.col("candidate"))).alias("pair")).groupBy("pair").agg(F.sum("label").alias("of"), F.count(F.lit(1)).alias("n"))
+    rows = {r["pair"]: (r["of"], r["n"] - r["of"]) for r in each.collect()}  # at most SIGNS squared
+    of, off = (sum(x[k] for x in rows.values()) + SIGNS * SIGNS for k in (0, 1))
+    return [math.log((rows.get(k, (0, 0))[0] + 1) / of) - math.log((rows.get(k, (0, 0))[1] + 1) / off) for k in range(SIGNS * SIGNS)]
+
+
+@dataclass(eq=False)
+class Model:
+    forest: RandomForestClassificationModel
+    transitions: list[float]
+    vocabulary: str
+
+
+def features(candidate: Column, path: Column, before: Column, after: Column, cover: Column, table: list[float]) -> dict[str, Column]:
     """Named numbers; each is defined for null parts as for empty ones."""
     c, path, before, after = (F.coalesce(x, F.lit("")) for x in (candidate, path, before, after))
     n = F.greatest(F.char_length(c), F.lit(1))
     share = lambda pattern: F.char_length(F.regexp_replace(c, pattern, "")) / n  # noqa: E731  of what the pattern leaves
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]", "#"), "[a-z]", "a"), "[A-Z]", "A"), "[^#aA]", ".")
     lower = F.lower(c)
+    pairs = _pairs(c)
+    odds = F.from_json(F.lit(json.dumps(table)), "array<double>")
     return {
+        "transitions": F.aggregate(pairs, F.lit(0.0), lambda total, x: total + F.element_at(odds, x + 1)) / F.greatest(F.size(pairs), F.lit(1)),
         "length": F.char_length(c).cast("double"),
         "changes": (F.char_length(F.regexp_replace(kinds, "(.)\\1+", "$1")) - 1) / n,
         "repeats": 1 - F.char_length(F.regexp_replace(c, "(.)\\1+", "$1")) / n,
@@ -54,8 +113,8 @@ def features(candidate: Column, path: Column, before: Column, after: Column) ->
         "hex": lower.rlike("^[0-9a-f]+$").cast("double"),
         "plain": c.rlike("^[0-9]+$").cast("double"),
         "grouped": lower.rlike("^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$").cast("double"),
-        "distinct": F.size(F.array_distinct(F.split(F.substring(c, 1, 128), ""))) / F.least(n, F.lit(128)),
-        "known": 1 - F.char_length(F.regexp_replace(lower, "|".join(sorted(WORDS, key=len, reverse=True)), "")) / n,
+        "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
+        "cover": F.coalesce(cover, F.lit(0.0)),
         "prefix": c.rlike("^(AKIA|ASIA|ghp_|gho_|sk_live_|sk-|xox[bp]-|glpat-|AIza|eyJ)").cast("double"),
         "path": F.lower(path).rlike(PATHS).cast("double"),
         "set": before.rlike("[=:]\\s*[\"']?$").cast("double"),
@@ -74,7 +133,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     i = F.col("id").cast("string")
     hexes, other = F.sha2(i, 512), F.sha2(F.concat(F.lit("o"), i), 512)
     letters = F.base64(F.unhex(hexes))
-    r = F.col("id") % 24
+    r = F.col("id") % 32
     digits = F.regexp_replace(F.conv(F.substring(other, 1, 15), 16, 10), "^", "4")
     word = lambda k: F.element_at(F.array(*map(F.lit, WORDS)), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(WORDS))).cast("int") + 1)
     name = F.concat_ws("_", word(1), word(2), word(3), F.substring(digits, 3, 2))
@@ -104,6 +163,14 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (F.concat(F.lit("00000000"), F.substring(digits, 2, 10)), "order ", " ", 0),
         (F.concat_ws("/", word(8), word(9), word(1), F.substring(digits, 4, 3)), "src/", ".", 0),
         (F.concat(F.substring(digits, 1, 8), F.lit("-"), F.substring(digits, 4, 8)), "build ", " ", 0),
+        (F.concat(F.translate(F.substring(letters, 1, 10), "0123456789+/", "!@#$%^*?~.-_"), F.substring(hexes, 1, 2)), "password: ", "\n", 1),
+        (F.concat(F.initcap(word(1)), F.initcap(word(2)), F.initcap(word(5)), F.substring(digits, 5, 2)), 'db_password="', '"', 1),
+        (F.translate(F.substring(letters, 1, 32), "0123456789+/", "abcdefghijkl"), "api_key = ", "\n", 1),
+        (F.concat(F.lit("$"), F.translate(F.substring(letters, 3, 18), "+/", "#!")), "SECRET_KEY='", "'", 1),
+        (F.concat(F.lit("config."), word(1), F.lit("."), word(2)), "password = ", "\n", 0),
+        (F.concat(F.lit("${"), F.upper(word(3)), F.lit("_SECRET}")), "secret: ", "\n", 0),
+        (F.concat(F.lit("get_"), word(4), F.lit("_"), word(2)), "token = ", "(", 0),
+        (F.concat(F.lit("changeme"), word(6)), "password: ", "\n", 0),
     ]
     row = F.element_at(F.array(*[F.struct(c.alias("candidate"), F.lit(b).alias("before"), F.lit(a).alias("after"), F.lit(float(y)).alias("label")) for c, b, a, y in kinds]), (r + 1).cast("int"))
     path = F.when(F.pmod(F.xxhash64("id"), F.lit(7)) == 0, F.lit("tests/fixture.py")).otherwise(F.lit("src0"))
@@ -111,15 +178,19 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     return spark.range(0, n, 1, 1).select(path.alias("path"), row.alias("r"), lead.alias("lead")).select("path", F.concat("lead", "r.before").alias("before"), "r.candidate", "r.after", "r.label")
 
 
-def fit(findings: DataFrame, trees: int = 25, depth: int = 6, bound: int = 20_000, seed: int = 3) -> RandomForestClassificationModel:
+def fit(findings: DataFrame, trees: int = 25, depth: int = 7, bound: int = 20_000, seed: int = 3, vocabulary: str = "word_bpe_49k.json") -> Model:
     """A forest from at most ``bound`` labelled findings, those with the smallest hashes; findings without label don't count."""
-    known = findings.where("label is not null").orderBy(F.xxhash64("path", "before", "candidate", "after"), "candidate").limit(bound)
-    made = features(F.col("candidate"), F.col("path"), F.col("before"), F.col("after"))
-    rows = VectorAssembler(inputCols=list(made), outputCol="features").transform(known.select("label", *[v.alias(k) for k, v in made.items()]).coalesce(1))
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
+    known = findings.where("label is not null and candidate is not null").orderBy(F.xxhash64("path", "before", "candidate", "after"), "candidate").limit(bound)
+    table = transitions(known)
+    rows = covered(known, dictionary(findings.sparkSession, vocabulary))
+    made = features(F.col("candidate"), F.col("path"), F.col("before"), F.col("after"), F.col("cover"), table)
+    order = F.xxhash64("path", "before", "candidate", "after")
+    wide = rows.select("label", order.alias("order"), *[v.alias(k) for k, v in made.items()]).repartition(1).sortWithinPartitions("order", *made)
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(VectorAssembler(inputCols=list(made), outputCol="features").transform(wide))
+    return Model(forest, table, vocabulary)
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text: str = "text", path: str | None = "source", threshold: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", path: str | None = "source", threshold: float = 0.5) -> DataFrame:
     """id, nth, start, candidate, score, is_secret: of each candidate of each whole text.
 
     ``nth`` and ``start`` (characters) count from 0 within the text. Texts without candidates, null and empty ones give
@@ -137,8 +208,9 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str =
     rows = rows.select("_id", "_path", "_row", "nth", F.col("x.candidate").alias("candidate"), F.char_length("x.gap").alias("gap"), before.alias("before"), after.alias("after"))
     order = Window.partitionBy("_row").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("start", F.sum(F.col("gap") + F.char_length("candidate")).over(order) - F.char_length("candidate"))
-    made = features(F.col("candidate"), F.col("_path"), F.col("before"), F.col("after"))
+    rows = covered(common.staged(rows, "candidates"), dictionary(docs.sparkSession, model.vocabulary))
+    made = features(F.col("candidate"), F.col("_path"), F.col("before"), F.col("after"), F.col("cover"), model.transitions)
     wide = rows.select("_id", "nth", "start", "candidate", *[v.alias(k) for k, v in made.items()])
-    scored = model.transform(VectorAssembler(inputCols=list(made), outputCol="features").transform(wide))
+    scored = model.forest.transform(VectorAssembler(inputCols=list(made), outputCol="features").transform(wide))
     score = F.element_at(vector_to_array("probability"), 2)
     return scored.select(F.col("_id").alias(id_col), "nth", F.col("start").cast("long"), "candidate", score.alias("score"), (score >= threshold).alias("is_secret"))
