@@ -142,7 +142,7 @@ def test_quotas(spark, sizes, fraction):
 def test_fixed_audit_sample(spark):
     rng = random.Random(5)
     rows = [(f"f{i % 11}_Q{q}_{i}", f"f{i % 11}", f"Q{q}", f"t{i % 11 % 4}") for i in range(70) for q in [rng.randrange(1, 5)]]
-    tie = lambda kind, x: hashlib.sha256(json.dumps({f"{kind}_sample": "v1", "id": x}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    tie = lambda kind, x: hashlib.sha256(json.dumps({f"{kind}_sample": "bootcamp-v2", "id": x}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
     cells, chosen, covered = {}, [], set()
     for _, f, q, t in rows:
         cells.setdefault(f, set()).add((q, t))
@@ -293,6 +293,34 @@ def test_quantities(text, want):
     assert [(x["kind"], x["number"], x["unit"], x["denominator"], x["percentage"]) for x in prose.quantities(text)] == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("5 mentions in Q2", [("count", 5, [])]), ("5 Q2 mentions and 3 of the 9 Q1 sources", [("count", 5, ["Q2"]), ("ratio", 3, ["Q1"])]),
+        ("thirty percent of the 12 distinct Q3 sources", [("percentage", 30, ["Q3"])]), ("twenty-one source types", [("count", 21, [])]), ("two hundred and five mentions", [("count", 205, [])]),
+        ("v2 mentions, 1.5 mentions", [("count", 1.5, [])]), ("5 \u201cnew\u201d mentions", [("count", 5, [])]), ("20-30 users", []), ("bothersome users", []),
+    ],
+)
+def test_quantities_by_hand(text, want):
+    assert [(x["kind"], x["number"], x["question_scopes"]) for x in prose.quantities(text)] == want
+
+
+def test_span_problems():
+    assert prose.span_problem("no headers") == "no speaker turns" and prose.span_problem("00:01 - A\nx\n00:02 odd\n") == "a time mark that is no header"
+    assert prose.span_problem("00:01 - (host)\nx") == "a header without speaker" and prose.span_problem("00:01 - A\nx") is None
+    with pytest.raises(ValueError):
+        prose.spans("nothing", strict=True)
+    words = [f"w{i}" + ("." if i in (4, 20, 40) else "") for i in range(60)]
+    assert [x["words"] for x in prose.spans("00:01 - A\n" + " ".join(words))] == [21, 20, 19]
+
+
+def test_json_equality():
+    from veritally.functions import jsonschema
+
+    f = jsonschema.form
+    assert f(1) == f(1.0) and f(True) != f(1) and f([1, {"a": None}]) == f([1.0, {"a": None}]) and f({"a": 1, "b": 2}) == f({"b": 2, "a": 1}) and f("1") != f(1)
+
+
 def test_numbers_in_words():
     assert [prose.number_value(x) for x in ("seven", "ninety nine", "three hundred", "two thousand and six", "one point five", "1,200")] == [7, 99, 300, 2006, 1.5, 1200]
     assert math.isnan(prose.number_value("five six")) and math.isnan(prose.number_value("point five point"))

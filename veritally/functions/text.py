@@ -177,3 +177,7 @@ def claim_text(text: Column, kind: Column, scope: Column) -> Column:
     return F.concat(lead, text, F.when(F.coalesce(scope, F.lit("")) != "", F.concat(F.lit(" ("), scope, F.lit(")"))).otherwise(""))
 
 
+def block_quotes(text: Column) -> Column:
+    """Block quotes of Markdown without their marks; lines that follow one another are one quote."""
+    found = F.regexp_extract_all(text, F.lit(r"(?m)(?:^>[^\n]*(?:\n|\z))+"), F.lit(0))
+    return F.transform(found, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(?m)^> ?", ""), r"\s*\n\s*", " ")))

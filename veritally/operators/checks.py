@@ -309,3 +309,18 @@ def context_words(rows: DataFrame) -> DataFrame:
     """Compressed context: 60 to 100 words an answer, 2 or 3 quotes, quotes as they were."""
     n = n_words(F.col("summary"))
     return raised(rows, "question_id", [issue(~n.between(60, 100), "words", "warning", "outside 60 to 100 words"), issue(~F.size("quotes").between(2, 3), "quotes", "error", "not 2 or 3 quotes"), issue(F.size(F.array_except("quotes", "known_quotes")) > 0, "verbatim", "error", "a quote was changed")])
+
+
+def disjoint(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Ids that two sets share which must be apart."""
+    return rows.select(key).distinct().join(others.select(key).distinct(), key).select(*_say(key, "shared", "error", "stands on both sides"))
+
+
+MODES = ["sampled", "skip"]
+SAMPLE = {"mentions": 20, "sources": 6}  #: the largest audit sample
+
+
+def requests(rows: DataFrame) -> DataFrame:
+    """Audit requests (request_id, mode, mentions, sources) of an unknown mode, or with a sample out of its limits."""
+    off = reduce(Column.__or__, [~F.coalesce(F.col(c).between(1, most), F.lit(False)) for c, most in SAMPLE.items()])
+    return raised(rows, "request_id", [issue(~F.coalesce(F.col("mode").isin(MODES), F.lit(False)), "mode", "error", "not a mode"), issue(off, "sample", "error", "out of the limits of a sample")])

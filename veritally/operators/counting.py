@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritally.schemas import UNKNOWN_SEGMENT, category_of
-from veritally.semantics import file_of, pct
+from veritally.semantics import file_of, pct, squeezed
 
 DEMOTION_SHARE, DEMOTION_LEAST, DEMOTION_FROM, SPARSE = 0.03, 2, 10, 15
 
@@ -141,3 +141,20 @@ def with_other(table: DataFrame, pool: DataFrame) -> DataFrame:
     n = pool.groupBy("question_id").agg(F.count(F.lit(1)).alias("mention_count"))
     lacking = n.join(table.where("type = 'other'").select("question_id").distinct(), "question_id", "left_anti")
     return table.unionByName(lacking.select("question_id", F.concat("question_id", F.lit("_other")).alias("theme_id"), F.lit("other").alias("type"), "mention_count"))
+
+
+def header_totals(totals: DataFrame) -> DataFrame:
+    """What stands above a report: mentions of all questions, and how many questions there are."""
+    return totals.agg(F.coalesce(F.sum("total_mentions"), F.lit(0)).cast("long").alias("total_mentions"), F.count(F.lit(1)).alias("questions"))
+
+
+def ranked_source_types(files: DataFrame) -> DataFrame:
+    """Source types, those with the most files first; there are as many rows as types."""
+    n = files.groupBy("source_type").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "source_type")).cast("long"))
+
+
+def distinct_quotes(mentions: DataFrame) -> DataFrame:
+    """Of each file its mentions, and its quotes without repeats."""
+    one = mentions.groupBy("file_id", squeezed(F.col("quote")).alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
+    return one.groupBy("file_id").agg(F.sum("_n").alias("mentions"), F.count("_q").alias("quotes"))

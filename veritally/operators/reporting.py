@@ -61,13 +61,14 @@ def attribution_issues(fields: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def number_registry(counts: DataFrame, stats: DataFrame, quotes: DataFrame, method: DataFrame) -> DataFrame:
-    """(scope, value): numbers that prose may state: counts and shares of a question, statistics, figures in its quotes, and totals."""
+    """(scope, value): numbers that prose may state: counts and shares of a question, statistics, figures in its quotes; the scope ``global`` has all of them, and the totals."""
     text = lambda c: F.col(c).cast("string")
     own = counts.select(F.col("question_id").alias("scope"), F.explode(F.array(*map(text, ("mention_count", "mention_pct", "source_type_count", "source_type_pct", "segment_count", "segment_pct", "total_mentions", "total_source_types", "total_segments")))).alias("value"))
     more = stats.select("scope", F.explode(F.array(*map(text, ("numerator", "denominator", "percentage")))).alias("value"))
     said = quotes.select(F.col("question_id").alias("scope"), F.explode(F.regexp_extract_all("quote", F.lit(r"\d{2,}"), F.lit(0))).alias("value"))
     whole = method.select(F.lit("global").alias("scope"), F.explode(F.array(*[text(c) for c in method.columns])).alias("value"))
-    return reduce(DataFrame.unionByName, [own, more, said, whole]).distinct()
+    of = reduce(DataFrame.unionByName, [own, more, said])
+    return reduce(DataFrame.unionByName, [of, of.select(F.lit("global").alias("scope"), "value"), whole]).distinct()
 
 
 def stated_numbers(fields: DataFrame) -> DataFrame:
@@ -84,10 +85,10 @@ def quantity_issues(claims: DataFrame, stats: DataFrame) -> DataFrame:
     """
     found = claims.select("claim_id", "question_id", F.explode(prose.column("quantities")("text")).alias("x")).select("claim_id", "question_id", "x.*").withColumn("_i", F.monotonically_increasing_id())
     s = stats.select(F.col("scope").alias("question_id"), F.col("unit").alias("_unit"), "numerator", "denominator", "percentage" if "percentage" in stats.columns else pct(F.col("numerator"), F.col("denominator")).alias("percentage")).withColumnRenamed("percentage", "_pct")
-    both = found.join(s, (found["question_id"] == s["question_id"]) & (F.coalesce(found["unit"], s["_unit"]) == s["_unit"]), "left").select(found["claim_id"], found["kind"], found["unit"], found["number"], found["denominator"].alias("of"), found["percentage"].alias("attached"), found["_i"], "numerator", s["denominator"].alias("whole"), "_pct")
+    both = found.join(s, (found["question_id"] == s["question_id"]) & (F.coalesce(found["unit"], s["_unit"]) == s["_unit"]), "left").select(found["claim_id"], found["kind"], found["unit"], found["number"], found["denominator"].alias("of"), found["percentage"].alias("attached"), found["_i"], (F.array_size(F.array_except(found["question_scopes"], F.array(found["question_id"]))) > 0).alias("elsewhere"), "numerator", s["denominator"].alias("whole"), "_pct")
     n, of, p = F.col("number"), F.col("of"), F.col("_pct")
     fits = F.when(F.col("kind") == "count", n == F.col("numerator")).when(F.col("kind") == "ratio", (n == F.col("numerator")) & (of == F.col("whole")) & (F.col("attached").isNull() | (F.col("attached") == p))).otherwise((n == p) & (of.isNull() | (of == F.col("whole"))))
-    one = both.groupBy("claim_id", "_i", "kind", "unit", "number").agg(F.coalesce(F.bool_or(fits), F.lit(False)).alias("fits"))
+    one = both.groupBy("claim_id", "_i", "kind", "unit", "number", "elsewhere").agg(F.coalesce(F.bool_or(fits), F.lit(False)).alias("fits"))
     unit = F.col("unit")
     return raised(
         one,
@@ -95,6 +96,7 @@ def quantity_issues(claims: DataFrame, stats: DataFrame) -> DataFrame:
         [
             issue(unit == "unverified_identity", "identity", "error", "counts of people or accounts need verified identities"),
             issue(unit == "source_types", "source_types", "error", "types of sources can't be counted from files"),
+            issue(F.col("elsewhere") & ~F.coalesce(unit.isin("unverified_identity", "source_types"), F.lit(False)), "scope", "error", "names a question that its statistic isn't of"),
             issue(F.isnan("number"), "malformed", "error", "not a number"),
             issue(~F.col("fits") & ~F.isnan("number") & ~F.coalesce(unit.isin("unverified_identity", "source_types"), F.lit(False)), "unsupported", "error", "no statistic says so"),
         ],
@@ -166,3 +168,27 @@ def admitted(components: DataFrame, issues: DataFrame) -> DataFrame:
     rows = components.join(bad, "component_id", "left")
     hard = rows.groupBy("packet_id").agg((~F.bool_or(F.coalesce("_hard", F.lit(False)))).alias("packet_ok"))
     return rows.where("_any is null").drop("_hard", "_any").join(hard, "packet_id")
+
+
+def clause_issues(claims: DataFrame) -> DataFrame:
+    """Claims (claim_id, text, clauses) with a bound clause that doesn't occur exactly once in the text, or with two that overlap."""
+    at = lambda c: F.instr(F.col("text"), c)
+    spots = F.transform("clauses", lambda c: F.struct(at(c).alias("a"), (at(c) + F.char_length(c)).alias("b"), F.instr(F.substring(F.col("text"), at(c) + 1, F.char_length("text")), c).alias("again")))
+    rows = claims.select("claim_id", F.array_sort(spots).alias("s"))
+    missing, repeated = F.exists("s", lambda x: x["a"] == 0), F.exists("s", lambda x: (x["a"] > 0) & (x["again"] > 0))
+    overlap = F.exists(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i > 0) & (F.get(F.col("s"), i)["a"] < F.get(F.col("s"), i - 1)["b"]))
+    return raised(
+        rows.where(F.size("s") > 0),
+        "claim_id",
+        [
+            issue(missing, "clause_missing", "error", "a bound clause isn't in the text"),
+            issue(repeated, "clause_repeated", "error", "a bound clause occurs more than once"),
+            issue(~missing & ~repeated & overlap, "clauses_overlap", "error", "bound clauses overlap"),
+        ],
+    )
+
+
+def opportunity_numbers(rows: DataFrame) -> DataFrame:
+    """Numbers (opportunity_id, value) that an opportunity's text states and its quote doesn't."""
+    said = F.array_except(fx.numerals(F.col("text")), fx.numerals(F.coalesce("quote", F.lit(""))))
+    return rows.select("opportunity_id", F.explode(said).alias("value"))

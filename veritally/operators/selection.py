@@ -97,8 +97,12 @@ def executive_observations(mentions: DataFrame, assignments: DataFrame, most: in
 
 
 def theme_sample(mentions: DataFrame, assignments: DataFrame, size: Column, cap: int = 240_000, least: int = 40) -> DataFrame:
-    """Mentions of each theme in spread order while their sizes add up to ``cap`` at most; no size is under ``least``."""
+    """Mentions of each theme in spread order while their sizes add up to ``cap`` at most.
+
+    ``least`` is a size that no mention is under; a smaller one is an error, as the cut before the sums relies on it.
+    """
     rows = assignments.join(mentions.drop("question_id"), "mention_id").withColumn("size", size.cast("long"))
+    rows = rows.withColumn("size", F.when(F.col("size") >= least, F.col("size")).otherwise(F.raise_error(F.lit(f"a size under {least}")).cast("long")))
     near = spread_sample(rows, ["theme_id"], cap // least + 1)
     w = Window.partitionBy("theme_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     return near.withColumn("total", F.sum("size").over(w)).where(F.col("total") <= cap)
@@ -160,27 +164,34 @@ def stratified_sample(rows: DataFrame, stratum: str, id_col: str, fraction: floa
     return rows.withColumn("_rn", F.row_number().over(w)).join(F.broadcast(most.select(stratum, "quota")), stratum).where("_rn <= quota").drop("_rn", "quota")
 
 
-def fixed_audit_sample(mentions: DataFrame, limit: int = 20, sources: int = 6, salt: str = "v1") -> DataFrame:
+#: Goes into the hashes that break ties. Fixed value: the same sample is drawn for it.
+SAMPLE_SALT = "bootcamp-v2"
+
+
+def fixed_audit_sample(mentions: DataFrame, limit: int = 20, sources: int = 6, salt: str = SAMPLE_SALT) -> DataFrame:
     """(mention_id, place): a small sample clustered in few sources, for cell coverage and then balance.
 
     Sources are taken one at a time, each with the most cells (question, source type) not yet covered, ties by a stable
-    hash. A step is one aggregate over (file, cells) and brings one row to the driver; there are ``sources`` steps. The
+    hash. Of sources with the same cells no more than ``sources`` can be chosen, those with the smallest hashes, so the
+    choice is one fold over few rows for each distinct set of cells; sets are as few as questions and types allow. The
     mentions of the chosen sources are then balanced in one list, which is cut to what could be chosen: of a cell in a
     source no more than ``limit``. ``salt`` goes into the hashes that break ties, so that a sample can be drawn again.
     """
     tie = lambda kind, c: F.sha2(F.concat(F.lit('{"id":"'), c, F.lit(f'","{kind}_sample":"{salt}"}}')), 256)
     rows = mentions.withColumn("cell", F.concat_ws("|", "question_id", "source_type"))
-    cells = rows.groupBy("file_id").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
-    chosen, covered = [], []
-    while len(chosen) < min(sources, limit):
-        left = cells.where(~F.col("file_id").isin(chosen)) if chosen else cells
-        new = F.size(F.array_except("cells", F.array(*map(F.lit, covered)).cast("array<string>")))
-        best = left.orderBy(F.desc(new), tie("source", F.col("file_id"))).select("file_id", "cells").take(1)
-        if not best:
-            break
-        chosen.append(best[0]["file_id"])
-        covered = sorted({*covered, *best[0]["cells"]})
-    pool = rows.where(F.col("file_id").isin(chosen)).withColumn("tie", tie("mention", F.col("mention_id")))
+    cells = rows.groupBy("file_id").agg(F.array_sort(F.collect_set("cell")).alias("cells")).withColumn("tie", tie("source", F.col("file_id")))
+    first = F.row_number().over(Window.partitionBy("cells").orderBy("tie", "file_id"))
+    few = cells.withColumn("_rn", first).where(F.col("_rn") <= sources).agg(F.collect_list(F.struct("tie", "file_id", "cells")).alias("all"))
+    start = F.struct(F.array().cast("array<string>").alias("chosen"), F.array().cast("array<string>").alias("covered"))
+
+    def choose(state: Column, _: Column) -> Column:
+        left = F.filter(F.col("all"), lambda x: ~F.array_contains(state["chosen"], x["file_id"]))
+        best = F.array_min(F.transform(left, lambda x: F.struct((-F.size(F.array_except(x["cells"], state["covered"]))).alias("new"), x["tie"].alias("tie"), x["file_id"].alias("file_id"), x["cells"].alias("cells"))))
+        more = F.struct(F.concat(state["chosen"], F.array(best["file_id"])).alias("chosen"), F.array_union(state["covered"], best["cells"]).alias("covered"))
+        return F.when(F.size(left) == 0, state).otherwise(more)
+
+    chosen = few.select(F.explode(F.aggregate(F.sequence(F.lit(1), F.lit(min(sources, limit))), start, choose)["chosen"]).alias("file_id"))
+    pool = rows.join(chosen, "file_id", "left_semi").withColumn("tie", tie("mention", F.col("mention_id")))
     w = Window.partitionBy("file_id", "cell").orderBy("tie", "mention_id")
     pool = pool.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
     item = F.struct("tie", "mention_id", "file_id", "cell")

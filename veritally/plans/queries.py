@@ -165,42 +165,23 @@ def assignment_integrity(spark, sf_dir):
     return checks.assignments(t.mentions, t.assignments, t.themes)
 
 
-@query("""#n as (select theme_id, count(*) as n, any_value(question_id) as q from assignments group by 1),
-s as (select n.*, type, sum(n) over (partition by q) as total from n left join themes t on n.theme_id = t.theme_id)
-select theme_id as entity_key, 'distribution' as check_name, 'warning' as severity, 'too large a share' as message from s where n * 100 > total * case when coalesce(type, 'other') = 'other' then 25 else 40 end""")
-def distribution_warnings(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return checks.distribution(t.assignments, t.themes)
-
-
-@query("""#t as (select question_id, count(*) as nt, count(*) filter (type = 'other') as no from themes group by 1), m as (select question_id, count(*) as nm from mentions group by 1)
-select question_id as entity_key, 'theme_budget' as check_name, 'warning' as severity, 'too many themes' as message from t left join m using (question_id) where nt * 4 > coalesce(nm, 0)
-union all select question_id, 'other', 'warning', 'more than one other' from t where no > 1""")
+@query("""#u as (select distinct m.file_id, t.theme_id, t.type from assignments a join mentions m on a.mention_id = m.mention_id join themes t on a.theme_id = t.theme_id),
+t as (select file_id, count(*) as nt, count(*) filter (type = 'other') as no from u group by 1), m as (select file_id, count(*) as nm from mentions group by 1)
+select file_id as entity_key, 'theme_budget' as check_name, 'warning' as severity, 'too many themes' as message from t left join m using (file_id) where nt * 4 > coalesce(nm, 0)
+union all select file_id, 'other', 'warning', 'more than one other' from t where no > 1""")
 def theme_budget(spark, sf_dir):
+    """The budget of themes against mentions, of each file by itself."""
     t = Tables(spark, sf_dir)
-    return checks.theme_budget(t.themes, t.mentions)
-
+    of = t.mentions.select("mention_id", "file_id")
+    used = t.assignments.join(of, "mention_id").join(t.themes.select("theme_id", "type"), "theme_id").select(F.col("file_id").alias("question_id"), "theme_id", "type").distinct()
+    return checks.theme_budget(used, of.select(F.col("file_id").alias("question_id"), "mention_id"))
 
-CONVERSED = """said as (
-  select 'conv_' || (conv_id % 9) as file_id, 'Q' || (1 + turn % 2) as question_id, 'conv_' || (conv_id % 9) || '_Q' || (1 + turn % 2) || '_' || (conv_id * 1000 + turn) as mention_id,
-    left(text, 6) as quote, left(text, 12) as mention, 1 + conv_id % 9 % 2 as interaction_count from conversations)"""
 
-
-def _said(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Turns as mentions of nine sources, short enough that quotes and mentions repeat."""
-    c = t.raw("conversations")
-    f = F.concat(F.lit("conv_"), F.col("conv_id") % 9)
-    q = F.concat(F.lit("Q"), 1 + F.col("turn") % 2)
-    rows = c.select(f.alias("file_id"), q.alias("question_id"), F.concat(f, F.lit("_"), q, F.lit("_"), F.col("conv_id") * 1000 + F.col("turn")).alias("mention_id"), F.left("text", F.lit(6)).alias("quote"), F.left("text", F.lit(12)).alias("mention"))
-    files = c.select(f.alias("file_id"), (1 + F.col("conv_id") % 9 % 2).alias("interaction_count")).distinct()
-    return rows, files
-
-
-@query(f"""#{CONVERSED},
-n as (select file_id, question_id, count(*) as n, any_value(case when interaction_count > 1 then 25 else 6 end) as w, any_value(case when interaction_count > 1 then 35 else 12 end) as e from said group by all)
+@query(f"""#n as (select m.file_id, question_id, count(*) as n, any_value(case when interaction_count > 1 then 25 else 6 end) as w, any_value(case when interaction_count > 1 then 35 else 12 end) as e from mentions m join files f on m.file_id = f.file_id group by all)
 select file_id || '|' || question_id as entity_key, 'mention_cap' as check_name, case when n > e then 'error' else 'warning' end as severity, case when n > e then 'far too many mentions' else 'many mentions' end as message from n where n > w""")
 def mention_caps(spark, sf_dir):
-    return checks.mention_caps(*_said(Tables(spark, sf_dir)))
+    t = Tables(spark, sf_dir)
+    return checks.mention_caps(t.mentions, t.files)
 
 
 def squeeze(x: str) -> str:
@@ -219,20 +200,18 @@ def words(x: str) -> str:
     return f"len(regexp_extract_all({x}, '[^\\s\\p{{Z}}]+'))"
 
 
-@query(f"""#{CONVERSED},
-n as (select mention_id, row_number() over (partition by file_id, {squeeze("quote")} order by mention_id) as n from said where quote <> '')
+@query(f"""#n as (select mention_id, row_number() over (partition by file_id, {squeeze("quote")} order by mention_id) as n from mentions where quote <> '')
 select mention_id as entity_key, 'quote_reuse' as check_name, 'warning' as severity, 'quote used too often' as message from n where n > 5""")
 def quote_reuse(spark, sf_dir):
-    return checks.quote_reuse(_said(Tables(spark, sf_dir))[0])
+    return checks.quote_reuse(Tables(spark, sf_dir).mentions)
 
 
-@query(f"""#{CONVERSED},
-n as (select mention_id, {squeeze("mention")} as m, min(mention_id) over (partition by file_id, {squeeze("mention")}) as first from said)
+@query(f"""#n as (select mention_id, {squeeze("quote")} as m, min(mention_id) over (partition by file_id, {squeeze("quote")}) as first from mentions)
 select mention_id, first from n where mention_id <> first and m <> ''""")
 def duplicate_mentions(spark, sf_dir):
     from veritally.semantics import squeezed
 
-    rows = _said(Tables(spark, sf_dir))[0].withColumn("m", squeezed(F.col("mention"))).where("m <> ''")
+    rows = Tables(spark, sf_dir).mentions.withColumn("m", squeezed(F.col("quote"))).where("m <> ''")
     first = rows.groupBy("file_id", "m").agg(F.min("mention_id").alias("first"))
     return rows.join(first, ["file_id", "m"]).where("mention_id <> first").select("mention_id", "first")
 
@@ -271,11 +250,6 @@ def returned_ids(spark, sf_dir):
     return checks.exact_cover(ids.select(name("doc_")), got, "file_id").select("entity_key", "check_name")
 
 
-@query()
-def theme_issues(spark, sf_dir):
-    return checks.themes(Tables(spark, sf_dir).themes)
-
-
 @query(f"""#b as (select item_id, {squeeze("text")} as q from benchmark), d as (select doc_id, {squeeze("text")} as s from documents)
 select item_id as quote_id, doc_id as source_id from b join d on contains(s, q) where q <> ''""", alone=True)
 def quote_grounding(spark, sf_dir):
@@ -342,20 +316,20 @@ def assignment_chunks(spark, sf_dir):
 @query(f"""#{THEMED}, {LAYERS.format("theme_id", "themed")},
 p as (select theme_id, mention_id, length(quote) + length(mention) + 60 as size, row_number() over (partition by theme_id order by layer, not notable_quote, sha256(mention_id), mention_id) as place from layers),
 s as (select *, cast(sum(size) over (partition by theme_id order by place) as bigint) as total from p)
-select theme_id, mention_id, size, total from s where total <= 20000""")
+select theme_id, mention_id, size, total from s where total <= 240000""")
 def theme_sample_budget(spark, sf_dir):
     t = Tables(spark, sf_dir)
     size = F.char_length("quote") + F.char_length("mention") + 60
-    return selection.theme_sample(t.mentions, t.assignments, size, cap=20_000, least=60).select("theme_id", "mention_id", "size", "total")
+    return selection.theme_sample(t.mentions, t.assignments, size, cap=240_000, least=60).select("theme_id", "mention_id", "size", "total")
 
 
 @query(f"""#{THEMED}, {LAYERS.format("question_id, theme_id", "themed")},
 p as (select question_id, length(quote) as size, row_number() over (partition by question_id, theme_id order by layer, not notable_quote, sha256(mention_id), mention_id) as place from layers),
 n as (select question_id, k, sum(size) as total from p, (values (40), (30), (20), (15), (10), (8), (6), (4), (3), (2), (1)) v(k) where place <= k group by all)
-select question_id, cast(max(k) as bigint) as per_theme, cast(arg_max(total, k) as bigint) as total from n where total <= 20000 group by 1""")
+select question_id, cast(max(k) as bigint) as per_theme, cast(arg_max(total, k) as bigint) as total from n where total <= 240000 group by 1""")
 def bounded_view(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return selection.bounded_view(t.mentions, t.assignments, F.char_length("quote"), 20_000)
+    return selection.bounded_view(t.mentions, t.assignments, F.char_length("quote"), 240_000)
 
 
 @query()
@@ -539,13 +513,13 @@ def html_checks(spark, sf_dir):
 
 @query()
 def number_extract(spark, sf_dir):
-    rows = Tables(spark, sf_dir).sentences.select("mention_id", F.explode(prose.column("numbers")("quote")).alias("n"))
+    rows = Tables(spark, sf_dir).mentions.select("mention_id", F.explode(prose.column("numbers")("quote")).alias("n"))
     return rows.select("mention_id", "n.*")
 
 
 @query()
 def quantity_extract(spark, sf_dir):
-    rows = Tables(spark, sf_dir).sentences.select("mention_id", F.explode(prose.column("quantities")("quote")).alias("n"))
+    rows = Tables(spark, sf_dir).mentions.select("mention_id", F.explode(prose.column("quantities")("quote")).alias("n"))
     return rows.select("mention_id", "n.*")
 
 
@@ -592,11 +566,11 @@ def claim_sources(spark, sf_dir):
 
 
 @query("""
-select mention_id, question_id || '_c' || (doc_id % 50) as claim_id from mentions where notable_quote and doc_id % 5 = 0""")
+select mention_id, question_id || '_c' || (doc_id % 50) as claim_id from mentions where notable_quote""")
 def claim_bindings(spark, sf_dir):
     """Displayed quotes and the claims that cite them."""
     t = Tables(spark, sf_dir)
-    return reporting.bindings(t.mentions.where("notable_quote and doc_id % 5 = 0"), _claims(t))
+    return reporting.bindings(t.mentions.where("notable_quote"), _claims(t))
 
 
 @query(f"""#{TOTALS}, c as (select question_id, question_id || '_c' || (doc_id % 50) as claim_id, mention_id, file_id from mentions),
@@ -609,22 +583,14 @@ def claim_statistics(spark, sf_dir):
 
 @query()
 def unverified_numbers(spark, sf_dir):
-    """Numbers that quotes state and no statistic of their question has."""
+    """Numbers that notable quotes state, and neither a statistic of their question nor another quote of it has."""
     t = Tables(spark, sf_dir)
     method = counting.methodology(t.files)
-    known = reporting.number_registry(t.counts(), counting.inventory_stats(t.mentions, t.assignments), t.mentions.limit(0), method)
-    fields = t.mentions.select(F.col("mention_id").alias("path"), F.col("quote").alias("text"), "question_id")
+    known = reporting.number_registry(t.counts(), counting.inventory_stats(t.mentions, t.assignments), t.mentions.where("not notable_quote"), method)
+    fields = t.mentions.where("notable_quote").select(F.col("mention_id").alias("path"), F.col("quote").alias("text"), "question_id")
     return grounding.unverified_numbers(reporting.stated_numbers(fields), known)
 
 
-@query()
-def unsupported_quantities(spark, sf_dir):
-    """Quantities that quotes state, against the statistics of their question."""
-    t = Tables(spark, sf_dir)
-    claims = t.mentions.select(F.col("mention_id").alias("claim_id"), "question_id", F.col("quote").alias("text"))
-    return reporting.quantity_issues(claims, counting.inventory_stats(t.mentions, t.assignments))
-
-
 @query("""
 select mention_id, sha256('["' || file_id || '","' || mention_id || '","' || mention || '","' || replace(replace(quote, '\\', '\\\\'), '"', '\\"') || '"]') as fingerprint from mentions""")
 def mention_fingerprints(spark, sf_dir):
@@ -632,7 +598,7 @@ def mention_fingerprints(spark, sf_dir):
 
 
 @query()
-def source_observations(spark, sf_dir):
+def extracted_mentions(spark, sf_dir):
     """Mentions that users' turns hold, by the plain stand-in for extraction."""
     return semantic.extract_mentions(Tables(spark, sf_dir).raw("conversations"))
 
@@ -661,3 +627,19 @@ select category, lifecycle, count(*) as n, count(*) filter (quality = 'bad') as
 def source_profile(spark, sf_dir):
     rows = Tables(spark, sf_dir).files.withColumn("category", category_of(F.col("source_type")))
     return rows.groupBy("category", "lifecycle").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("quality") == "bad").cast("long")).alias("bad"))
+
+
+KEYED = """k as (select m.question_id, m.mention_id, t.theme_id, t.type, contains(lower(m.quote), t.keyword)::int + contains(lower(m.quote), t.keyword || 's')::int as hits from mentions m join themes t on m.question_id = t.question_id),
+keyed as (select question_id, mention_id, case when hits > 0 then theme_id else question_id || '_T8' end as theme_id from (select *, row_number() over (partition by mention_id order by hits desc, theme_id) as rn from k) where rn = 1)"""
+
+
+@query(f"""#{KEYED}, n as (select theme_id, count(*) as n, any_value(question_id) as q from keyed group by 1),
+s as (select n.*, type, sum(n) over (partition by q) as total from n left join themes t on n.theme_id = t.theme_id)
+select theme_id as entity_key, 'distribution' as check_name, 'warning' as severity, 'too large a share' as message from s where n * 100 > total * case when coalesce(type, 'other') = 'other' then 25 else 40 end""")
+def distribution_warnings(spark, sf_dir):
+    """Shares of themes that keywords assign."""
+    t = Tables(spark, sf_dir)
+    return checks.distribution(semantic.assign_mentions(t.mentions, t.themes), t.themes)
+
+
+from veritally.plans import forms as _forms  # noqa: E402, F401  registers its queries here

@@ -37,6 +37,11 @@ def straightened(text: Column) -> Column:
     return F.replace(F.translate(text, "‘’“”–—", "''\"\"--"), F.lit("…"), F.lit("..."))
 
 
+def case_kept(text: Column) -> Column:
+    """Straight signs and single spaces, letters as they are."""
+    return F.trim(F.regexp_replace(straightened(text), BLANKS, " "))
+
+
 def normalized(text: Column) -> Column:
     """The form in which quotes are compared with sources: no escapes, straight signs, squeezed."""
     return squeezed(straightened(F.regexp_replace(text, r"\\([^\\])", "$1")))

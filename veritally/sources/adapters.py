@@ -1,6 +1,6 @@
 """The evidence tables, derived by plain rules from the corpus tables.
 
-A document is a source file, its first five sentences are mentions that answer questions 1 to 5, labels are verdicts,
+A document is a source file, its sentences are mentions that answer questions 1 to 5 by turns, labels are verdicts,
 conversations are transcripts and events are ledger events. ``SQL`` states the same rules for another engine.
 """
 
@@ -37,17 +37,16 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences 0 to 4 of each document that have four characters or more."""
+    """Every sentence of four characters or more; sentence k answers question k % 5 + 1."""
     docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
-    parts = F.slice(F.split("text", "\\. ", QUESTIONS + 1), 1, QUESTIONS)
-    rows = docs.select("doc_id", F.posexplode(parts).alias("k", "quote")).where(F.char_length("quote") >= 4)
-    n = F.col("doc_id") + F.col("k")
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\\. ", -1)).alias("k", "quote")).where(F.char_length("quote") >= 4)
+    n, question = F.col("doc_id") + F.col("k"), F.concat(F.lit("Q"), F.col("k") % QUESTIONS + 1)
     return rows.select(
         "doc_id",
         "k",
         F.concat(F.lit("doc_"), "doc_id").alias("file_id"),
-        F.concat(F.lit("Q"), F.col("k") + 1).alias("question_id"),
-        F.concat(F.lit("doc_"), "doc_id", F.lit("_Q"), F.col("k") + 1, F.lit("_0")).alias("mention_id"),
+        question.alias("question_id"),
+        F.concat(F.lit("doc_"), "doc_id", F.lit("_"), question, F.lit("_"), F.floor(F.col("k") / QUESTIONS)).alias("mention_id"),
         "quote",
         F.concat(F.lit("point "), F.col("k") + 1, F.lit(" of doc "), "doc_id").alias("mention"),
         F.lit("customer").alias("quote_attribution"),
@@ -56,15 +55,6 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sentence of four characters or more; sentence k answers question k % 5 + 1, the first five are ``mentions``."""
-    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\\. ", -1)).alias("k", "quote")).where(F.char_length("quote") >= 4)
-    question = F.concat(F.lit("Q"), F.col("k") % QUESTIONS + 1)
-    number = F.floor(F.col("k") / QUESTIONS)
-    return rows.select("doc_id", "k", question.alias("question_id"), F.concat(F.lit("doc_"), "doc_id", F.lit("_"), question, F.lit("_"), number).alias("mention_id"), "quote")
-
-
 def themes(spark: SparkSession) -> DataFrame:
     """Eight themes for each question, the last of them ``other``."""
     rows = [(f"Q{q}", f"Q{q}_T{t}", f"theme {t}", f"about {KEYWORDS[t - 1]}", schemas.THEME_TYPES[(t - 1) % 6] if t < 8 else "other", f"{KEYWORDS[t - 1]}, {KEYWORDS[t - 1]}s", "", "") for q in range(1, QUESTIONS + 1) for t in range(1, 9)]
@@ -118,10 +108,10 @@ SQL = f"""with files as (
     case when l.quality = 0 then 'bad' else 'good' end as quality, d.doc_id % 23 = 0 as excluded, d.doc_id % 3 + 1 as interaction_count
   from documents d left join (select doc_id, min(quality) as quality from labels group by 1) l on d.doc_id = l.doc_id),
 mentions as (
-  select doc_id, k, 'doc_' || doc_id as file_id, 'Q' || (k + 1) as question_id, 'doc_' || doc_id || '_Q' || (k + 1) || '_0' as mention_id, quote,
+  select doc_id, k, 'doc_' || doc_id as file_id, 'Q' || (k % {QUESTIONS} + 1) as question_id, 'doc_' || doc_id || '_Q' || (k % {QUESTIONS} + 1) || '_' || (k // {QUESTIONS}) as mention_id, quote,
     'point ' || (k + 1) || ' of doc ' || doc_id as mention, 'customer' as quote_attribution,
     (['positive','negative','mixed','neutral'])[(doc_id + k) % 4 + 1] as sentiment, (doc_id + k) % 3 = 0 as notable_quote
-  from (select doc_id, k, string_split(text, '. ')[k + 1] as quote from documents, range({QUESTIONS}) r(k)) where length(quote) >= 4),
+  from (select doc_id, i - 1 as k, quote from (select doc_id, unnest(string_split(text, '. ')) as quote, generate_subscripts(string_split(text, '. '), 1) as i from documents where text is not null)) where length(quote) >= 4),
 themes as (select * from (values {_themes}) t(question_id, theme_id, type, keyword)),
 assignments as (
   select question_id, mention_id, question_id || '_T' || case when doc_id % 100 < 2 then 7 when doc_id % 17 = 0 then 8 else 1 + (doc_id + k) % 6 end as theme_id
