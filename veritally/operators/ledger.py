@@ -67,8 +67,8 @@ def over_budget(active: DataFrame, sources: int) -> DataFrame:
     return active.withColumn("over", F.col("active_micros") > (15 + sources) * 60_000_000)
 
 
-def in_flight(events: DataFrame) -> DataFrame:
-    """How many keys run after each event, and whether a new one would be let in.
+def in_flight(events: DataFrame, cap: int = IN_FLIGHT) -> DataFrame:
+    """How many keys run after each event, and whether a new one would be let in (``open``).
 
     The count is global, so it is a running sum over time: sums within hours first, and those of earlier hours added.
     """
@@ -77,7 +77,7 @@ def in_flight(events: DataFrame) -> DataFrame:
     hours = rows.groupBy("hour").agg(F.sum("d").alias("h"))
     hours = hours.select("hour", F.coalesce(F.sum("h").over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     own = F.sum("d").over(Window.partitionBy("hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("own", own).join(hours, "hour").select("key", "event", "ts", "event_id", (F.col("own") + F.col("before")).alias("running"))
+    return rows.withColumn("own", own).join(hours, "hour").select("key", "event", "ts", "event_id", (F.col("own") + F.col("before")).alias("running")).withColumn("open", F.col("running") < cap)
 
 
 def accepted(submissions: DataFrame, attempts: int = 3) -> DataFrame:

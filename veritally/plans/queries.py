@@ -474,9 +474,10 @@ def ledger_active(spark, sf_dir):
 
 
 @query("""
-select key, event, event_id, cast(sum(case event when 'claim' then 1 else -1 end) over (order by ts, event_id rows unbounded preceding) as bigint) as running from ledger where event in ('claim', 'finish', 'fail')""")
+select *, running < 4 as open from (
+  select key, event, event_id, cast(sum(case event when 'claim' then 1 else -1 end) over (order by ts, event_id rows unbounded preceding) as bigint) as running from ledger where event in ('claim', 'finish', 'fail'))""")
 def ledger_in_flight(spark, sf_dir):
-    return ledger.in_flight(Tables(spark, sf_dir).ledger).select("key", "event", "event_id", "running")
+    return ledger.in_flight(Tables(spark, sf_dir).ledger).select("key", "event", "event_id", "running", "open")
 
 
 def _html(check: str, severity: str, message: str, when: str) -> str:

@@ -63,5 +63,11 @@ def digest(*parts: Column) -> Column:
     return F.sha2(F.concat(F.lit("["), F.concat_ws(",", *quoted), F.lit("]")), 256)
 
 
+def canonical_digest(**parts: Column) -> Column:
+    """SHA-256 of a canonical JSON object: keys sorted, compact separators, letters unescaped, nulls kept."""
+    body = F.to_json(F.struct(*[parts[k].alias(k) for k in sorted(parts)]), {"ignoreNullFields": "false"})
+    return F.sha2(body, 256)
+
+
 def anchor(kind: str, *parts: Column) -> Column:
     return F.concat(F.lit(f"{kind}-"), F.substring(digest(*parts), 1, 24))
