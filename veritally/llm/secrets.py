@@ -53,7 +53,8 @@ def dictionary(spark: SparkSession, vocabulary: str) -> DataFrame:
     low, high = WORD_LETTERS
     found = json.loads(common.vocabulary_bytes(vocabulary))["model"]["vocab"]
     words = sorted({w.removesuffix("</w>") for w in found if w.endswith("</w>")})
-    return spark.createDataFrame([(w,) for w in words if low <= len(w) <= high and w.isascii() and w.isalpha()], "word string")
+    words = [w for w in words if low <= len(w) <= high and w.isascii() and w.isalpha()]
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(words)), "array<string>")).alias("word"))
 
 
 def covered(rows: DataFrame, words: DataFrame) -> DataFrame:
