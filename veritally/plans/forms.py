@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veritally.functions import jsonschema
@@ -689,9 +688,6 @@ def _constructed(t: Tables, *columns):
     return t.raw("documents").select(*columns)
 
 
-I = F.col("doc_id")  # noqa: E741
-
-
 @query("""
 select mention_id as path, 'zzz unknown ' || doc_id as quote from mentions where k % 2 = 1""")
 def ungrounded_quotations(spark, sf_dir):
@@ -708,22 +704,24 @@ def ungrounded_quotations(spark, sf_dir):
 select doc_id as quote_id, doc_id as entry_id, (['equal', 'inclusion', 'words'])[doc_id % 3 + 1] as match from documents""", alone=True)
 def best_matches(spark, sf_dir):
     """Quotes that are an entry, hold part of one, or share most of its words."""
-    w = lambda *parts: F.concat_ws(" ", *[F.concat(F.lit(p), I) for p in parts])
-    text = F.when(I % 3 == 0, F.upper(w("alpha", "beta", "gamma", "delta"))).when(I % 3 == 1, w("beta", "gamma")).otherwise(w("delta", "gamma", "alpha", "omega"))
+    i = F.col("doc_id")
+    w = lambda *parts: F.concat_ws(" ", *[F.concat(F.lit(p), i) for p in parts])
+    text = F.when(i % 3 == 0, F.upper(w("alpha", "beta", "gamma", "delta"))).when(i % 3 == 1, w("beta", "gamma")).otherwise(w("delta", "gamma", "alpha", "omega"))
     t = Tables(spark, sf_dir)
-    q = _constructed(t, I.alias("quote_id"), text.alias("text"))
-    return grounding.best_matches(q, _constructed(t, I.alias("entry_id"), w("alpha", "beta", "gamma", "delta").alias("text"))).select("quote_id", "entry_id", "match")
+    q = _constructed(t, i.alias("quote_id"), text.alias("text"))
+    return grounding.best_matches(q, _constructed(t, i.alias("entry_id"), w("alpha", "beta", "gamma", "delta").alias("text"))).select("quote_id", "entry_id", "match")
 
 
 @query("""
 select 'p' || doc_id as entity_key, case doc_id % 3 when 1 then 'error' else 'warning' end as severity from documents where doc_id % 3 <> 0""", alone=True)
 def attribution_issues(spark, sf_dir):
     """Quotations given to another speaker than the registry does, or that it doesn't have."""
+    i = F.col("doc_id")
     t = Tables(spark, sf_dir)
-    own = F.concat_ws(" ", *[F.concat(F.lit(p), I) for p in ("alpha", "beta", "gamma", "delta")])
-    said = F.when(I % 3 == 2, F.concat(F.lit("nothing"), I, F.lit(" like it"))).otherwise(own)
-    fields = _constructed(t, F.concat(F.lit("p"), I).alias("path"), F.concat(F.lit("So “"), said, F.lit("” — "), F.when(I % 3 == 1, "Dana Fox").otherwise("Kim Lee")).alias("text"))
-    registry = _constructed(t, I.alias("entry_id"), own.alias("text"), F.lit("Kim Lee, VP (ops)").alias("attribution"))
+    own = F.concat_ws(" ", *[F.concat(F.lit(p), i) for p in ("alpha", "beta", "gamma", "delta")])
+    said = F.when(i % 3 == 2, F.concat(F.lit("nothing"), i, F.lit(" like it"))).otherwise(own)
+    fields = _constructed(t, F.concat(F.lit("p"), i).alias("path"), F.concat(F.lit("So “"), said, F.lit("” — "), F.when(i % 3 == 1, "Dana Fox").otherwise("Kim Lee")).alias("text"))
+    registry = _constructed(t, i.alias("entry_id"), own.alias("text"), F.lit("Kim Lee, VP (ops)").alias("attribution"))
     return reporting.attribution_issues(fields, registry).select("entity_key", "severity")
 
 
@@ -740,15 +738,17 @@ def attribution_errors(spark, sf_dir):
 select 'c' || doc_id as entity_key, 'ratio' as check_name from documents where doc_id % 4 in (1, 3) union all select 'c' || doc_id, 'breadth' from documents where doc_id % 4 in (2, 3)""", alone=True)
 def prose_quantities(spark, sf_dir):
     """Prose that should state neither shares nor breadth."""
-    text = F.when(I % 4 == 0, "it was said").when(I % 4 == 1, F.concat(F.lit("it was "), I, F.lit(" of 20"))).when(I % 4 == 2, "Most agreed").otherwise("nobody, so 0 percent")
-    return checks.quantities(_constructed(Tables(spark, sf_dir), F.concat(F.lit("c"), I).alias("id"), text.alias("text"))).select("entity_key", "check_name")
+    i = F.col("doc_id")
+    text = F.when(i % 4 == 0, "it was said").when(i % 4 == 1, F.concat(F.lit("it was "), i, F.lit(" of 20"))).when(i % 4 == 2, "Most agreed").otherwise("nobody, so 0 percent")
+    return checks.quantities(_constructed(Tables(spark, sf_dir), F.concat(F.lit("c"), i).alias("id"), text.alias("text"))).select("entity_key", "check_name")
 
 
 @query("""
 select doc_id, 'Doc ' || doc_id || ' is kept. It ends.' as kept, 'About 40% said so.|Most agree;' as dropped from documents""", alone=True)
 def cleaned_prose(spark, sf_dir):
     """Prose without the units that state counts, shares or breadth."""
-    text = F.concat(F.lit('Doc "'), I, F.lit('" is kept. About 40% said so. Most agree;\nIt ends.'))
+    i = F.col("doc_id")
+    text = F.concat(F.lit('Doc "'), i, F.lit('" is kept. About 40% said so. Most agree;\nIt ends.'))
     rows = Tables(spark, sf_dir).raw("documents").select("doc_id", fx.clean_prose(text).alias("c"))
     return rows.select("doc_id", "c.kept", F.array_join("c.dropped", "|").alias("dropped"))
 
@@ -757,19 +757,21 @@ def cleaned_prose(spark, sf_dir):
 select 'm' || doc_id as entity_key, (['title', 'headings', 'tables', 'tags'])[doc_id % 5] as check_name from documents where doc_id % 5 <> 0""", alone=True)
 def markdown_issues(spark, sf_dir):
     """Reports in Markdown without title or headings, with a row that isn't closed, or with tags."""
-    text = F.when(I % 5 == 1, "no title\n## H\nx\n").when(I % 5 == 2, "# T\nx\n").when(I % 5 == 3, "# T\n## H\n| a | b\n").when(I % 5 == 4, "# T\n## H\n<div>x</div>\n").otherwise("# T\n## H\n| a | b |\nx\n")
-    return checks.markdown(_constructed(Tables(spark, sf_dir), F.concat(F.lit("m"), I).alias("id"), text.alias("text"))).select("entity_key", "check_name")
+    i = F.col("doc_id")
+    text = F.when(i % 5 == 1, "no title\n## H\nx\n").when(i % 5 == 2, "# T\nx\n").when(i % 5 == 3, "# T\n## H\n| a | b\n").when(i % 5 == 4, "# T\n## H\n<div>x</div>\n").otherwise("# T\n## H\n| a | b |\nx\n")
+    return checks.markdown(_constructed(Tables(spark, sf_dir), F.concat(F.lit("m"), i).alias("id"), text.alias("text"))).select("entity_key", "check_name")
 
 
 @query("""
 select 'c' || doc_id as conv, doc_id % 3 = 0 as literal_verified, case when doc_id % 3 = 0 then 38 else -1 end as start, case when doc_id % 3 = 0 then 'Lee' end as speaker from documents""", alone=True)
 def quote_contexts(spark, sf_dir):
     """Where quotes stand in their source, if exactly once: offsets and the speaker of the turn."""
+    i = F.col("doc_id")
     from veritally.functions import prose
 
     source = F.lit("00:01 - Morgan\nWell.\n00:02 - Lee (vp)\nIt was “so”  slow. We left. We left.\n")
-    quote = F.when(I % 3 == 0, 'it was "so" slow').when(I % 3 == 1, "We left.").otherwise("never said")
-    rows = _constructed(Tables(spark, sf_dir), F.concat(F.lit("c"), I).alias("conv"), prose.context_column()(source, quote).alias("c"))
+    quote = F.when(i % 3 == 0, 'it was "so" slow').when(i % 3 == 1, "We left.").otherwise("never said")
+    rows = _constructed(Tables(spark, sf_dir), F.concat(F.lit("c"), i).alias("conv"), prose.context_column()(source, quote).alias("c"))
     return rows.select("conv", "c.literal_verified", F.coalesce("c.start", F.lit(-1)).alias("start"), "c.speaker")
 
 
