@@ -111,6 +111,47 @@ def test_toxicity(spark):
     assert len(flat) == 1 and 0 <= flat[0][0] <= 1
 
 
+def test_toxicity_is_the_mean_of_subwords(spark):
+    """Scores against a plain sum over all n-grams of all words, for texts of any length."""
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS), -1.5)
+    texts = ["", "one", "one one two", "naïve ÉCOLE 東京", "word " * 3000 + "x" * 60, "a" * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(docs, model).collect():
+        own = toxicity.WORD.findall(texts[r["doc_id"]].lower())
+        z = sum(np.mean([model.weight[b] for b in toxicity.buckets_of(w)]) for w in own) / (toxicity.CALM + len(own)) + model.bias
+        assert np.isclose(r["score"], 1 / (1 + np.exp(-z)))
+
+
+def test_quality_is_the_sum_over_pairs(spark):
+    """Scores against the sum over all pairs of features, one by one."""
+    rng = np.random.default_rng(5)
+    size = quality.HASHED + quality.STATS
+    model = quality.Model(0.2, rng.normal(size=size) * 0.1, rng.normal(size=(size, quality.RANK)) * 0.1, np.zeros(quality.STATS), np.ones(quality.STATS))
+    texts = ["", "one", "one one two!", "Some words, and more of them.\nA line"]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)] + [(9, texts[3], 28)], "doc_id long, text string, n_chars int")
+    for r in quality.score(docs, model).collect():
+        t = r["text"]
+        _, bucket, value, stats = quality.features([t], [r["n_chars"]], quality.WordStore(quality._bucket, 1))
+        x = list(zip(bucket.tolist(), value.tolist())) + [(quality.HASHED + k, v) for k, v in enumerate((np.clip(stats[0], -4, 4) / np.sqrt(quality.STATS)).tolist())]
+        z = model.w0 + sum(model.w[i] * v for i, v in x) + sum(model.v[i] @ model.v[j] * v * w for n, (i, v) in enumerate(x) for j, w in x[n + 1 :])
+        assert np.isclose(r["score"], 1 / (1 + np.exp(-z)))
+
+
+def test_secrets_are_those_of_the_plain_pattern(spark):
+    """Candidates and places against the pattern by itself, on texts of many kinds; the forest never sees more or fewer."""
+    import re
+
+    key = r"[A-Za-z0-9+/_\-]"
+    word = rf"(?<!{key})(?=[A-Za-z+/_\-]*[0-9]){key}{{16,}}={{0,2}}"
+    texts = ["a0123456789abcdef0 b", "x" * 40, "t" * 20 + "7 and " + "K9/" * 9 + "==", "no secret", "one-2-three-4-five-6-seven " * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = secrets.fit(secrets.labelled_findings(spark, 640))
+    got = sorted((r["doc_id"], r["start"], r["candidate"]) for r in secrets.scan(docs, model).collect())
+    assert got == sorted((i, m.start(), m.group()) for i, t in enumerate(texts) for m in re.finditer(word, t))
+    assert secrets.scan(docs, model).where("score < 0 or score > 1 or is_secret <> (score >= 0.5)").count() == 0
+
+
 def test_quality(spark):
     rng = random.Random(3)
     rows, labels = [], []

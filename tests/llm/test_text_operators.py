@@ -18,7 +18,7 @@ from veritally.llm import bpe, common, decontam, graph, lines, simhash, token_co
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
-ODD = [None, "", " ", "a", "a<|endoftext|> b", " \n\t x", "\x1c a\x85b​", "a" * 300, "é 東京都 𝕏  　x", "it's 123 we'll", "x" * 3000 + " " * 200, "<s>▁ ▁▁a</s>", "a\x00b\nc\r\n", "ABC def GHI"]
+ODD = [None, "", " ", "a", "a<|endoftext|> b", " \n\t x", "\x1c a\x85b​", "a" * 300, "é 東京都 𝕏  　x", "it's 123 we'll", "x" * 3000 + " " * 200, "<s>▁ ▁▁a</s>", "a\x00b\nc\r\n", "ABC def GHI", " ".join(f"many{i % 700}" for i in range(20_000))]
 DOCS = "doc_id long, text string, n_tokens string, other int"
 
 
