@@ -87,3 +87,17 @@ def stale(verdicts: DataFrame, mentions: DataFrame) -> DataFrame:
     """Verdicts whose fingerprint isn't the mention's any more."""
     now = fingerprints(mentions).withColumnRenamed("fingerprint", "_now")
     return verdicts.join(now, "mention_id", "left").where(~F.col("fingerprint").eqNullSafe(F.col("_now"))).drop("_now")
+
+
+def repair_cohort(verdicts: DataFrame) -> DataFrame:
+    """(mention_id, verdict) of mentions that failed or were uncertain in the first round: each may be repaired once."""
+    return latest(verdicts.where("round = 1")).where("verdict <> 'pass'").select("mention_id", "verdict")
+
+
+def finalized(verdicts: DataFrame, repairs: DataFrame, least_pct: int = 90) -> DataFrame:
+    """One row: audited, repaired and passed, and whether the gate opens; repairs of mentions outside the cohort don't count."""
+    first = latest(verdicts.where("round = 1")).select("mention_id", "verdict")
+    done = with_repairs(first, repairs.join(repair_cohort(verdicts).select("mention_id"), "mention_id", "left_semi"))
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    out = done.agg(F.count(F.lit(1)).alias("audited"), n(F.col("repaired")).alias("repaired"), n(F.col("verdict") == "pass").alias("passed"))
+    return out.withColumn("ready", (F.col("audited") > 0) & (F.col("passed") * 100 >= F.col("audited") * least_pct))

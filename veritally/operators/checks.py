@@ -324,3 +324,25 @@ def requests(rows: DataFrame) -> DataFrame:
     """Audit requests (request_id, mode, mentions, sources) of an unknown mode, or with a sample out of its limits."""
     off = reduce(Column.__or__, [~F.coalesce(F.col(c).between(1, most), F.lit(False)) for c, most in SAMPLE.items()])
     return raised(rows, "request_id", [issue(~F.coalesce(F.col("mode").isin(MODES), F.lit(False)), "mode", "error", "not a mode"), issue(off, "sample", "error", "out of the limits of a sample")])
+
+
+def reconciliation(assigned: DataFrame, segments: DataFrame, files: DataFrame) -> DataFrame:
+    """Segments (id) that are unique, assignments (file_id, segment_id) that cover all files once and name known segments."""
+    named = assigned.where(F.col("segment_id") != schemas.UNKNOWN_SEGMENT)
+    return together(exact_cover(files, assigned, "file_id"), repeated(segments, "id", "segment_unique"), foreign(named, "file_id", segments, "id", "segment", "segment_id"))
+
+
+def analysis(themes_: DataFrame, rows: DataFrame, expected: DataFrame, nominations: DataFrame) -> DataFrame:
+    """An analysis of questions: its themes, each mention assigned once, nominees that their theme has, no themes without evidence.
+
+    nominations: theme_id, mention_id.
+    """
+    own = rows.select("theme_id", "mention_id").distinct().withColumn("_own", F.lit(True))
+    foul = nominations.join(own, ["theme_id", "mention_id"], "left").where("_own is null")
+    bare = themes_.join(expected.select("question_id").distinct(), "question_id", "left_anti")
+    return together(
+        themes(themes_),
+        assignments(expected, rows, themes_),
+        foul.select(*_say("theme_id", "nominee", "error", "the nominee isn't assigned to its theme")),
+        bare.select(*_say("theme_id", "no_evidence", "error", "a theme of a question without mentions")),
+    )

@@ -781,3 +781,56 @@ def canonical_digests(spark, sf_dir):
     """Digests of mentions as JSON objects: keys sorted, compact, letters as they are, nulls kept."""
     m = Tables(spark, sf_dir).mentions
     return m.select("mention_id", canonical_digest(quote=F.col("quote"), file_id=F.col("file_id"), sentiment=F.lit(None).cast("string"), mention=F.col("mention")).alias("digest"))
+
+
+@query("""
+select file_id as entity_key, 'segment' as check_name from files where doc_id % 4 = 0 and doc_id % 7 <> 3 union all select file_id, 'missing' from files where doc_id % 7 = 3""")
+def reconciliation_issues(spark, sf_dir):
+    """Files without a segment, and ones with a segment that isn't defined."""
+    f = Tables(spark, sf_dir).files
+    segments = spark.createDataFrame([(f"seg{k}",) for k in range(1, 4)], "id string")
+    assigned = f.where("doc_id % 7 <> 3").select("file_id", F.concat(F.lit("seg"), F.col("doc_id") % 4).alias("segment_id"))
+    return checks.reconciliation(assigned, segments, f.select("file_id")).select("entity_key", "check_name")
+
+
+@query("""#n as (select a.theme_id, case when a.theme_id like '%_T2' then 'none' else min(mention_id) end as mention_id from assignments a group by 1)
+select mention_id as entity_key, 'missing' as check_name from mentions where mention_id not in (select mention_id from assignments)
+union all select theme_id, 'nominee' from n where mention_id = 'none' union all select 'Q9_T1', 'no_evidence'""")
+def analysis_issues(spark, sf_dir):
+    """Mentions without a theme, nominees of no theme, and a theme of a question that nobody answered."""
+    t = Tables(spark, sf_dir)
+    themes = t.themes.unionByName(t.themes.where("theme_id = 'Q1_T1'").withColumn("question_id", F.lit("Q9")).withColumn("theme_id", F.lit("Q9_T1")))
+    first = t.assignments.groupBy("theme_id").agg(F.min("mention_id").alias("mention_id"))
+    nominees = first.withColumn("mention_id", F.when(F.col("theme_id").endswith("_T2"), "none").otherwise(F.col("mention_id")))
+    return checks.analysis(themes, t.assignments, t.mentions, nominees).select("entity_key", "check_name")
+
+
+@query("""
+select mention_id, verdict from verdicts where round = 1 and verdict <> 'pass'""")
+def repair_cohort(spark, sf_dir):
+    return audit.repair_cohort(Tables(spark, sf_dir).verdicts)
+
+
+@query("""#a as (select v.mention_id, v.verdict, r.verdict as fix from verdicts v left join (select mention_id, verdict from verdicts where round = 2) r on v.mention_id = r.mention_id where v.round = 1),
+s as (select count(*) as audited, count(*) filter (verdict <> 'pass' and fix is not null) as repaired, count(*) filter (case when verdict <> 'pass' and fix is not null then fix else verdict end = 'pass') as passed from a)
+select *, audited > 0 and passed * 100 >= audited * 90 as ready from s""")
+def audit_gate(spark, sf_dir):
+    """The audit after its one repair of what failed."""
+    v = Tables(spark, sf_dir).verdicts
+    return audit.finalized(v, v.where("round = 2").select("mention_id", "verdict"))
+
+
+@query("""#b as (select file_id from files where doc_id % 3 <> 0 order by file_id limit 4)
+select mention_id from mentions where file_id in (select file_id from b) and k % 9 <> 4""")
+def batch_mentions(spark, sf_dir):
+    """What a batch of four sources brings in: quotes that were changed are left out."""
+    t = Tables(spark, sf_dir)
+    batch = selection.next_batch(t.files.select("file_id"), t.files.where("doc_id % 3 = 0"))
+    rows = t.mentions.withColumn("quote", F.when(F.col("k") % 9 == 4, F.concat(F.lit("§"), "quote")).otherwise(F.col("quote")))
+    return grounding.merged_batch(rows, t.raw("documents").select(F.expr(NAME).alias("file_id"), "text"), batch).select("mention_id")
+
+
+@query(f"""#m as (select *, min(mention_id) over (partition by question_id, file_id, {squeeze("quote")}) as first from mentions)
+select question_id, file_id, mention_id, mention, quote from m where mention_id = first""")
+def model_view(spark, sf_dir):
+    return grounding.model_view(Tables(spark, sf_dir).mentions)
