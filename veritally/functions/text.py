@@ -100,9 +100,10 @@ def off_topic(text: Column, keywords: Column) -> Column:
 
 def deletion_only(display: Column, quote: Column) -> Column:
     """The words of ``display`` are those of ``quote`` in order, some left out."""
-    shown, full = words(squeezed(display)), words(squeezed(quote))
-    step = lambda at, w: F.when(at < F.size(shown), at + (F.get(shown, at) == w).cast("int")).otherwise(at)
-    return F.aggregate(full, F.lit(0), step) == F.size(shown)
+    full = words(squeezed(quote))
+    step = lambda shown: lambda at, w: F.when(at < F.size(shown), at + (F.get(shown, at) == w).cast("int")).otherwise(at)
+    kept = lambda shown: F.aggregate(full, F.lit(0), step(shown)) == F.size(shown)
+    return F.get(F.transform(F.array(words(squeezed(display))), kept), 0)  # bound to a variable, or each step would cut the words again
 
 
 def truncated(text: Column, most: int) -> Column:

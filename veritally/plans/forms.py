@@ -73,7 +73,7 @@ select mention_id, k % 2 = 0 as kept_words from mentions where len(string_split(
 def display_deletions(spark, sf_dir):
     """Displays that drop the first word of a quote, and ones with a word of their own."""
     rows = Tables(spark, sf_dir).mentions.where(F.size(F.split("quote", " ")) > 2)
-    shorter = F.array_join(F.slice(F.split("quote", " "), 2, 100_000), " ")
+    shorter = F.regexp_replace("quote", "(?s)^[^ ]* ", "")
     display = F.when(F.col("k") % 2 == 0, shorter).otherwise(F.concat(shorter, F.lit(" §own")))
     return rows.select("mention_id", fx.deletion_only(display, F.col("quote")).alias("kept_words"))
 
