@@ -644,3 +644,4 @@ def distribution_warnings(spark, sf_dir):
 
 
 from veritally.plans import forms as _forms  # noqa: E402, F401  registers its queries here
+from veritally.plans import sections as _sections  # noqa: E402, F401  uses SQL of theirs
