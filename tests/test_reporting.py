@@ -1,7 +1,9 @@
 """Report checks and JSON validation on hand-made rows."""
 
+import pytest
+
 from veritally.functions import jsonschema
-from veritally.operators import reporting
+from veritally.operators import checks, rendering, reporting, sections
 
 
 def frame(spark, rows, ddl):
@@ -90,3 +92,44 @@ def test_keys_capacity_and_admission(spark):
     parts = frame(spark, [("k1", "p"), ("k2", "p"), ("k3", "q"), ("k4", "q")], "component_id string, packet_id string")
     found = frame(spark, [("k1", "x", "editorial", ""), ("k3", "x", "error", "")], "entity_key string, check_name string, severity string, message string")
     assert {(r["component_id"], r["packet_ok"]) for r in reporting.admitted(parts, found).collect()} == {("k2", True), ("k4", False)}
+
+
+def test_sections(spark):
+    """Nulls and empty parts leave no trace; cells stay on one line; ``other`` with a large share shows all quotes."""
+    flagged = frame(spark, [("Q1", "Q1_T1", "risk", 8, 80, 2, 2, 1, False), ("Q1", "Q1_T8", "other", 2, 20, 1, 2, 1, False), ("Q1", "Q1_T2", "risk", 1, 10, 1, 2, 1, True)], "question_id string, theme_id string, type string, mention_count long, mention_pct long, source_type_count long, total_source_types long, total_segments long, demoted boolean")
+    picked = frame(spark, [(t, k, f"q{k}|\n" if k > 1 else None, k == 4, None if k % 2 else "Kim", "f_1") for t in ("Q1_T1", "Q1_T8", "Q1_T2") for k in range(1, 6)], "theme_id string, pick long, quote string, notable_quote boolean, quote_attribution string, file_id string")
+    shown = sections.shown_quotes(picked, flagged)
+    assert sorted((r["theme_id"], r["pick"]) for r in shown.collect()) == [("Q1_T1", 1), ("Q1_T1", 2), ("Q1_T1", 4)] + [("Q1_T8", k) for k in range(1, 6)]
+    cells = sections.quote_cells(shown)
+    assert {r["theme_id"]: r["quotes"] for r in cells.collect()}["Q1_T1"] == '"q4\\| " — Kim (f\\_1) • "q2\\| " — Kim (f\\_1)'
+    labels = frame(spark, [("Q1_T1", "a*b", None), ("Q1_T8", None, "rest")], "theme_id string, label string, description string")
+    segments = frame(spark, [("Q1_T1", "s")], "theme_id string, segment string")
+    table = sections.theme_tables(flagged, labels, cells.where("theme_id = 'Q1_T8'"), segments).first()["table"].split("\n")
+    assert table[:3] == ["| Theme | Description | Mentions | % | Sources | Key Quotes |", "| --- | --- | --- | --- | --- | --- |", "| a\\*b |  | 8 | 80% | 2/2 |   |"] and table[3].startswith("| Q1\\_T8 | rest | 2 | 20% | 1/2 | ")
+    totals = frame(spark, [("Q1", 9, 1, 1, True)], "question_id string, total_mentions long, total_source_types long, total_segments long, sparse boolean")
+    none = frame(spark, [], "question_id string, table string"), frame(spark, [], "question_id string, quote string, quote_attribution string")
+    written = frame(spark, [("Q1", None, "", None), ("Q2", "why", None, ["x"])], "question_id string, question string, synthesis string, takeaways array<string>")
+    got = sections.question_sections(totals, *none, written)
+    assert {r["question_id"]: r["section"] for r in got.collect()} == {"Q1": "## Q1: \n\nn = 9 mentions\n\n> **Note:** Based on 9 mentions. Treat as directional signals, not patterns.", "Q2": "## Q2: why\n\n### Takeaways\n\n- x"}
+    bare = frame(spark, [(None, None, None, None, None)], "headline string, body string, findings array<struct<text:string,notes:array<string>>>, outcomes array<struct<outcome:string,quote:string,attribution:string>>, open_questions array<string>")
+    assert sections.executive_section(bare).first()["executive"] == ""
+    assert sections.written_out(sections.executive_section(bare), got).count("## Q") == 2
+    with pytest.raises(ValueError):
+        sections.written_out(got, most=1)
+
+
+def test_page(spark):
+    """Every part of a page is there, and passes the checks of pages."""
+    quote = {"question_id": "Q1", "theme_id": "Q1_T1", "quote": "x" * 300, "quote_attribution": "Kim & Co"}
+    doc = {
+        "title": "T <1>", "date": "2024-01-01", "company": "A", "banner": rendering.banner("sampled", None, "2 of 3 passed."), "notes": [{"x": "n"}],
+        "executive": {"headline": "H", "body": "one\n\ntwo", "findings": [{"text": "found", "notes": ["of 3"]}], "outcomes": [{"outcome": "won"}], "open_questions": ["why?"]},
+        "themes": [{"question_id": "Q1", "theme_id": "Q1_T1", "label": "slow", "mention_count": 3, "mention_pct": 30, "bar": 100}],
+        "written": [{"question_id": "Q1", "question": "What?", "synthesis": "s", "takeaways": ["t"]}, {"question_id": "Q2"}],
+        "quotes": [quote], "leads": [{"question_id": "Q1", "quote": "lead"}], "outliers": [{"question_id": "Q1", "quote": f"o{k}"} for k in range(7)],
+    }
+    page = rendering.as_html(doc)
+    for part in ("T &lt;1&gt;", "Kim &amp; Co", "Sampled audit. 2 of 3", "<details><summary>" + "x" * 250 + "...", "<strong>won</strong>", "<li>found<p>of 3</p></li>", "Outliers (7)", "2 more not shown", '<section id="Q2">', "<blockquote>lead"):
+        assert part in page, part
+    assert checks.html(frame(spark, [(1, page)], "page_id long, html string")).collect() == []
+    assert rendering.banner("full", "complete", "x") == "" and rendering.banner("full", "incomplete", "x") == "Incomplete audit. x"

@@ -50,26 +50,96 @@ def as_markdown(doc: dict) -> str:
     return "\n".join(out)
 
 
-STYLE = ":root{--primary:#234}a:focus{outline:2px solid var(--primary)}.bar{background:var(--primary);height:.8em}"
+STYLE = (
+    ":root{--primary:#234}a:focus{outline:2px solid var(--primary)}.skip-link:not(:focus){position:absolute;left:-99em}"
+    ".hero .badge{border:1px solid;display:inline-block}.bar{background:var(--primary);height:.8em}.audit-banner{border:1px solid}"
+)
+LONG_QUOTE, OUTLIERS_SHOWN = 250, 5
+
+
+def _tag(name: str, inner: str, **attributes: str) -> str:
+    """An element, or nothing if it would be empty; ``inner`` is markup, attributes are text."""
+    said = "".join(f' {k.rstrip("_").replace("_", "-")}="{html.escape(v)}"' for k, v in attributes.items())
+    return f"<{name}{said}>{inner}</{name}>" if inner else ""
+
+
+def _each(name: str, texts) -> str:
+    return "".join(_tag(name, html.escape(str(t))) for t in texts if t)
+
+
+def _quote(q: dict) -> str:
+    """A quote as it is displayed, long ones folded, with who said it."""
+    text = q.get("display_quote") or q.get("quote") or ""
+    body = _tag("blockquote", html.escape(text))
+    if len(text) > LONG_QUOTE:
+        body = _tag("details", _tag("summary", html.escape(text[:LONG_QUOTE].rstrip() + "...")) + body)
+    return body and body + _tag("cite", html.escape(q.get("quote_attribution") or q.get("file_id") or ""))
+
+
+def _chart(themes: list[dict]) -> str:
+    bar = lambda t: _tag("tr", _tag("th", html.escape(str(t.get("label") or t["theme_id"])), scope="row") + f'<td><div class="bar" style="width:{t["bar"]}%"></div>{t["mention_pct"]}%</td>')
+    return _tag("div", _tag("table", "".join(map(bar, themes))), class_="chart-container", role="img", aria_label="Share of mentions by theme")
+
+
+def _details(themes: list[dict], quotes: list[dict]) -> str:
+    """A row for each theme with its counts and the quotes that it shows."""
+    rows = ""
+    for t in themes:
+        said = "".join(_quote(q) for q in quotes if q.get("theme_id") == t["theme_id"])
+        rows += f"<tr><td>{html.escape(str(t.get('label') or t['theme_id']))}</td><td>{html.escape(str(t.get('description') or ''))}</td><td>{t['mention_count']}</td><td>{t['mention_pct']}%</td><td>{said}</td></tr>"
+    return _tag("table", rows and "<tr><th>Theme</th><th>Description</th><th>Mentions</th><th>Share</th><th>Quotes</th></tr>" + rows)
+
+
+def _outliers(rows: list[dict]) -> str:
+    more = len(rows) - OUTLIERS_SHOWN
+    inner = "".join(_quote(q) for q in rows[:OUTLIERS_SHOWN]) + (f"<p>{more} more not shown</p>" if more > 0 else "")
+    return _tag("details", inner and _tag("summary", f"Outliers ({len(rows)})") + inner)
+
+
+def _executive(doc: dict) -> str:
+    s = doc.get("executive", {})
+    found = "".join(_tag("li", html.escape(f["text"]) + _each("p", f.get("notes", ()))) for f in s.get("findings", ()))
+    came = "".join(_tag("li", _tag("strong", html.escape(o["outcome"])) + _quote({"quote": o.get("quote"), "quote_attribution": o.get("attribution")})) for o in s.get("outcomes", ()))
+    parts = [_each("p", (s.get("body") or "").split("\n\n"))]
+    parts += [inner and _tag("h2", title) + _tag("ul", inner) for title, inner in (("Key findings", found), ("Notable outcomes", came), ("Open questions", _each("li", s.get("open_questions", ()))))]
+    return _tag("h2", html.escape(s.get("headline") or "")) + "".join(parts)
 
 
 def as_html(doc: dict) -> str:
-    esc = html.escape
-    ids = list(dict.fromkeys(t["question_id"] for t in doc["themes"]))
-    nav = "".join(f'<a href="#{q}">{q}</a> ' for q in ids)
+    """A report as a page: hero, sections to go to, audit banner, executive part, questions with charts and details, methodology.
+
+    Of ``doc`` only title, date, themes, quotes and notes must be there; ``executive`` (headline, body, findings, outcomes,
+    open_questions), ``company``, ``banner``, ``written`` (question_id, question, synthesis, takeaways), ``leads`` and
+    ``outliers`` add their parts.
+    """
+    of = lambda name, q: [x for x in doc.get(name, ()) if x["question_id"] == q]
+    named = {w["question_id"]: w for w in doc.get("written", ())}
+    ids = list(dict.fromkeys([*named, *(t["question_id"] for t in doc["themes"])]))
+    title = html.escape(doc["title"])
+    nav = '<a href="#executive-summary">Summary</a> ' + "".join(f'<a href="#{html.escape(q)}">{html.escape(named.get(q, {}).get("question") or q)}</a> ' for q in ids) + '<a href="#methodology">Methodology</a>'
     parts = []
     for q in ids:
-        rows = "".join(f'<tr><td>{esc(t["theme_id"])}</td><td>{t["mention_count"]}</td><td><div class="bar" style="width:{t["bar"]}%"></div>{t["mention_pct"]}%</td></tr>' for t in doc["themes"] if t["question_id"] == q)
-        said = "".join(f"<blockquote>{esc(x['quote'])}</blockquote>" for x in doc["quotes"] if x["question_id"] == q)
-        parts.append(f'<section id="{q}"><h2>{q}</h2><div class="chart-container"><table>{rows}</table></div>{said}</section>')
-    notes = "".join(f"<p>{esc(str(v))}</p>" for n in doc["notes"] for v in n.values())
+        w, themes, quotes = named.get(q, {}), of("themes", q), of("quotes", q)
+        loose = "".join(_quote(x) for x in quotes if "theme_id" not in x)
+        prose = _each("p", [w.get("synthesis")]) + _tag("ul", _each("li", w.get("takeaways") or ()))
+        body = _tag("h2", html.escape(w.get("question") or q)) + _chart(themes) + "".join(_quote(x) for x in of("leads", q)) + prose + _details(themes, quotes) + loose + _outliers(of("outliers", q))
+        parts.append(_tag("section", body, id=q))
+    notes = _each("p", (v for n in doc["notes"] for v in n.values()))
+    hero = _tag("header", _tag("div", html.escape(doc.get("company") or ""), class_="badge") + f"<h1>{title}</h1><p>{html.escape(doc['date'])}</p>", class_="hero")
+    banner = _tag("div", html.escape(doc.get("banner") or ""), class_="audit-banner", role="note")
     return (
-        f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{esc(doc["title"])}</title><style>{STYLE}</style></head><body>'
-        f'<a class="skip-link" href="#executive-summary">Skip</a><nav aria-label="Sections">{nav}</nav>'
-        f'<section id="executive-summary"><h1>{esc(doc["title"])}</h1><p>{doc["date"]}</p></section>{"".join(parts)}<section id="methodology"><h2>Methodology</h2>{notes}</section></body></html>'
+        f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{title}</title><style>{STYLE}</style></head><body>'
+        f'<a class="skip-link" href="#executive-summary">Skip to the summary</a><nav aria-label="Sections">{nav}</nav>{hero}{banner}'
+        f'<main><section id="executive-summary">{_executive(doc)}</section>{"".join(parts)}<section id="methodology"><h2>Methodology</h2>{notes}</section></main></body></html>'
     )
 
 
+def banner(mode: str | None, status: str | None, lines: str) -> str:
+    """What a reader must know first: that the audit was skipped, sampled or isn't complete; nothing for a whole one."""
+    title = "Incomplete audit" if status == "incomplete" else {"skip": "Audit skipped", "sampled": "Sampled audit"}.get(mode or "")
+    return f"{title}. {lines}" if title else ""
+
+
 def evidence_rows(quotes: DataFrame) -> DataFrame:
     """Quotes as they go into the evidence file, with a stable anchor."""
     from veritally.semantics import anchor
