@@ -192,3 +192,47 @@ def opportunity_numbers(rows: DataFrame) -> DataFrame:
     """Numbers (opportunity_id, value) that an opportunity's text states and its quote doesn't."""
     said = F.array_except(fx.numerals(F.col("text")), fx.numerals(F.coalesce("quote", F.lit(""))))
     return rows.select("opportunity_id", F.explode(said).alias("value"))
+
+
+def opportunity_issues(candidates: DataFrame, mentions: DataFrame, assignments: DataFrame, stored: DataFrame, now: DataFrame) -> DataFrame:
+    """Opportunities (opportunity_id, question_id, theme_id, mention_id, text) against the evidence as it is when they are rendered.
+
+    Evidence must be a retained mention of the question that is assigned to the theme; the theme must be shown, and its
+    published count (stored: theme_id, mention_count) the one that is counted now (now: theme_id, mention_count, demoted).
+    """
+    held = mentions.select("mention_id", "question_id").distinct().withColumn("_held", F.lit(True))
+    given = assignments.select("mention_id", "theme_id").distinct().withColumn("_given", F.lit(True))
+    counted = now.select("theme_id", F.col("mention_count").alias("_now"), "demoted").join(stored.select("theme_id", F.col("mention_count").alias("_stored")), "theme_id", "left")
+    rows = candidates.join(held, ["mention_id", "question_id"], "left").join(given, ["mention_id", "theme_id"], "left").join(counted, "theme_id", "left")
+    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    return raised(
+        rows,
+        "opportunity_id",
+        [
+            issue(blank, "field", "error", "a field is empty"),
+            issue(F.col("_held").isNull(), "evidence", "error", "its evidence isn't a retained mention of the question"),
+            issue(F.col("_given").isNull(), "theme", "error", "its evidence isn't assigned to the theme"),
+            issue(F.coalesce("demoted", F.lit(False)), "demoted", "error", "its theme isn't shown"),
+            issue(F.col("_now").isNotNull() & ~F.col("_now").eqNullSafe(F.col("_stored")), "stale", "error", "the published count of its theme is stale"),
+        ],
+    )
+
+
+def inline_quote_issues(claims: DataFrame, checked: DataFrame) -> DataFrame:
+    """Claims (claim_id, text, scope, source_quote) that quote what wasn't checked (checked: quote), or leave a quotation open.
+
+    The text of a claim that copies a source case (its ``source_quote`` isn't null) may quote parts of that quote, and
+    nothing else; parts begin and end with a word.
+    """
+    fields = claims.select("claim_id", "source_quote", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c), F.lit("")).alias("body")) for c in ("text", "scope")])).alias("f")).select("claim_id", "source_quote", "f.*")
+    read = fields.withColumn("open", F.size(prose.column("unmatched_marks")("body")) > 0).withColumn("spans", prose.column("quotations")("body"))
+    said = read.select("claim_id", "source_quote", "field", F.explode(F.concat(F.transform("spans", lambda s: s["quote"]), fx.block_quotes(F.col("body")))).alias("quote")).withColumn("quote", normalized(F.col("quote")))
+    own = F.col("source_quote").isNotNull() & (F.col("field") == "text")
+    inside = (F.col("quote") != "") & F.regexp_like(normalized(F.col("source_quote")), F.concat(F.lit(r"(?U)(?<!\w)\Q"), "quote", F.lit(r"\E(?!\w)")))
+    known = checked.select(normalized(F.col("quote")).alias("quote")).distinct()
+    foul = said.where(own & ~inside).select("claim_id").unionByName(said.where(~own).join(known, "quote", "left_anti").select("claim_id"))
+    left_open = read.where("open").select("claim_id").distinct()
+    none = F.lit(True)
+    return raised(left_open, "claim_id", [issue(none, "open_quotation", "editorial", "a quotation isn't closed")]).unionByName(
+        raised(foul.distinct(), "claim_id", [issue(none, "inline_quote", "editorial", "quotes what wasn't checked")])
+    )

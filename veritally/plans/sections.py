@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritally.operators import audit, counting, sections, selection
+from veritally.operators import audit, counting, reporting, sections, selection
 from veritally.plans.queries import FLAGGED, LATEST, SQL, TOTALS, Tables, _claims, pct, query
 
 DAY = date(2024, 1, 31)
@@ -133,3 +133,28 @@ def executive_sections(spark, sf_dir):
         some(i % 7 == 0, F.lit("why?")).alias("open_questions"),
     )
     return sections.executive_section(rows, "doc_id")
+
+
+@query(f"""#{FLAGGED},
+o as (select 'o_' || m.mention_id as id, m.k % 4 as c, case when m.k % 4 = 2 then 'zz' else a.theme_id end as theme_id from assignments a join mentions m on a.mention_id = m.mention_id)
+select id as entity_key, 'field' as check_name from o where c = 3 union all select id, 'evidence' from o where c = 1 union all select id, 'theme' from o where c = 2
+union all select id, 'demoted' from o join flagged f on o.theme_id = f.theme_id where demoted union all select id, 'stale' from o where theme_id = 'Q1_T1'""")
+def opportunity_issues(spark, sf_dir):
+    """An opportunity for each assigned mention, three of four with a fault, against counts of which one is stale."""
+    t = Report(spark, sf_dir)
+    rows = t.assignments.select("mention_id", "theme_id").join(t.mentions.select("mention_id", "question_id", (F.col("k") % 4).alias("c")), "mention_id")
+    rows = rows.withColumns({"opportunity_id": F.concat(F.lit("o_"), "mention_id"), "question_id": F.when(F.col("c") == 1, "Q9").otherwise(F.col("question_id")), "theme_id": F.when(F.col("c") == 2, "zz").otherwise(F.col("theme_id")), "text": F.when(F.col("c") == 3, " ").otherwise("Do it")})
+    stored = t.kept.select("theme_id", (F.col("mention_count") + (F.col("theme_id") == "Q1_T1").cast("long")).alias("mention_count"))
+    return reporting.opportunity_issues(rows, t.mentions, t.assignments, stored, t.kept).select("entity_key", "check_name")
+
+
+@query("""
+select 'c' || doc_id as entity_key, case doc_id % 6 when 4 then 'open_quotation' else 'inline_quote' end as check_name from documents where doc_id % 6 in (1, 3, 4)""", alone=True)
+def inline_quote_issues(spark, sf_dir):
+    """Claims that quote a checked quote, an unchecked one, a part of their source, a part of a word of it, or don't end."""
+    i = F.col("doc_id")
+    said = F.lit("they said “")
+    kinds = [F.concat(said, F.lit("checked "), i, F.lit("”")), F.concat(said, F.lit("unchecked "), i, F.lit("”")), F.concat(said, F.lit("Slow on"), F.lit("”")), F.concat(said, F.lit("low on"), F.lit("”")), F.lit("they said “and"), F.lit("they said so")]
+    text = F.element_at(F.array(*kinds), (i % 6 + 1).cast("int"))
+    rows = Tables(spark, sf_dir).raw("documents").select(F.concat(F.lit("c"), i).alias("claim_id"), text.alias("text"), F.lit(None).cast("string").alias("scope"), F.when((i % 6).isin(2, 3), "It was slow on Monday").alias("source_quote"), F.concat(F.lit("Checked "), i).alias("quote"))
+    return reporting.inline_quote_issues(rows.drop("quote"), rows.select("quote")).select("entity_key", "check_name")
