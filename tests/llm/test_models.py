@@ -152,6 +152,36 @@ def test_secrets_are_those_of_the_plain_pattern(spark):
     assert secrets.scan(docs, model).where("score < 0 or score > 1 or is_secret <> (score >= 0.5)").count() == 0
 
 
+def test_secret_shapes_are_those_of_plain_counts(spark):
+    """Coverage, transitions and distinct characters against loops over the candidate, across the bounds of stretches too."""
+    rng = random.Random(11)
+    words = ["pass", "word", "token", "wordy", "secretive"]
+    known = spark.createDataFrame([(w,) for w in words], "word string")
+    made = ["pass", "PassWordy9", "a1" * 20, "", "t\u00f6ken-token\u0130", "x" * 255 + "token" * 3, "".join(rng.choice([*words, "9", "_", "q"]) for _ in range(700)), "secretive" * 120, "x" * 250 + "secretive" + "9" * 600]
+    table = [rng.uniform(-2, 2) for _ in range(secrets.SIGNS**2)]
+    rows = spark.createDataFrame([*enumerate(made), (99, None), (98, made[1])], "i int, candidate string")
+    found = {r["i"]: r for r in secrets.shaped(rows, known, table).collect()}
+    assert len(found) == len(made) + 2 and found[99]["cover"] == found[99]["transitions"] == found[99]["distinct"] == 0
+    sign = lambda x: secrets.ALPHABET.find(x) + 1
+    for i, c in enumerate(made):
+        low = "".join(x.lower() if x.isascii() else x for x in c)
+        places = {k for at in range(len(c)) for w in words if low.startswith(w, at) for k in range(at, at + len(w))}
+        odds = [table[sign(a) * secrets.SIGNS + sign(b)] for a, b in zip(c, c[1:], strict=False)]
+        assert np.isclose(found[i]["cover"], len(places) / max(len(c), 1)) and np.isclose(found[i]["distinct"], len(set(c)) / max(len(c), 1)), c[:40]
+        assert np.isclose(found[i]["transitions"], sum(odds) / max(len(odds), 1), atol=1e-9), c[:40]
+    assert [found[1][k] for k in ("cover", "distinct", "transitions")] == [found[98][k] for k in ("cover", "distinct", "transitions")]
+
+
+def test_secret_of_a_million_characters(spark):
+    """One long line of base64 is a finding like any other."""
+    rng = random.Random(12)
+    long = "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(1_000_000))
+    docs = spark.createDataFrame([(1, f"key {long} end"), (2, "token = 61fedef2798093a39309a7b84b6ac516")], "doc_id long, text string")
+    model = secrets.fit(secrets.labelled_findings(spark, 640))
+    out = {r["doc_id"]: r for r in secrets.scan(docs, model).collect()}
+    assert out[1]["candidate"] == long and out[1]["start"] == 4 and 0 <= out[1]["score"] <= 1 and out[2]["start"] == 8
+
+
 def test_quality(spark):
     rng = random.Random(3)
     rows, labels = [], []

@@ -30,6 +30,8 @@ BEFORE, AFTER = 48, 24  #: characters that count as neighbours
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 SIGNS = len(ALPHABET) + 1  #: kinds of characters in a transition; all others are one
 WORD_LETTERS = (4, 12)  #: letters of the dictionary's words
+PIECE = 256  #: characters of a candidate that are looked at together
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Words that names in code are made of; the labelled findings below use them. Fixed values.
 WORDS = (
@@ -57,18 +59,47 @@ def dictionary(spark: SparkSession, vocabulary: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(words)), "array<string>")).alias("word"))
 
 
-def covered(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """``rows`` with ``cover``: the share of characters of ``candidate`` that lie in words of the dictionary."""
+def _pieces(rows: DataFrame) -> DataFrame:
+    """(digest, n, piece, lead, own, tail): each different candidate of ``rows`` in stretches of PIECE characters.
+
+    ``n`` is the candidate's length; a stretch knows a word's letters on either side, no row has more of its candidate.
+    """
+    one = rows.where("candidate is not null").select(F.sha2("candidate", 256).alias("digest"), "candidate").dropDuplicates(["digest"])
+    parts = one.select("digest", F.char_length("candidate").alias("n"), F.regexp_extract_all("candidate", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("c"))
+    part = lambda i: F.coalesce(F.get("c", i), F.lit(""))
+    beside = WORD_LETTERS[1] - 1
+    spots = F.sequence(F.lit(0), F.greatest(F.size("c") - 1, F.lit(0)))
+    made = F.transform(spots, lambda i: F.struct(i.alias("piece"), F.right(part(i - 1), F.lit(beside)).alias("lead"), part(i).alias("own"), F.left(part(i + 1), F.lit(beside)).alias("tail")))
+    return parts.select("digest", "n", F.explode(made).alias("x")).select("digest", "n", "x.*")
+
+
+def shaped(rows: DataFrame, words: DataFrame, table: list[float]) -> DataFrame:
+    """``rows`` with three numbers of each ``candidate``, read in bounded stretches, so that its length costs time and no memory.
+
+    ``cover``: the share of characters that lie in words of the dictionary; ``transitions``: the mean of ``table`` over its
+    transitions; ``distinct``: different characters in its length. All are 0 for a null candidate.
+    """
     low, high = WORD_LETTERS
-    c = F.lower("candidate")
-    one = rows.select("candidate").distinct()
-    starts = one.select("candidate", c.alias("c"), F.explode(F.sequence(F.lit(1), F.greatest(F.char_length("candidate") - low + 1, F.lit(1)))).alias("at"))
-    parts = starts.select("candidate", "at", F.explode(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.substring(F.col("c"), F.col("at"), n))).alias("word"))
+    pieces = _pieces(rows)
+    text, lead = F.translate(F.concat("lead", "own", "tail"), CAPITALS, CAPITALS.lower()), F.char_length("lead")
+    starts = pieces.select("digest", "piece", lead.alias("lead"), F.char_length("own").alias("own"), text.alias("text")).where(F.col("text").rlike(f"[a-z]{{{low}}}"))
+    starts = starts.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.char_length("text") - low + 1, F.lit(1)))))
+    parts = starts.withColumn("word", F.explode(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.substring(F.col("text"), F.col("at"), n)))).drop("text")
     hits = parts.where(F.col("word").rlike("^[a-z]+$")).join(F.broadcast(words), "word")  # bounded by the vocabulary file
-    seen = hits.groupBy("candidate").agg(F.collect_set(F.struct("at", F.char_length("word").alias("n"))).alias("spans"))
-    places = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))))
-    cover = seen.select("candidate", (places / F.char_length("candidate")).alias("cover"))
-    return rows.join(cover, "candidate", "left").withColumn("cover", F.coalesce("cover", F.lit(0.0)))
+    spans = hits.groupBy("digest", "piece", "lead", "own").agg(F.collect_set(F.struct("at", F.char_length("word").alias("n"))).alias("spans"))
+    places = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
+    inside = F.filter(places, lambda x: (x > F.col("lead")) & (x <= F.col("lead") + F.col("own")))
+    none = F.lit(None)
+    covered = spans.select("digest", none.cast("int").alias("n"), F.size(inside).alias("places"), none.cast("decimal(38,12)").alias("odds"), none.cast("string").alias("sign"))
+    odds = F.from_json(F.lit(json.dumps(table)), "array<double>")
+    sum_of = F.aggregate(_pairs(F.concat(F.right("lead", F.lit(1)), "own")), F.lit(0.0), lambda total, x: total + F.element_at(odds, x + 1))
+    passed = pieces.select("digest", "n", F.lit(0).alias("places"), sum_of.cast("decimal(38,12)").alias("odds"), none.cast("string").alias("sign"))
+    signs = pieces.select("digest", none.cast("int").alias("n"), F.lit(0).alias("places"), none.cast("decimal(38,12)").alias("odds"), F.explode(F.array_distinct(F.filter(F.split("own", ""), lambda x: x != ""))).alias("sign"))
+    each = covered.unionByName(passed).unionByName(signs).groupBy("digest").agg(F.max("n").alias("n"), F.sum("places").alias("places"), F.sum("odds").alias("odds"), F.countDistinct("sign").alias("signs"))
+    n = F.greatest(F.col("n"), F.lit(1))
+    numbers = each.select("digest", (F.col("places") / n).alias("cover"), (F.col("odds").cast("double") / F.greatest(n - 1, F.lit(1))).alias("transitions"), (F.col("signs") / n).alias("distinct"))
+    keyed = rows.withColumn("digest", F.sha2("candidate", 256)).join(numbers, "digest", "left").drop("digest")
+    return keyed.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("cover", "transitions", "distinct")})
 
 
 def _pairs(candidate: Column) -> Column:
@@ -79,7 +110,9 @@ def _pairs(candidate: Column) -> Column:
 
 def transitions(findings: DataFrame) -> list[float]:
     """Of each transition, the log of how much likelier it is in secrets than in other findings; a row for each pair of signs."""
-    each = findings.select("label", F.explode(_pairs(F.col("candidate"))).alias("pair")).groupBy("pair").agg(F.sum("label").alias("of"), F.count(F.lit(1)).alias("n"))
+    labels = findings.groupBy(F.sha2("candidate", 256).alias("digest")).agg(F.sum("label").alias("of"), F.count(F.lit(1)).alias("n"))
+    pairs = _pieces(findings).select("digest", F.explode(_pairs(F.concat(F.right("lead", F.lit(1)), "own"))).alias("pair"))
+    each = pairs.join(labels, "digest").groupBy("pair").agg(F.sum("of").alias("of"), F.sum("n").alias("n"))
     rows = {r["pair"]: (r["of"], r["n"] - r["of"]) for r in each.collect()}  # at most SIGNS squared
     of, off = (sum(x[k] for x in rows.values()) + SIGNS * SIGNS for k in (0, 1))
     return [math.log((rows.get(k, (0, 0))[0] + 1) / of) - math.log((rows.get(k, (0, 0))[1] + 1) / off) for k in range(SIGNS * SIGNS)]
@@ -92,17 +125,15 @@ class Model:
     vocabulary: str
 
 
-def features(candidate: Column, path: Column, before: Column, after: Column, cover: Column, table: list[float]) -> dict[str, Column]:
-    """Named numbers; each is defined for null parts as for empty ones."""
+def features(candidate: Column, path: Column, before: Column, after: Column) -> dict[str, Column]:
+    """Named numbers of rows that are ``shaped``; each is defined for null parts as for empty ones."""
     c, path, before, after = (F.coalesce(x, F.lit("")) for x in (candidate, path, before, after))
     n = F.greatest(F.char_length(c), F.lit(1))
     share = lambda pattern: F.char_length(F.regexp_replace(c, pattern, "")) / n  # noqa: E731  of what the pattern leaves
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]", "#"), "[a-z]", "a"), "[A-Z]", "A"), "[^#aA]", ".")
     lower = F.lower(c)
-    pairs = _pairs(c)
-    odds = F.from_json(F.lit(json.dumps(table)), "array<double>")
     return {
-        "transitions": F.aggregate(pairs, F.lit(0.0), lambda total, x: total + F.element_at(odds, x + 1)) / F.greatest(F.size(pairs), F.lit(1)),
+        "transitions": F.col("transitions"),
         "length": F.char_length(c).cast("double"),
         "changes": (F.char_length(F.regexp_replace(kinds, "(.)\\1+", "$1")) - 1) / n,
         "repeats": 1 - F.char_length(F.regexp_replace(c, "(.)\\1+", "$1")) / n,
@@ -114,8 +145,8 @@ def features(candidate: Column, path: Column, before: Column, after: Column, cov
         "hex": lower.rlike("^[0-9a-f]+$").cast("double"),
         "plain": c.rlike("^[0-9]+$").cast("double"),
         "grouped": lower.rlike("^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$").cast("double"),
-        "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
-        "cover": F.coalesce(cover, F.lit(0.0)),
+        "distinct": F.col("distinct"),
+        "cover": F.col("cover"),
         "prefix": c.rlike("^(AKIA|ASIA|ghp_|gho_|sk_live_|sk-|xox[bp]-|glpat-|AIza|eyJ)").cast("double"),
         "path": F.lower(path).rlike(PATHS).cast("double"),
         "set": before.rlike("[=:]\\s*[\"']?$").cast("double"),
@@ -183,8 +214,8 @@ def fit(findings: DataFrame, trees: int = 25, depth: int = 7, bound: int = 20_00
     """A forest from at most ``bound`` labelled findings, those with the smallest hashes; findings without label don't count."""
     known = findings.where("label is not null and candidate is not null").orderBy(F.xxhash64("path", "before", "candidate", "after"), "candidate").limit(bound)
     table = transitions(known)
-    rows = covered(known, dictionary(findings.sparkSession, vocabulary))
-    made = features(F.col("candidate"), F.col("path"), F.col("before"), F.col("after"), F.col("cover"), table)
+    rows = shaped(known, dictionary(findings.sparkSession, vocabulary), table)
+    made = features(F.col("candidate"), F.col("path"), F.col("before"), F.col("after"))
     order = F.xxhash64("path", "before", "candidate", "after")
     wide = rows.select("label", order.alias("order"), *[v.alias(k) for k, v in made.items()]).repartition(1).sortWithinPartitions("order", *made)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(VectorAssembler(inputCols=list(made), outputCol="features").transform(wide))
@@ -196,7 +227,8 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "tex
 
     ``nth`` and ``start`` (characters) count from 0 within the text. Texts without candidates, null and empty ones give
     no rows. Each row of ``docs`` gives its own findings, also when rows or ids repeat or the id is null; a missing or
-    null path counts as empty. Other columns are not carried on.
+    null path counts as empty. A candidate may be of any length: what is counted in it is counted in stretches of PIECE
+    characters, so one line of base64 is no more than many rows. Other columns are not carried on.
     """
     path_of = F.col(path) if path and path in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("_id"), path_of.alias("_path"), F.col(text).alias("_text")).where(F.col("_text").rlike(CANDIDATE))
@@ -209,8 +241,8 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "tex
     rows = rows.select("_id", "_path", "_row", "nth", F.col("x.candidate").alias("candidate"), F.char_length("x.gap").alias("gap"), before.alias("before"), after.alias("after"))
     order = Window.partitionBy("_row").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("start", F.sum(F.col("gap") + F.char_length("candidate")).over(order) - F.char_length("candidate"))
-    rows = covered(common.staged(rows, "candidates"), dictionary(docs.sparkSession, model.vocabulary))
-    made = features(F.col("candidate"), F.col("_path"), F.col("before"), F.col("after"), F.col("cover"), model.transitions)
+    rows = shaped(common.staged(rows, "candidates"), dictionary(docs.sparkSession, model.vocabulary), model.transitions)
+    made = features(F.col("candidate"), F.col("_path"), F.col("before"), F.col("after"))
     wide = rows.select("_id", "nth", "start", "candidate", *[v.alias(k) for k, v in made.items()])
     scored = model.forest.transform(VectorAssembler(inputCols=list(made), outputCol="features").transform(wide))
     score = F.element_at(vector_to_array("probability"), 2)
