@@ -80,7 +80,7 @@ def shaped(rows: DataFrame, words: DataFrame, table: list[float]) -> DataFrame:
     transitions; ``distinct``: different characters in its length. All are 0 for a null candidate.
     """
     low, high = WORD_LETTERS
-    pieces = _pieces(rows)
+    pieces = common.staged(_pieces(rows), "pieces", compact=True)
     text, lead = F.translate(F.concat("lead", "own", "tail"), CAPITALS, CAPITALS.lower()), F.char_length("lead")
     starts = pieces.select("digest", "piece", lead.alias("lead"), F.char_length("own").alias("own"), text.alias("text")).where(F.col("text").rlike(f"[a-z]{{{low}}}"))
     starts = starts.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.char_length("text") - low + 1, F.lit(1)))))
@@ -213,11 +213,12 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
 def fit(findings: DataFrame, trees: int = 25, depth: int = 7, bound: int = 20_000, seed: int = 3, vocabulary: str = "word_bpe_49k.json") -> Model:
     """A forest from at most ``bound`` labelled findings, those with the smallest hashes; findings without label don't count."""
     known = findings.where("label is not null and candidate is not null").orderBy(F.xxhash64("path", "before", "candidate", "after"), "candidate").limit(bound)
+    known = common.staged(known, "findings")  # plans of training stay small
     table = transitions(known)
     rows = shaped(known, dictionary(findings.sparkSession, vocabulary), table)
     made = features(F.col("candidate"), F.col("path"), F.col("before"), F.col("after"))
     order = F.xxhash64("path", "before", "candidate", "after")
-    wide = rows.select("label", order.alias("order"), *[v.alias(k) for k, v in made.items()]).repartition(1).sortWithinPartitions("order", *made)
+    wide = common.staged(rows.select("label", order.alias("order"), *[v.alias(k) for k, v in made.items()]), "features", compact=True).repartition(1).sortWithinPartitions("order", *made)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(VectorAssembler(inputCols=list(made), outputCol="features").transform(wide))
     return Model(forest, table, vocabulary)
 
