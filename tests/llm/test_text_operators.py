@@ -310,3 +310,18 @@ def test_recall_of_fingerprints():
         if 0.8 <= decontam.similarity(Counter(a.tolist()), Counter(b.tolist())) <= 0.85:
             met.append((decontam.simhash(a) ^ decontam.simhash(b)).bit_count() <= decontam.RADIUS)
     assert np.mean(met) > 0.97
+
+
+def test_sums_are_as_short_as_what_they_hold():
+    """Sums by place come back as they were, and take bytes by the places that have any."""
+    rng = np.random.default_rng(4)
+    whole = np.zeros(token_counts.BATCH_DOCS, np.int64)
+    want = whole.copy()
+    for n in (0, 1, 17, 2000, 2731, 4096):
+        total = np.zeros(token_counts.BATCH_DOCS)
+        total[rng.choice(token_counts.BATCH_DOCS, n, replace=False)] = rng.integers(1, 2**31 - 1, n)
+        packed = token_counts.packed_sums(total)
+        assert len(packed) <= 1 + min(6 * n, 4 * token_counts.BATCH_DOCS)
+        token_counts.add_sums(whole, packed)
+        want += total.astype(np.int64)
+    assert (whole == want).all()

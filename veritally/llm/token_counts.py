@@ -119,6 +119,22 @@ def postings(docs: DataFrame, model, buckets: int, id_col: str, text: str) -> Da
     return docs.select(id_col, text).mapInArrow(run, SCHEMA.format(kind))
 
 
+def packed_sums(total: np.ndarray) -> bytes:
+    """Sums by place in a batch: places (2 bytes) and sums (4) of those that have any, or all sums where that is shorter."""
+    some = np.flatnonzero(total)
+    if 6 * len(some) >= 4 * len(total):
+        return b"\1" + total.astype("<i4").tobytes()
+    return b"\0" + some.astype("<u2").tobytes() + total[some].astype("<i4").tobytes()
+
+
+def add_sums(total: np.ndarray, packed: bytes) -> None:
+    """Adds what ``packed_sums`` gave to ``total``."""
+    if packed[0]:
+        total += np.frombuffer(packed, "<i4", offset=1)
+    elif n := (len(packed) - 1) // 6:
+        total[np.frombuffer(packed, "<u2", n, 1)] += np.frombuffer(packed, "<i4", n, 1 + 2 * n)
+
+
 def sums(posts: DataFrame, model) -> DataFrame:
     """Join pre-tokens to their numbers of pieces, and sum pieces times frequency for each document of a batch.
 
@@ -132,7 +148,7 @@ def sums(posts: DataFrame, model) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             n = len(held)
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([v.tobytes() for v in held.values()], pa.binary()), pa.nulls(n, kind[0]), pa.nulls(n, kind[1])], names=["batch", "sums", "ids", "sizes"])
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([packed_sums(v) for v in held.values()], pa.binary()), pa.nulls(n, kind[0]), pa.nulls(n, kind[1])], names=["batch", "sums", "ids", "sizes"])
 
         for part in batches:
             kind = part.schema.field("ids").type, part.schema.field("sizes").type
@@ -183,7 +199,7 @@ def token_counts(docs: DataFrame, limit: int = 4096, id_col: str = "doc_id", tex
         for part in parts:
             for blob in part.column("sums"):
                 if blob.is_valid:
-                    total += np.frombuffer(blob.as_buffer(), "<i4")
+                    add_sums(total, blob.as_py())
             for i in range(part.num_rows):
                 if part.column("ids")[i].is_valid:
                     own = part.column("ids")[i].values, part.column("sizes")[i].values
