@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tests.conftest import SMALL
 from tests.llm.test_text_operators import ODD, components
@@ -55,3 +57,24 @@ def test_stage_drops_a_document_with_one_changed_word(spark):
     texts = [*base, *(edited(rng, b, 1) for b in base)]  # similarity 0.9 or more
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, docs, SMALL).collect()} == set(range(10))
+
+
+def test_postings_at_any_size():
+    """Blocks stay within what a task holds, without copies of postings, and postings grow with the logarithm."""
+    for n in (10, 10**4, 10**6, 10**7, 10**8, 10**9):
+        bits, radius, slices = simhash.plan(n, 0.8)
+        narrow = min(w for _, _, w in simhash.blocks_of(bits, radius))
+        assert n / 2**narrow <= simhash.HOT and slices * (radius + 1) <= 160, n
+
+
+def test_pairs_at_the_similarity_meet():
+    """Of sets that share 0.8 to 0.85, as many meet in a slice as planned, at sizes whose plans differ."""
+    rng = np.random.default_rng(5)
+    for n in (10**4, 10**9):
+        bits, radius, slices = simhash.plan(n, 0.8)
+        words, met, pairs = -(-bits * slices // 64), 0, 300
+        for _ in range(pairs):
+            common_, own = rng.integers(0, 2**63, 400, dtype=np.uint64), rng.integers(0, 2**63, (2, 40), dtype=np.uint64)  # 400 of 480: 0.83
+            a, b = (simhash.slices_of(simhash.long_print(np.unique(np.concatenate([common_, x])), words)[None], bits, slices)[0] for x in own)
+            met += bool((np.bitwise_count(a ^ b) <= radius).any())
+        assert met >= 0.99 * pairs, (n, met)

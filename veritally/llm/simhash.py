@@ -25,7 +25,7 @@ from veritally.llm import common, graph
 
 SEED = 42
 LEAF = 2048  #: node pairs with no more fingerprint pairs than this are compared at once
-HOT, DEEPER = 50_000, 8  #: fingerprints below one node, from which its descendants so many levels down are dealt out
+HOT, DEEPER = 1_000_000, 8  #: fingerprints below one node (up to 48 bytes each) from which its descendants so many levels down are dealt out
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -225,9 +225,14 @@ def bit_chance(similarity: float) -> float:
 
 
 def plan(n: int, similarity: float, recall: float = RECALL) -> tuple[int, int, int]:
-    """(bits, radius, slices) for n documents: slices grow with the logarithm of n, so few pairs meet by chance."""
-    bits = min(62, max(16, math.ceil(math.log2(max(n, 2)))))
-    radius, p = max(1, bits // 12), bit_chance(similarity)
+    """(bits, radius, slices) for n documents: slices grow with the logarithm of n, so few pairs meet by chance.
+
+    Beyond 2 ** 24 documents the radius stays at two, and bits grow so that a block has half of HOT documents on average:
+    no unit but one of more alike slices than that is dealt out, and a document has 144 postings at 10 ** 9.
+    """
+    n = max(n, 2)
+    bits = min(62, max(16, math.ceil(math.log2(n)), 3 * math.ceil(math.log2(max(1, 2 * n / HOT)))))
+    radius, p = min(2, max(1, bits // 12)), bit_chance(similarity)
     alike = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(radius + 1))
     return bits, radius, math.ceil(math.log(1 - recall) / math.log(1 - alike))
 
@@ -298,8 +303,8 @@ def shingle_sets(docs: DataFrame, marks: DataFrame, width: int, text: str) -> Da
     return source.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float, each: int = 512) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are as similar as ``least``.
+def verified(pairs: DataFrame, sets: DataFrame, least: float, read: list[DataFrame], each: int = 512) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are as similar as ``least``. What it stages for them is added to ``read``.
 
     A node in many pairs has its set repeated once for ``each`` of them, and its pairs dealt out, so none gathers in a task.
     """
@@ -307,6 +312,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float, each: int = 512) -
     for side, far in (("a", "b"), ("b", "a")):
         load = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / each).cast("int").alias("copies")).where("copies > 1")
         load = common.staged(load, "loads", compact=True)
+        read.append(load)
         copies = F.coalesce("copies", F.lit(1))
         own = sets.withColumnRenamed("node", side).join(load, side, "left").select(side, F.col("hashes").alias(f"{side}_hashes"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
         rows = rows.join(load, side, "left").withColumn("copy", F.pmod(F.xxhash64(far), copies).cast("int")).drop("copies")
@@ -402,6 +408,7 @@ def near_copies(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY,
         tried = posts.join(group, ["turn", "block"]).select("node", "root", "n", "x", "y", F.col("first.root").alias("root2"), F.col("first.node").alias("b"), F.col("first.n").alias("n2"), F.col("first.x").alias("x2"), F.col("first.y").alias("y2"))
         tried = tried.where((F.col("root") != F.col("root2")) & fits & (far(F.col("x2"), F.col("y2")) <= limit)).groupBy("node").agg(F.min(F.struct("root2", "b")).alias("to"))
         stars = common.staged(tried.select(F.col("node").alias("a"), F.col("to.b").alias("b")), "stars", compact=True)
+        common.discard(group)
         linked, found = _linked(docs, stars, marks, linked, width, least, text)
     # all candidate pairs that those links leave apart
     parts = blocks_of(bits, radius)
@@ -436,8 +443,9 @@ def _linked(docs: DataFrame, pairs: DataFrame, marks: DataFrame, linked: DataFra
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     named = common.staged(ends.join(marks, "node").select("mark"), "marks", compact=True)
     sets = common.staged(shingle_sets(docs, named, width, text), "sets", compact=True)
-    new = common.staged(verified(pairs, sets, least), "links", compact=True)
-    for used in (named, sets):
+    loads: list[DataFrame] = []
+    new = common.staged(verified(pairs, sets, least, loads), "links", compact=True)
+    for used in (pairs, named, sets, *loads):
         common.discard(used)
     linked = new if linked is None else linked.unionByName(new)
     return linked, graph.connected_components(linked, "copies")
