@@ -324,7 +324,6 @@ def test_json_equality():
 def test_numbers_in_words():
     assert [prose.number_value(x) for x in ("seven", "ninety nine", "three hundred", "two thousand and six", "one point five", "1,200")] == [7, 99, 300, 2006, 1.5, 1200]
     assert math.isnan(prose.number_value("five six")) and math.isnan(prose.number_value("point five point"))
-    assert [x["value"] for x in prose.numbers("Q12 had 45%, 14 of 50, $300, 20-30, ~99, 40 hours, 2024, 7 and 1234 rows, “88” out")] == ["45", "14", "50", "1234"]
 
 
 def test_quotations():

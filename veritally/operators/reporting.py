@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritally.functions import prose
+from veritally.functions import figures, prose
 from veritally.functions import text as fx
 from veritally.operators.checks import issue, raised
 from veritally.operators.grounding import best_matches
+from veritally.operators.similarity import rarest, shared_keys
 from veritally.semantics import digest, normalized, pct, squeezed
 
 
@@ -32,19 +33,33 @@ def narrative_fields(sections: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def ungrounded_quotations(fields: DataFrame, mentions: DataFrame, width: int = 3) -> DataFrame:
-    """(path, quote): quotations in prose that no retained quote of the question (of any, without a question) holds between word bounds.
+    """(path, quote): quotations in prose that no retained quote of the question (of any, without a question) holds between word bounds."""
+    said = fields.select("path", "question_id", F.explode(prose.column("quotations")("text")).alias("q")).select("path", "question_id", F.col("q.quote").alias("quote"))
+    return unheld_quotes(said, mentions, width)
+
 
-    A quotation meets quotes behind a run of its words; shorter ones behind a word.
+def unheld_quotes(said: DataFrame, mentions: DataFrame, width: int = 3) -> DataFrame:
+    """(path, quote) of those (path, question_id, quote) whose words no quote of the question has in a row.
+
+    Of the runs of ``width`` words in a quotation (of all its words, if there are fewer), the one that the fewest different
+    quotes have is its key; a run that none has settles it. Quotes of a question that have the same words count once.
     """
-    said = fields.select("path", "question_id", F.explode(prose.column("quotations")("text")).alias("q")).select("path", "question_id", F.col("q.quote").alias("quote"))
     tokens = lambda c: F.regexp_extract_all(normalized(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
-    q = said.withColumn("w", tokens(F.col("quote"))).withColumn("key", F.array_join(F.slice("w", 1, width), " ")).withColumn("n", F.least(F.size("w"), F.lit(width)))
-    e = mentions.select(F.col("question_id").alias("_question"), tokens(F.col("quote")).alias("v"))
-    keyed = e.select("_question", "v", F.explode(F.array_distinct(F.flatten(F.transform(F.array("v"), lambda v: F.concat(*[runs(v, n) for n in range(1, width + 1)]))))).alias("key"))
-    padded = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    hit = q.join(keyed, "key").where((F.col("question_id").isNull() | (F.col("question_id") == F.col("_question"))) & F.contains(padded("v"), padded("w"))).select("path", "quote").distinct()
-    return said.select("path", "quote").distinct().join(hit, ["path", "quote"], "left_anti")
+    runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    q = said.select("path", "question_id", "quote").distinct().withColumn("w", tokens(F.col("quote")))
+    q = q.withColumn("asked", F.sha2(F.to_json(F.struct("path", "question_id", "quote")), 256))
+    some = q.where(F.size("w") > 0)
+    keyed = some.select("asked", F.explode(F.array_distinct(F.flatten(F.transform(F.array("w"), lambda w: runs(w, F.least(F.size(w), F.lit(width))))))).alias("key"))
+    e = mentions.select("question_id", F.array_join(tokens(F.col("quote")), " ").alias("v")).where("v <> ''").distinct().withColumn("held", F.sha2(F.concat_ws(" ", "question_id", "v"), 256))
+    all_runs = lambda v: F.concat(*[F.when(F.size(v) >= n, runs(v, n)).otherwise(F.array().cast("array<string>")) for n in range(1, width + 1)])
+    have = e.select("held", F.explode(F.array_distinct(F.flatten(F.transform(F.array(F.split("v", " ")), all_runs)))).alias("key")).join(keyed.select("key").distinct(), "key")
+    often = have.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    first = rarest(keyed, "asked", often, F.lit(1)).join(often.select("key"), "key")
+    pairs = shared_keys(first, have, "asked", "held")
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    both = pairs.join(some.select("asked", F.col("question_id").alias("_question"), F.array_join("w", " ").alias("_w")), "asked").join(e.select("held", "question_id", "v"), "held")
+    hit = both.where((F.col("_question").isNull() | (F.col("_question") == F.col("question_id"))) & F.contains(padded(F.col("v")), padded(F.col("_w")))).select("asked").distinct()
+    return q.join(hit, "asked", "left_anti").select("path", "quote").distinct()
 
 
 def attribution_issues(fields: DataFrame, registry: DataFrame) -> DataFrame:
@@ -73,8 +88,19 @@ def number_registry(counts: DataFrame, stats: DataFrame, quotes: DataFrame, meth
 
 def stated_numbers(fields: DataFrame) -> DataFrame:
     """(path, scope, value, type) of data-like numbers in prose."""
-    rows = fields.select("path", "question_id", F.explode(prose.column("numbers")("text")).alias("n"))
-    return rows.select("path", F.coalesce("question_id", F.lit("global")).alias("scope"), "n.value", "n.type")
+    rows = fields.select("path", F.coalesce("question_id", F.lit("global")).alias("scope"), "text")
+    return figures.numbers(rows, ["path", "scope"], "text").select("path", "scope", "value", "type")
+
+
+def number_view(numbers: DataFrame, texts: DataFrame, sentences: DataFrame) -> DataFrame:
+    """``numbers`` (file_id, start, …) of report text outside what is an exact copy of source text.
+
+    texts: file_id, place, text, from, to, of the report's sentences; sentences: file_id, text, of the sources. A sentence that
+    another file has word for word is a copy, and the numbers in it are the source's.
+    """
+    owners = sentences.groupBy("text").agg(F.min("file_id").alias("_first"), F.max("file_id").alias("_last"))
+    copied = texts.join(owners, "text").where((F.col("_first") != F.col("file_id")) | (F.col("_last") != F.col("file_id")))
+    return figures.outside(numbers, copied.select("file_id", "from", "to"), ["file_id"])
 
 
 def quantity_issues(claims: DataFrame, stats: DataFrame) -> DataFrame:

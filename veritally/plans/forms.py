@@ -688,28 +688,54 @@ def _constructed(t: Tables, *columns):
     return t.raw("documents").select(*columns)
 
 
-@query("""
-select mention_id as path, 'zzz unknown ' || doc_id as quote from mentions where k % 2 = 1""")
+_tokens = lambda x: f"array_to_string(regexp_extract_all({norm(x)}, '[\\p{{L}}\\p{{N}}_]+'), ' ')"
+
+
+@query(f"""#said as (select mention_id as path, 'Q' || ((k + 1) % 5 + 1) as question_id, quote, {_tokens("quote")} as w from mentions),
+asked as (select distinct question_id, w from said), held as (select distinct question_id, {_tokens("quote")} as v from mentions),
+hit as (select distinct a.question_id, a.w from asked a join held h on a.question_id = h.question_id where a.w <> '' and contains(' ' || v || ' ', ' ' || w || ' '))
+select distinct path, quote from said s where (question_id, w) not in (select question_id, w from hit)""")
 def ungrounded_quotations(spark, sf_dir):
-    """Quotations in prose that no retained quote of the question holds: half are the first words of one, half are made up."""
+    """Sentences quoted under the question after their own, that no sentence of that question holds."""
     m = Tables(spark, sf_dir).mentions
-    first = F.array_join(F.slice(F.regexp_extract_all("quote", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), 1, 3), " ")
-    rows = m.withColumn("first", first).where("first <> ''")
-    said = F.when(F.col("k") % 2 == 1, F.concat(F.lit("zzz unknown "), "doc_id")).otherwise(F.col("first"))
-    fields = m.where("k % 2 = 1").withColumn("first", F.lit("x")).unionByName(rows.where("k % 2 = 0 and quote rlike '^[\\\\p{L} ]+$'")).select(F.col("mention_id").alias("path"), "question_id", F.concat(F.lit("They said “"), said, F.lit("” twice")).alias("text"))
+    after = F.concat(F.lit("Q"), (F.col("k") + 1) % 5 + 1)
+    fields = m.select(F.col("mention_id").alias("path"), after.alias("question_id"), F.concat(F.lit("One said «"), "quote", F.lit("» twice")).alias("text"))
     return reporting.ungrounded_quotations(fields, m)
 
 
-@query("""
-select doc_id as quote_id, doc_id as entry_id, (['equal', 'inclusion', 'words'])[doc_id % 3 + 1] as match from documents""", alone=True)
+_plainly = lambda x: squeeze(f"replace(translate({x}, '‘’“”–—', {STRAIGHT}), '…', '...')")
+_set = "unnest(list_distinct(regexp_extract_all(t, '[^\\s\\p{Z}]+'))) as w"
+
+
+@query(f"""#asked as (select conv_id * 1000 + turn as quote_id, {_plainly("text")} as t from conversations),
+known as (select {_plainly("quote")} as t, min(mention_id) as entry_id from mentions group by 1),
+q as (select distinct t from asked where t <> '' and t not in (select t from known)), r as (select * from known where t <> ''),
+qw as (select t, {_set} from q), rw as (select t, {_set} from r),
+qn as (select t, count(*) as n from qw group by 1), rn as (select t, count(*) as n from rw group by 1),
+shared as (select a.t, b.t as u, count(*) as c from qw a join rw b on a.w = b.w group by all),
+inside as (select q.t, r.t as u, least(length(q.t), length(r.t)) as overlap from q, r where contains(q.t, r.t) or contains(r.t, q.t)),
+found as (select t, u, 'inclusion' as match, overlap from inside
+  union all select s.t, u, 'words', c from shared s join qn on s.t = qn.t join rn on s.u = rn.t where c * 10 >= least(qn.n, rn.n) * 6 and (s.t, u) not in (select t, u from inside)),
+best as (select t, arg_min({{'entry_id': entry_id, 'match': match, 'overlap': overlap}}, (-overlap, entry_id)) as m from found f join r on f.u = r.t group by f.t)
+select quote_id, entry_id, 'equal' as match, len(list_distinct(regexp_extract_all(a.t, '[^\\s\\p{{Z}}]+')))::int as overlap from asked a join known k on a.t = k.t
+union all select quote_id, m.entry_id, m.match, m.overlap::int from asked a join best b on a.t = b.t""".replace("select t, arg_min", "select f.t, arg_min"))
 def best_matches(spark, sf_dir):
-    """Quotes that are an entry, hold part of one, or share most of its words."""
-    i = F.col("doc_id")
-    w = lambda *parts: F.concat_ws(" ", *[F.concat(F.lit(p), i) for p in parts])
-    text = F.when(i % 3 == 0, F.upper(w("alpha", "beta", "gamma", "delta"))).when(i % 3 == 1, w("beta", "gamma")).otherwise(w("delta", "gamma", "alpha", "omega"))
+    """The sentence of the documents that each turn of a conversation is most like."""
     t = Tables(spark, sf_dir)
-    q = _constructed(t, i.alias("quote_id"), text.alias("text"))
-    return grounding.best_matches(q, _constructed(t, i.alias("entry_id"), w("alpha", "beta", "gamma", "delta").alias("text"))).select("quote_id", "entry_id", "match")
+    turns = t.raw("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("quote_id"), "text")
+    return grounding.best_matches(turns, t.mentions.select(F.col("mention_id").alias("entry_id"), F.col("quote").alias("text")))
+
+
+@query(rf"""#c as (select mention_id, list_distinct(regexp_extract_all(quote, '\d+(?:\.\d+)?')) as n, {_terms} as t from mentions where notable_quote),
+s as (select distinct question_id, list_distinct(regexp_extract_all(quote, '\d+(?:\.\d+)?')) as n, {_terms} as u from mentions where not notable_quote),
+hits as (select distinct c.mention_id, s.question_id from (select mention_id, t, unnest(n) as x from c) c join (select question_id, u, unnest(n) as x from s) s on c.x = s.x where len(list_intersect(t, u)) >= 2),
+q as (select mention_id, string_agg(question_id, ',' order by question_id) as questions, count(*) as n from hits group by 1)
+select c.mention_id as entity_key, case when q.n is null then 'untraced_claim' else 'cross_question_unverified' end as check_name, case when q.n is null then 'error' else 'warning' end as severity, coalesce(questions, '') as questions
+from c left join q on c.mention_id = q.mention_id where len(c.n) > 0 and (q.n is null or q.n > 1)""")
+def crossref_issues(spark, sf_dir):
+    """Notable sentences with a number: those that no other sentence bears out, and those that sentences of several questions do."""
+    m = Tables(spark, sf_dir).mentions
+    return grounding.crossref_issues(m.where("notable_quote").select(F.col("mention_id").alias("claim_id"), F.col("quote").alias("text")), m.where("not notable_quote").select("question_id", F.col("quote").alias("text")))
 
 
 @query("""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritally.functions import prose
+from veritally.functions import figures, prose
 from veritally.functions import text as fx
 from veritally.operators import audit, checks, counting, grounding, ledger, rendering, reporting, selection, semantic
 from veritally.schemas import category_of
@@ -512,10 +512,43 @@ def html_checks(spark, sf_dir):
     return checks.html(Tables(spark, sf_dir).raw("pages"))
 
 
-@query()
+def numbers_sql(source: str, key: str, text: str) -> str:
+    """CTEs up to ``numbers`` (key, value, type, start): all tokens of the text with their places, then the rules."""
+    quoted = "“[^”]{0,299}”|‘[^’]{0,299}’|\"[^\"]{0,299}\""
+    units = ",".join(f"'{w}'" for w in sorted(prose.MEASURES))
+    return rf"""cut as (select {key}, {text} as body, regexp_extract_all({text}, '(?s){quoted}|[0-9]+(?:\.[0-9]+)?\s*%|[0-9]+\s*(?:of|/)\s*[0-9]+|[\p{{L}}\p{{M}}\p{{Nl}}\p{{No}}_]+|[0-9]+|.') as parts from {source} where regexp_matches({text}, '[0-9]')),
+tokens as (select {key}, body, unnest(parts) as said, generate_subscripts(parts, 1) as i from cut),
+placed_tokens as (select *, coalesce(sum(length(said)) over (partition by {key} order by i rows between unbounded preceding and 1 preceding), 0)::int as start,
+  lag(said) over (partition by {key} order by i) as prior, lead(said) over (partition by {key} order by i) as next from tokens),
+seen as (select *, substring(body, greatest(start - 5, 1), least(start, 6)) as before, substring(body, start + length(said) + 1, 20) as after from placed_tokens where regexp_matches(said, '^[0-9]')),
+numbers as (
+  select {key}, case when contains(said, '.') then cast(round_even(cast(regexp_extract(said, '^[0-9.]+') as double), 0) as bigint)::varchar else regexp_extract(said, '^[0-9]+') end as value, 'percentage' as type, start from seen where said like '%\%' escape '\'
+  union all select {key}, regexp_extract(said, '^[0-9]+'), 'fraction_numerator', start from seen where regexp_matches(said, 'of|/')
+  union all select {key}, regexp_extract(said, '[0-9]+$'), 'fraction_denominator', start + length(said) - length(regexp_extract(said, '[0-9]+$')) from seen where regexp_matches(said, 'of|/')
+  union all select {key}, said, 'count', start from seen where regexp_matches(said, '^[0-9]{{2,}}$') and not regexp_matches(coalesce(prior, ''), '[\p{{L}}\p{{M}}\p{{N}}_]$') and not regexp_matches(coalesce(next, ''), '^[\p{{L}}\p{{M}}\p{{N}}_]')
+    and not regexp_matches(before, '\$\s{{0,2}}$') and not regexp_matches(before, '[~≈]\s?$') and not regexp_matches(before || said || left(after, 6), '[0-9]\s*[-–—]\s*[0-9]')
+    and regexp_replace(lower(regexp_extract(after, '^\s*(\S+)', 1)), '[.,;:!?]+$', '') not in ({units}) and not regexp_matches(said, '^(19|20)[0-9]{{2}}$'))"""
+
+
+@query(f"#{numbers_sql('mentions', 'mention_id', 'quote')} select * from numbers")
 def number_extract(spark, sf_dir):
-    rows = Tables(spark, sf_dir).mentions.select("mention_id", F.explode(prose.column("numbers")("quote")).alias("n"))
-    return rows.select("mention_id", "n.*")
+    return figures.numbers(Tables(spark, sf_dir).mentions, ["mention_id"], "quote")
+
+
+@query(f"""#spoken as (select file_id, quote, unnest(string_split(text, '. ')) as sentence, generate_subscripts(string_split(text, '. '), 1) as i from (select 'doc_' || doc_id as file_id, text, '' as quote from documents where text is not null)),
+spots as (select *, coalesce(sum(length(sentence) + 2) over (partition by file_id order by i rows between unbounded preceding and 1 preceding), 0) as a from spoken),
+owners as (select quote as sentence, min(file_id) as x, max(file_id) as y from mentions group by 1),
+copied as (select s.file_id, a, a + length(s.sentence) as b from spots s join owners o on s.sentence = o.sentence where x <> s.file_id or y <> s.file_id),
+bodies as (select 'doc_' || doc_id as file_id, text from documents), {numbers_sql('bodies', 'file_id', 'text')}
+select * from numbers n where not exists (select 1 from copied c where c.file_id = n.file_id and n.start >= c.a and n.start < c.b)""")
+def number_view(spark, sf_dir):
+    """Numbers that whole documents state outside sentences that another document has too."""
+    t = Tables(spark, sf_dir)
+    docs = t.raw("documents").where("text is not null").select(F.concat(F.lit("doc_"), "doc_id").alias("file_id"), "text")
+    said = docs.select("file_id", F.posexplode(F.split("text", "\\. ", -1)).alias("place", "text"))
+    order = Window.partitionBy("file_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    spots = said.withColumn("to", F.sum(F.char_length("text") + 2).over(order) - 2).withColumn("from", F.col("to") - F.char_length("text"))
+    return reporting.number_view(figures.numbers(docs, ["file_id"], "text"), spots, t.mentions.select("file_id", F.col("quote").alias("text")))
 
 
 @query()
@@ -582,7 +615,15 @@ def claim_statistics(spark, sf_dir):
     return reporting.claim_statistics(_claims(t), t.mentions, counting.question_totals(t.mentions, t.assignments, t.files)).drop("stat_ref")
 
 
-@query()
+@query(f"""#{COUNTS}, q as (select question_id, count(distinct mention_id) as m, count(distinct file_id) as s from mentions group by 1),
+t as (select a.question_id, a.theme_id, count(distinct m.mention_id) as m, count(distinct m.file_id) as s from assignments a join mentions m on a.mention_id = m.mention_id group by all),
+u as (select question_id, m, s, m as am, s as "as" from q union all select t.question_id, t.m, t.s, q.m, q.s from t join q on t.question_id = q.question_id),
+own as (select question_id as scope, unnest([mention_count, {pct("mention_count", "total_mentions")}, source_type_count, {pct("source_type_count", "total_source_types")}, segment_count, {pct("segment_count", "total_segments")}, total_mentions, total_source_types, total_segments])::bigint::varchar as value from counts
+  union all select question_id, unnest([m, am, {pct("m", "am")}, s, "as", {pct("s", '"as"')}])::bigint::varchar from u
+  union all select question_id, unnest(regexp_extract_all(quote, '[0-9]{{2,}}')) from mentions where not notable_quote),
+everywhere as (select value from own union all select unnest([count(*) filter (quality = 'good' and not excluded), count(*) filter (excluded), coalesce(sum(interaction_count) filter (quality = 'good' and not excluded), 0)])::bigint::varchar from files),
+notable as (select mention_id, question_id as scope, quote from mentions where notable_quote), {numbers_sql('notable', 'mention_id', 'quote')}
+select mention_id as path, scope, value, type from numbers n join notable using (mention_id) where value not in (select value from everywhere)""")
 def unverified_numbers(spark, sf_dir):
     """Numbers that notable quotes state, and neither a statistic of their question nor another quote of it has."""
     t = Tables(spark, sf_dir)
@@ -645,3 +686,4 @@ def distribution_warnings(spark, sf_dir):
 
 from veritally.plans import forms as _forms  # noqa: E402, F401  registers its queries here
 from veritally.plans import sections as _sections  # noqa: E402, F401  uses SQL of theirs
+from veritally.plans import packets as _packets  # noqa: E402, F401
