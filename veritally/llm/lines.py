@@ -1,7 +1,7 @@
 """Line dedup: winnowing over hashes of lines, matches extended both ways, later repeated runs deleted.
 
 A text is cut into pieces: its lines, and lines of more than LONG words after those sentence ends that the letters before
-them choose; what is then over twice as long, after all sentence ends, and after words that their hash chooses. So a passage in the middle of a line is cut
+them choose; what is then still longer, after all sentence ends, and over twice as long, after words that their hash chooses. So a passage in the middle of a line is cut
 alike wherever it stands. Pieces are hashed in lower case with blanks collapsed. From each piece on, a window is the shortest stretch ahead that has ``run_words`` words
 or more, and the shortest one back; its minimum is its fingerprint, so two texts that share a window share a fingerprint.
 Pieces of more words count as the smaller ones and equal ones go by hash, so that short, common pieces are seldom chosen.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from veritally.llm import common
 
 RUN_WORDS = 10
-LONG = 24  #: words beyond which a line is cut at sentence ends; beyond twice as many a piece is cut between words
+LONG = 24  #: words beyond which a line is cut at chosen sentence ends, and what lies between those at all; beyond twice as many a piece is cut between words
 LINE = re.compile(r"\n\s*")
 SENTENCE = re.compile(r"[.!?]\s+")
 WORD = re.compile(r"\S+\s*")
@@ -68,7 +68,7 @@ def pieces(text: str | None) -> tuple[list[int], list[int], list[int], list[int]
             continue
         for cut in (*(m.end() for m in SENTENCE.finditer(text, at, end) if not zlib.crc32(text[max(at, m.start() - 8) : m.start()].lower().encode()) & 1), end):
             whole, n = words_in(at, cut)
-            if n <= 2 * LONG:
+            if n <= LONG:
                 add(at, cut, whole, n)
                 at = cut
                 continue
