@@ -42,3 +42,30 @@ def test_places_outside_spans_are_those_of_looking_at_all(spark):
     p, s = spark.createDataFrame(points, "file_id int, start int"), spark.createDataFrame(spans, "file_id int, from int, to int")
     want = sorted(x for x in points if not any(k == x[0] and a <= x[1] < b for k, a, b in spans))
     assert sorted(map(tuple, figures.outside(p, s, ["file_id"]).collect())) == want
+
+
+def test_claims_under_a_cap(spark):
+    """Answers to claims by the rules, one run after another, whatever the partitions."""
+    from veritally.operators import ledger
+
+    rng = random.Random(8)
+    rows = [(rng.choice("abc"), f"k{rng.randrange(12)}", rng.choice(["claim"] * 5 + ["finish", "fail", "pause", "resume", "resume", "resume"]), rng.randrange(200), i) for i in range(900)]
+    rows += [("a", "k1", "close", 180, 5000), ("a", "k1", "resume", 181, 5001), ("a", "new", "claim", 300, 5002), (None, "k", "claim", 1, 6000), ("b", None, "claim", 1, 6001)]
+    want, state = {}, {}
+    for run, key, event, _, i in sorted((r for r in rows if r[0] and r[1]), key=lambda r: (r[0], r[3], r[4])):
+        s = state.setdefault(run, {"tries": {}, "run": set(), "done": set(), "is": "active"})
+        if event == "claim":
+            said = s["is"] if s["is"] != "active" else "reuse" if key in s["done"] else "full" if key not in s["tries"] and len(s["run"]) >= 3 else "spent" if s["tries"].get(key, 0) >= 2 else "run"
+            want[i] = said
+            if said == "run":
+                s["tries"][key] = s["tries"].get(key, 0) + 1
+                s["run"].add(key)
+        elif event in ("finish", "fail"):
+            if event == "finish" and key in s["run"]:
+                s["done"].add(key)
+            s["run"].discard(key)
+        elif s["is"] != "closed":
+            s["is"] = {"pause": "paused", "resume": "active", "close": "closed"}[event]
+    events = spark.createDataFrame(rows, "run_id string, key string, event string, ts int, event_id long").repartition(7)
+    got = {r["event_id"]: r["action"] for r in ledger.enforced(events, cap=3).collect()}
+    assert got == want and set(want.values()) == {"run", "reuse", "full", "spent", "paused", "closed"}

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +82,65 @@ def in_flight(events: DataFrame, cap: int = IN_FLIGHT) -> DataFrame:
     return rows.withColumn("own", own).join(hours, "hour").select("key", "event", "ts", "event_id", (F.col("own") + F.col("before")).alias("running")).withColumn("open", F.col("running") < cap)
 
 
+class Run:
+    """The state of one run while its events are replayed: each key's attempts, what runs, what is complete, and whether it is paused."""
+
+    def __init__(self, cap: int, attempts: int):
+        self.cap, self.most = cap, attempts
+        self.tries: dict[str, int] = {}
+        self.running: set[str] = set()
+        self.complete: set[str] = set()
+        self.status = "active"
+
+    def step(self, event: str, key: str) -> str | None:
+        """What an event does; for a claim, whether it runs, gives what is complete, or why it is refused."""
+        if event == "claim":
+            if self.status != "active":
+                return self.status
+            if key in self.complete:
+                return "reuse"
+            if key not in self.tries and len(self.running) >= self.cap:
+                return "full"
+            if self.tries.get(key, 0) >= self.most:
+                return "spent"
+            self.tries[key] = self.tries.get(key, 0) + 1
+            self.running.add(key)
+            return "run"
+        if event in ("finish", "fail"):
+            if event == "finish" and key in self.running:
+                self.complete.add(key)
+            self.running.discard(key)
+        elif event == "close" or self.status != "closed":
+            self.status = {"pause": "paused", "resume": "active", "close": "closed"}.get(event, self.status)
+        return None
+
+
+def enforced(events: DataFrame, cap: int = IN_FLIGHT, attempts: int = 2) -> DataFrame:
+    """(run_id, event_id, key, action) of each claim under the run's rules; events: run_id, key, event, ts, event_id.
+
+    At most ``cap`` keys run at a time, and a new key beyond them is refused (``full``); a key has ``attempts``, those that are
+    still running included (``spent``); a complete one is given again (``reuse``); a paused or closed run admits none. A claim's
+    answer depends on all before it in its run, so a run's events are one sorted stream, read without gathering them; its state
+    has an entry for each key. Runs are dealt over tasks. Ties in time go by event_id; null keys and events are not replayed.
+    """
+    rows = events.where(F.col("run_id").isNotNull() & F.col("key").isNotNull() & F.col("event").isin("claim", "finish", "fail", "pause", "resume", "close"))
+    kind = rows.schema["run_id"].dataType.simpleString()
+    order = rows.select("run_id", "ts", "event_id", "key", "event").repartition("run_id").sortWithinPartitions("run_id", "ts", "event_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, Run(cap, attempts)
+        for batch in batches:
+            said = []
+            for r, event, key in zip(batch["run_id"].to_pylist(), batch["event"].to_pylist(), batch["key"].to_pylist(), strict=True):
+                if r != at:
+                    at, state = r, Run(cap, attempts)
+                said.append(state.step(event, key))
+            out = pa.RecordBatch.from_arrays([batch["run_id"], batch["event_id"], batch["key"], pa.array(said, pa.string())], names=["run_id", "event_id", "key", "action"])
+            yield out.filter(out["action"].is_valid())
+
+    return order.mapInArrow(run, f"run_id {kind}, event_id long, key string, action string")
+
+
 def accepted(submissions: DataFrame, attempts: int = 3) -> DataFrame:
     """Submissions (key, sha256, arrived): the same bytes again are none; of the others the first ``attempts`` count."""
     first = submissions.groupBy("key", "sha256").agg(F.min("arrived").alias("arrived"))

@@ -480,6 +480,24 @@ def ledger_in_flight(spark, sf_dir):
     return ledger.in_flight(Tables(spark, sf_dir).ledger).select("key", "event", "event_id", "running", "open")
 
 
+@query("""#of_day as (select cast(ts as date)::varchar as run_id, key, event, event_id, row_number() over (partition by cast(ts as date) order by ts, event_id) as n from ledger),
+walk as (
+  select run_id, 0::bigint as n, []::varchar[] as running, []::varchar[] as complete, []::varchar[] as tries, false as paused, null::bigint as event_id, null::varchar as key, null::varchar as action from (select distinct run_id from of_day)
+  union all
+  select run_id, n, case when action = 'run' and not list_contains(running, key) then list_append(running, key) when event in ('finish', 'fail') then list_filter(running, lambda x: x <> key) else running end,
+    case when event = 'finish' and list_contains(running, key) then list_append(complete, key) else complete end, case when action = 'run' then list_append(tries, key) else tries end,
+    case event when 'pause' then true when 'resume' then false else paused end, event_id, key, action
+  from (select d.*, w.running, w.complete, w.tries, w.paused,
+      case when d.event <> 'claim' then null when w.paused then 'paused' when list_contains(w.complete, d.key) then 'reuse' when not list_contains(w.tries, d.key) and len(w.running) >= 4 then 'full'
+        when len(list_filter(w.tries, lambda x: x = d.key)) >= 2 then 'spent' else 'run' end as action
+    from walk w join of_day d on d.run_id = w.run_id and d.n = w.n + 1))
+select run_id, event_id, key, action from walk where action is not null""")
+def claims_enforced(spark, sf_dir):
+    """What becomes of each claim where every day is a run: four keys at a time, two attempts each, none while it is paused."""
+    events = Tables(spark, sf_dir).ledger
+    return ledger.enforced(events.withColumn("run_id", F.to_date("ts").cast("string")))
+
+
 def _html(check: str, severity: str, message: str, when: str) -> str:
     return f"select cast(page_id as varchar) as entity_key, '{check}' as check_name, '{severity}' as severity, {message} as message from h where {when}"
 
@@ -687,3 +705,4 @@ def distribution_warnings(spark, sf_dir):
 from veritally.plans import forms as _forms  # noqa: E402, F401  registers its queries here
 from veritally.plans import sections as _sections  # noqa: E402, F401  uses SQL of theirs
 from veritally.plans import packets as _packets  # noqa: E402, F401
+SQL["claims_enforced"] = SQL["claims_enforced"].replace("with ", "with recursive ", 1)
