@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from veritally.functions import figures
+from veritally.functions import figures, prose
 
 CASES = [
     ("Q12 had 45%, 14 of 50, $300, 20-30, ~99, 40 hours, 2024, 7 and 1234 rows, “88” out", ["45", "14", "50", "1234"]),
@@ -28,6 +28,19 @@ def test_rules(spark):
     assert [got.get(i, []) for i in range(len(CASES))] == [v if t is None or "50—60" not in t else ["300"] for t, v in CASES]
 
 
+def test_both_readings_agree(spark):
+    """The JVM's reading and the plain one, on made prose."""
+    rng = random.Random(6)
+    parts = ["12", "7", "345", "2019", "12.5", "%", " ", " ", " of ", "/", "-", "—", "$", "~", "Q", "x", "users", "rows", ",", ".", "“", "”", '"', "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(600)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {}
+    for r in figures.numbers(rows, ["i"], "text").collect():
+        got.setdefault(r["i"], set()).add((r["value"], r["type"], r["start"]))
+    for i, t in enumerate(texts):
+        assert got.get(i, set()) == {(x["value"], x["type"], x["start"]) for x in prose.numbers(t)}, repr(t)
+
+
 def test_a_text_of_many_numbers(spark):
     text = " ".join(f"and {i} more" for i in range(100, 40_100))
     row = spark.createDataFrame([(1, text)], "i int, text string")
