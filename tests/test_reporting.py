@@ -133,3 +133,14 @@ def test_page(spark):
         assert part in page, part
     assert checks.html(frame(spark, [(1, page)], "page_id long, html string")).collect() == []
     assert rendering.banner("full", "complete", "x") == "" and rendering.banner("full", "incomplete", "x") == "Incomplete audit. x"
+
+
+def test_cleaning_has_two_outputs(spark):
+    """What stays and what goes of items, from the same rows: nothing is lost between them."""
+    rows = [(1, "A plain title", 'It "works". About 40% said so. It ends.'), (2, "Most agree", "Fine text"), (3, "Over 3", "of 10 calls"), (4, None, "Text"), (5, "Good", "9 of 10 said; nobody else")]
+    done = reporting.cleaned_items(frame(spark, rows, "id int, title string, body string"), ["id"], ["title", "body"])
+    kept = {r["id"]: (r["title"], r["body"]) for r in reporting.kept_items(done).collect()}
+    gone = {(r["id"], r["field"], r["unit"]) for r in reporting.dropped_units(done, ["id"]).collect()}
+    assert kept == {1: ("A plain title", "It works. It ends.")}
+    assert gone == {(1, "body", "About 40% said so."), (2, "title", "Most agree"), (2, "item", None), (3, "item", None), (4, "item", None), (5, "body", "9 of 10 said;"), (5, "body", "nobody else"), (5, "item", None), (3, "body", "of 10 calls")}
+    assert reporting.dropped_units(done.limit(0), ["id"]).count() == 0

@@ -173,6 +173,26 @@ def clean_prose(text: Column) -> Column:
     return F.struct(F.array_join(F.filter(units, lambda u: ~bad(u)), " ").alias("kept"), F.filter(units, bad).alias("dropped"))
 
 
+#: What a quote without a speaker is said to come from, by the type of its source.
+DESCRIPTORS = {
+    "sales_call": "sales call",
+    "renewal_call": "renewal call",
+    "churn_interview": "churn interview",
+    "cs_call": "cs call",
+    "nps_survey": "survey",
+    "csat_survey": "survey",
+    "general_survey": "survey",
+    "review": "review",
+    "support_ticket": "support ticket",
+}
+
+
+def source_descriptor(source_type: Column, file_id: Column) -> Column:
+    """The neutral name of a source, that gives its speaker no role."""
+    known = F.element_at(F.create_map(*[F.lit(x) for kv in DESCRIPTORS.items() for x in kv]), source_type)
+    return F.coalesce(known, F.concat(F.lit("source: "), file_id))
+
+
 def claim_text(text: Column, kind: Column, scope: Column) -> Column:
     lead = F.when(kind == "inference", "Inference: ").when(kind == "recommendation", "Recommendation: ").otherwise("")
     return F.concat(lead, text, F.when(F.coalesce(scope, F.lit("")) != "", F.concat(F.lit(" ("), scope, F.lit(")"))).otherwise(""))

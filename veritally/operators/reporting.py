@@ -15,6 +15,34 @@ from veritally.operators.similarity import rarest, shared_keys
 from veritally.semantics import digest, normalized, pct, squeezed
 
 
+def cleaned_items(items: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+    """Items with ``fields`` cleaned of units that state counts, shares or breadth, and what was taken out: one pass, two outputs.
+
+    Columns: key, fields (cleaned), ``dropped`` (an array of field and unit), ``usable``: all fields have text left, and joined
+    they state nothing of that kind either. ``kept_items`` and ``dropped_units`` read the two outputs from the same rows.
+    """
+    cleaned = items.select(*key, *[fx.clean_prose(F.coalesce(c, F.lit(""))).alias(f"_{c}") for c in fields])
+    dropped = F.concat(*map(_units, fields))
+    whole = fx.clean_prose(F.concat_ws(" ", *[F.col(f"_{c}.kept") for c in fields]))
+    filled = reduce(Column.__and__, [F.trim(F.col(f"_{c}.kept")) != "" for c in fields])
+    return cleaned.select(*key, *[F.col(f"_{c}.kept").alias(c) for c in fields], dropped.alias("dropped"), (filled & (F.size(whole["dropped"]) == 0)).alias("usable"))
+
+
+def kept_items(cleaned: DataFrame) -> DataFrame:
+    return cleaned.where("usable").drop("dropped", "usable")
+
+
+def dropped_units(cleaned: DataFrame, key: list[str]) -> DataFrame:
+    """(key, field, unit) of every unit taken out, and of an item that isn't usable the field ``item`` with no unit."""
+    item = F.array(F.struct(F.lit("item").alias("field"), F.lit(None).cast("string").alias("unit")))
+    none = F.array().cast("array<struct<field:string,unit:string>>")
+    return cleaned.select(*key, F.explode(F.concat("dropped", F.when(F.col("usable"), none).otherwise(item))).alias("d")).select(*key, "d.*")
+
+
+def _units(field: str) -> Column:
+    return F.transform(F.col(f"_{field}.dropped"), lambda u: F.struct(F.lit(field).alias("field"), u.alias("unit")))
+
+
 def plan_files(classified: DataFrame, exclusions: DataFrame, segments: DataFrame, most_summary: int = 1000) -> DataFrame:
     """Files of a plan: classified sources with their exclusions and segments, summaries cut at a word."""
     out = classified.drop("segment").join(exclusions.select("file_id", "exclusion_reason", F.lit(True).alias("excluded")), "file_id", "left")

@@ -769,6 +769,34 @@ def prose_quantities(spark, sf_dir):
     return checks.quantities(_constructed(Tables(spark, sf_dir), F.concat(F.lit("c"), i).alias("id"), text.alias("text"))).select("entity_key", "check_name")
 
 
+@query(f"""
+select file_id, coalesce((map {{{", ".join(f"'{k}': '{v}'" for k, v in fx.DESCRIPTORS.items())}}})[source_type], 'source: ' || file_id) as descriptor from files""")
+def source_descriptors(spark, sf_dir):
+    """What quotes of each file without a speaker are said to come from."""
+    return Tables(spark, sf_dir).files.select("file_id", fx.source_descriptor(F.col("source_type"), F.col("file_id")).alias("descriptor"))
+
+
+_states = "(?i)[0-9]+\\s*(?:%|percent|/|of\\s+[0-9])|\\b[0-9]+\\s+(?:mentions?|sources?|customers?|calls?)\\b|" + fx.BREADTH
+_CLEANED = f"""units as (select doc_id, unnest(parts) as unit, generate_subscripts(parts, 1) as i
+  from (select doc_id, string_split(replace(regexp_replace(replace(coalesce(text, ''), '"', ''), '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)) as parts from documents)),
+judged as (select *, regexp_matches(unit, '{_states}') as bad from units),
+whole as (select doc_id, coalesce(string_agg(unit, ' ' order by i) filter (not bad), '') as body, count(*) filter (bad) as n from judged group by 1)"""
+
+
+@query(f"#{_CLEANED} select doc_id, sha256(body) as body from whole where trim(body) <> '' and not regexp_matches(body, '{_states}')", alone=True)
+def cleaned_documents(spark, sf_dir):
+    """Whole texts without the units that state counts, shares or breadth; those of which nothing usable is left are none."""
+    docs = Tables(spark, sf_dir).raw("documents").select("doc_id", F.col("text").alias("body"))
+    return reporting.kept_items(reporting.cleaned_items(docs, ["doc_id"], ["body"])).withColumn("body", F.sha2("body", 256))
+
+
+@query(f"#{_CLEANED} select doc_id, 'body' as field, unit from judged where bad union all select doc_id, 'item', null from whole where trim(body) = '' or regexp_matches(body, '{_states}')", alone=True)
+def dropped_units(spark, sf_dir):
+    """What cleaning takes out of whole texts, and the texts of which nothing usable is left."""
+    docs = Tables(spark, sf_dir).raw("documents").select("doc_id", F.col("text").alias("body"))
+    return reporting.dropped_units(reporting.cleaned_items(docs, ["doc_id"], ["body"]), ["doc_id"])
+
+
 @query("""
 select doc_id, 'Doc ' || doc_id || ' is kept. It ends.' as kept, 'About 40% said so.|Most agree;' as dropped from documents""", alone=True)
 def cleaned_prose(spark, sf_dir):

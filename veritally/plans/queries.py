@@ -542,7 +542,7 @@ seen as (select *, substring(body, greatest(start - 5, 1), least(start, 6)) as b
 numbers as (
   select {key}, case when contains(said, '.') then cast(round_even(cast(regexp_extract(said, '^[0-9.]+') as double), 0) as bigint)::varchar else regexp_extract(said, '^[0-9]+') end as value, 'percentage' as type, start from seen where said like '%\%' escape '\'
   union all select {key}, regexp_extract(said, '^[0-9]+'), 'fraction_numerator', start from seen where regexp_matches(said, 'of|/')
-  union all select {key}, regexp_extract(said, '[0-9]+$'), 'fraction_denominator', start + length(said) - length(regexp_extract(said, '[0-9]+$')) from seen where regexp_matches(said, 'of|/')
+  union all select {key}, regexp_extract(said, '[0-9]+$'), 'fraction_denominator', (start + length(said) - length(regexp_extract(said, '[0-9]+$')))::int from seen where regexp_matches(said, 'of|/')
   union all select {key}, said, 'count', start from seen where regexp_matches(said, '^[0-9]{{2,}}$') and not regexp_matches(coalesce(prior, ''), '[\p{{L}}\p{{M}}\p{{N}}_]$') and not regexp_matches(coalesce(next, ''), '^[\p{{L}}\p{{M}}\p{{N}}_]')
     and not regexp_matches(before, '\$\s{{0,2}}$') and not regexp_matches(before, '[~≈]\s?$') and not regexp_matches(before || said || left(after, 6), '[0-9]\s*[-–—]\s*[0-9]')
     and regexp_replace(lower(regexp_extract(after, '^\s*(\S+)', 1)), '[.,;:!?]+$', '') not in ({units}) and not regexp_matches(said, '^(19|20)[0-9]{{2}}$'))"""
