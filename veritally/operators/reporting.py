@@ -13,6 +13,7 @@ from veritally.operators.checks import issue, raised
 from veritally.operators.grounding import best_matches
 from veritally.operators.similarity import rarest, shared_keys
 from veritally.semantics import digest, normalized, pct, squeezed
+from veritally.sources.staging import cut
 
 
 def cleaned_items(items: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
@@ -66,28 +67,45 @@ def ungrounded_quotations(fields: DataFrame, mentions: DataFrame, width: int = 3
     return unheld_quotes(said, mentions, width)
 
 
+#: Runs that a quotation is looked up by at most, those with the smallest hashes; keys of short quotations that are broadcast.
+TRIED, FEW = 3, 200_000
+
+
 def unheld_quotes(said: DataFrame, mentions: DataFrame, width: int = 3) -> DataFrame:
     """(path, quote) of those (path, question_id, quote) whose words no quote of the question has in a row.
 
-    Of the runs of ``width`` words in a quotation (of all its words, if there are fewer), the one that the fewest different
-    quotes have is its key; a run that none has settles it. Quotes of a question that have the same words count once.
+    Of a few runs of ``width`` words in a quotation, the one that the fewest different quotes of the question have is its key; a
+    run that none has settles it. Runs meet as hashes with their question, texts only where a run is shared. Of quotations with
+    fewer words, all of them are one run, and standing in a quote is having it. Quotes of a question that have the same words
+    count once.
     """
     tokens = lambda c: F.regexp_extract_all(normalized(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
-    q = said.select("path", "question_id", "quote").distinct().withColumn("w", tokens(F.col("quote")))
-    q = q.withColumn("asked", F.sha2(F.to_json(F.struct("path", "question_id", "quote")), 256))
-    some = q.where(F.size("w") > 0)
-    keyed = some.select("asked", F.explode(F.array_distinct(F.flatten(F.transform(F.array("w"), lambda w: runs(w, F.least(F.size(w), F.lit(width))))))).alias("key"))
-    e = mentions.select("question_id", F.array_join(tokens(F.col("quote")), " ").alias("v")).where("v <> ''").distinct().withColumn("held", F.sha2(F.concat_ws(" ", "question_id", "v"), 256))
-    all_runs = lambda v: F.concat(*[F.when(F.size(v) >= n, runs(v, n)).otherwise(F.array().cast("array<string>")) for n in range(1, width + 1)])
-    have = e.select("held", F.explode(F.array_distinct(F.flatten(F.transform(F.array(F.split("v", " ")), all_runs)))).alias("key")).join(keyed.select("key").distinct(), "key")
+    runs = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    once = lambda w, f: F.flatten(F.transform(F.array(w), f))
+    q = said.groupBy("path", "quote").agg(F.collect_set(F.struct("question_id")).alias("of"))
+    q = cut(q.withColumn("asked", F.monotonically_increasing_id()))  # written, so the numbers stay
+    e = mentions.select("question_id", F.array_join(tokens(F.col("quote")), " ").alias("v")).where("v <> ''").distinct()
+    e = cut(e.withColumn("held", F.monotonically_increasing_id()))
+    asks = q.select("asked", F.array_join(tokens(F.col("quote")), " ").alias("w"), F.explode("of.question_id").alias("of")).where("w <> ''")
+    anywhere = asks.where("of is null").crossJoin(F.broadcast(e.select("question_id").distinct()))  # questions are few
+    asks = asks.where("of is not null").withColumn("question_id", F.col("of")).unionByName(anywhere).withColumn("n", F.size(F.split("w", " ")))
+    hashed = lambda question, w: F.transform(once(w, lambda x: runs(x, width)), lambda r: F.xxhash64(question, r))
+    keyed = asks.where(F.col("n") >= width).select(F.struct("asked", "of", "question_id").alias("asked"), F.explode(F.slice(F.array_sort(F.array_distinct(hashed(F.col("question_id"), F.split("w", " ")))), 1, TRIED)).alias("key"))
+    have = e.select("held", F.explode(F.array_distinct(hashed(F.col("question_id"), F.split("v", " ")))).alias("key"))
+    have = cut(have.join(keyed.select("key").distinct(), "key", "left_semi"))
     often = have.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    first = rarest(keyed, "asked", often, F.lit(1)).join(often.select("key"), "key")
-    pairs = shared_keys(first, have, "asked", "held")
+    pairs = shared_keys(rarest(keyed, "asked", often, F.lit(1)).join(often.select("key"), "key"), have, "asked", "held").select("asked.asked", "asked.of", "held").distinct()
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    both = pairs.join(some.select("asked", F.col("question_id").alias("_question"), F.array_join("w", " ").alias("_w")), "asked").join(e.select("held", "question_id", "v"), "held")
-    hit = both.where((F.col("_question").isNull() | (F.col("_question") == F.col("question_id"))) & F.contains(padded(F.col("v")), padded(F.col("_w")))).select("asked").distinct()
-    return q.join(hit, "asked", "left_anti").select("path", "quote").distinct()
+    both = pairs.join(e, "held").join(asks.select("asked", "w").distinct(), "asked")
+    long = both.where((F.col("of").isNull() | (F.col("of") == F.col("question_id"))) & F.contains(padded(F.col("v")), padded(F.col("w")))).select("asked", "of")
+    brief = asks.where(F.col("n") < width).select("asked", "of", "question_id", "w")
+    wanted = cut(brief.select("question_id", F.col("w").alias("run")).distinct())
+    all_runs = F.array_distinct(once(F.split("v", " "), lambda x: F.concat(*[runs(x, n) for n in range(1, width)]))) if width > 1 else F.array().cast("array<string>")
+    stand = e.select("question_id", F.explode(all_runs).alias("run"))
+    standing = stand.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, ["question_id", "run"], "left_semi").distinct()
+    short = brief.join(standing.withColumnRenamed("run", "w"), ["question_id", "w"], "left_semi").select("asked", "of")
+    hit = cut(long.unionByName(short).distinct().groupBy("asked").agg(F.count(F.lit(1)).alias("hits")))
+    return q.join(hit, "asked", "left").where(F.coalesce("hits", F.lit(0)) < F.size("of")).select("path", "quote")
 
 
 def attribution_issues(fields: DataFrame, registry: DataFrame) -> DataFrame:
