@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tests.conftest import SMALL
-from veritally.operators import reporting
+from veritally.operators import counting, reporting
 from veritally.plans import queries
 
 
@@ -22,7 +22,7 @@ def shuffled(spark, name):
     return (total() - before) / 1e6
 
 
-@pytest.mark.parametrize(("name", "most"), [("ungrounded_quotations", 3.5)])
+@pytest.mark.parametrize(("name", "most"), [("ungrounded_quotations", 3.5), ("admitted_claims", 3.5)])
 def test_texts_are_shuffled_few_times(spark, name, most):
     import __spark_entry__  # noqa: F401
 
