@@ -38,3 +38,11 @@ def test_quotations_are_those_of_comparing_all(spark):
     got = {tuple(r) for r in reporting.unheld_quotes(spark.createDataFrame(said, "path string, question_id string, quote string"), spark.createDataFrame(held, "question_id string, quote string")).collect()}
     has = lambda q, w: any((q is None or q == k) and f" {w} " in f" {v} " for k, v in held)
     assert got == {(p, w) for p, q, w in said if not has(q, w)}
+
+
+def test_a_mention_in_two_files_counts_once(spark):
+    files = spark.createDataFrame([("f1", "interview", "s1", False), ("f2", "survey", "s2", False)], "file_id string, source_type string, segment string, excluded boolean")
+    mentions = spark.createDataFrame([("Q1", "m1", "f1"), ("Q1", "m1", "f2"), ("Q1", "m2", "f1")], "question_id string, mention_id string, file_id string")
+    assigned = spark.createDataFrame([("Q1", "m3"), ("Q2", "m9")], "question_id string, mention_id string")
+    got = {r["question_id"]: (r["total_mentions"], r["total_segments"]) for r in counting.question_totals(mentions, assigned, files).collect()}
+    assert got == {"Q1": (3, 2), "Q2": (1, 0)}
