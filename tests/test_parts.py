@@ -37,3 +37,13 @@ def test_traces_of_one_word_and_of_three(spark):
     of = lambda n: {tuple(r) for r in grounding.claim_traces(claims, statements, n).collect()}
     assert of(1) == {(1, "Q1"), (2, "Q1"), (1, "Q2"), (3, "Q2")}
     assert of(3) == {(1, "Q1")}
+
+
+def test_a_source_is_brought_into_form_once_for_all_its_mentions(spark):
+    sources = spark.createDataFrame([("f1", "Ann said - it was slow. " * 20_000 + "Kim-Lee"), ("f2", "Kim"), ("f2", "Lee")], "file_id string, text string")
+    named = [(f"m{i}", "f1", "Kim Lee, customer, Ann, An") for i in range(2_000)] + [("n1", "f2", "Lee, Lee"), ("n2", None, "Kim"), ("n3", "f9", "Anonymous Customer,,Kim")]
+    mentions = spark.createDataFrame(named, "mention_id string, file_id string, quote_attribution string")
+    began = time.perf_counter()
+    got = sorted(tuple(r) for r in grounding.attribution_errors(mentions, sources, ["sales call"]).collect())
+    assert got == sorted([(f"m{i}", "an") for i in range(2_000)] + [("n1", "lee")] * 2 + [("n2", "kim"), ("n3", "kim")])
+    assert time.perf_counter() - began < 20
