@@ -15,20 +15,25 @@ from pyspark.sql import functions as F
 
 from veritally.functions import text as fx
 from veritally.semantics import file_of, n_words, normalized, squeezed, stable
+from veritally.sources.staging import dealt, parts
 
 
 def _greedy(rows: DataFrame, group: list[str], keys: list[Column], seen: Column, source: Column, take: int, cap: int) -> DataFrame:
     """Of each group, in order of ``keys``, the first ``take`` rows with texts not chosen before and sources not full.
 
-    ``cap`` rows a source, or any number if the group has one source. Adds ``pick``, from 1 on.
+    ``cap`` rows a source, or any number if the group has one source. Adds ``pick``, from 1 on. Texts are told apart by 16 bytes.
     """
-    rows = rows.withColumns({"_seen": seen, "_source": source, "_keys": F.struct(*keys)}).where("_source is not null")
-    spread = rows.groupBy(*group).agg((F.min("_source") < F.max("_source")).alias("_diverse"))
+    rows = rows.withColumns({"_seen": F.unhex(F.md5(seen)), "_source": source, "_keys": F.struct(*keys)}).where("_source is not null")
+    # what a part of the sources makes superfluous is so in all: each part of a group is cut down by itself first
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("_source"), F.lit(parts(rows))))
+    rows = dealt(rows, *group, "_part")
+    spread = rows.groupBy(*group, "_part").agg(F.min("_source").alias("_a"), F.max("_source").alias("_z")).groupBy(*group).agg((F.min("_a") < F.max("_z")).alias("_diverse"))
     best = rows
-    for by, most in ((["_source", "_seen"], 1), (["_source"], take), (["_seen"], 2), ([], 4 * take)):
+    part = ["_part"]
+    for by, most in (([*part, "_source", "_seen"], 1), ([*part, "_source"], take), ([*part, "_seen"], 2), (part, 4 * take), (["_seen"], 2), ([], 4 * take)):
         w = Window.partitionBy(*group, *by).orderBy("_keys")
         best = best.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most)
-    payload = [c for c in rows.columns if c not in {*group, "_keys"}]
+    payload = [c for c in rows.columns if c not in {*group, "_keys", "_part"}]
     listed = best.drop("_rn").groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_keys", *payload))).alias("_all")).join(spread, group)
     full = F.when(F.col("_diverse"), F.lit(cap)).otherwise(F.lit(take))
 
@@ -44,7 +49,7 @@ def _greedy(rows: DataFrame, group: list[str], keys: list[Column], seen: Column,
 def select_quotes(mentions: DataFrame, assignments: DataFrame, themes: DataFrame, take: int = 5) -> DataFrame:
     """Up to five sample quotes of each theme, notable ones first, no text twice, at most three of a source."""
     words = themes.select("theme_id", fx.theme_keywords(F.col("include"), F.col("description")).alias("_keywords"))
-    rows = assignments.join(mentions.drop("question_id"), "mention_id").join(words, "theme_id", "left")
+    rows = dealt(assignments, "mention_id").join(dealt(mentions.drop("question_id"), "mention_id"), "mention_id").join(words, "theme_id", "left")
     q = F.col("quote")
     rows = rows.where((F.coalesce(q, F.lit("")) != "") & (n_words(q) <= 100))
     keys = [
@@ -61,7 +66,7 @@ def select_quotes(mentions: DataFrame, assignments: DataFrame, themes: DataFrame
 
 def quote_candidates(mentions: DataFrame, assignments: DataFrame, nominations: DataFrame | None = None) -> DataFrame:
     """Up to three candidates of each theme, its nominee first; quotes of 5 to 100 words, at most two of a source."""
-    rows = assignments.join(mentions.drop("question_id"), "mention_id")
+    rows = dealt(assignments, "mention_id").join(dealt(mentions.drop("question_id"), "mention_id"), "mention_id")
     rows = rows.withColumn("_nominee", F.lit(None).cast("string")) if nominations is None else rows.join(nominations.select("theme_id", F.col("mention_id").alias("_nominee")), "theme_id", "left")
     q = F.col("quote")
     rows = rows.where(n_words(q).between(5, 100))
