@@ -11,6 +11,7 @@ from veritally import schemas
 from veritally.functions import text as fx
 from veritally.operators.grounding import grounded
 from veritally.semantics import n_words, squeezed
+from veritally.sources.staging import dealt
 
 REUSE_CAP = 5
 SINGLE, MULTI = (6, 12), (25, 35)  #: mentions a question from one source: more than these warn, or fail
@@ -48,11 +49,19 @@ def foreign(rows: DataFrame, key: str, known: DataFrame, known_key: str, check:
 
 
 def exact_cover(expected: DataFrame, got: DataFrame, key: str) -> DataFrame:
-    """Ids that are missing, invented or repeated."""
-    want, have = expected.select(key).distinct(), got.select(key)
-    missing = want.join(have, key, "left_anti").select(*_say(key, "missing", "error", "expected, not returned"))
-    invented = have.distinct().join(want, key, "left_anti").select(*_say(key, "invented", "error", "returned, not expected"))
-    return together(missing, invented, repeated(got, key, "duplicate"))
+    """Ids that are missing, invented or repeated: both sides are counted by id in one pass. An absent id equals no other."""
+    side = lambda d, wanted, had: d.select(key, F.lit(wanted).alias("_wanted"), F.lit(had).alias("_had"))
+    n = dealt(side(expected, 1, 0).unionByName(side(got, 0, 1)), key).groupBy(key).agg(F.sum("_wanted").alias("_wanted"), F.sum("_had").alias("_had"))
+    none, wanted, had = F.col(key).isNull(), F.col("_wanted") > 0, F.col("_had") > 0
+    return raised(
+        n,
+        key,
+        [
+            issue(wanted & (none | ~had), "missing", "error", "expected, not returned"),
+            issue(had & (none | ~wanted), "invented", "error", "returned, not expected"),
+            issue(F.col("_had") > 1, "duplicate", "error", "appears more than once"),
+        ],
+    )
 
 
 def plan(files: DataFrame, questions: DataFrame, segments: DataFrame) -> DataFrame:
