@@ -13,7 +13,7 @@ from veritally.operators.checks import issue, raised
 from veritally.operators.grounding import best_matches
 from veritally.operators.similarity import rarest, shared_keys
 from veritally.semantics import digest, normalized, pct, squeezed
-from veritally.sources.staging import cut
+from veritally.sources.staging import cut, dealt
 
 
 def cleaned_items(items: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
@@ -198,8 +198,13 @@ def claim_sources(claims: DataFrame, mentions: DataFrame) -> DataFrame:
 
 def claim_statistics(claims: DataFrame, mentions: DataFrame, cohort: DataFrame) -> DataFrame:
     """Support counts of each claim over its question, under a reference made from what it cites."""
-    rows = claims.select("claim_id", "question_id", F.explode("support_mention_ids").alias("mention_id")).join(mentions.select("mention_id", "file_id"), "mention_id")
-    per = rows.groupBy("claim_id", "question_id").agg(F.countDistinct("mention_id").alias("mentions"), F.countDistinct("file_id").alias("source_files"), F.array_sort(F.collect_set("mention_id")).alias("ids"))
+    cited = claims.select("claim_id", "question_id", F.explode("support_mention_ids").alias("mention_id"))
+    rows = dealt(cited, "mention_id").join(dealt(mentions.select("mention_id", "file_id"), "mention_id"), "mention_id")
+    by, n = ["claim_id", "question_id"], lambda on: F.col(on).isNotNull().cast("long")
+    one = lambda c: dealt(rows.select(*by, c), *by, c).distinct()
+    own = one("mention_id").select(*by, "mention_id", n("mention_id").alias("m"), F.lit(0).cast("long").alias("s"))
+    of = one("file_id").select(*by, F.lit(None).cast("string").alias("mention_id"), F.lit(0).cast("long").alias("m"), n("file_id").alias("s"))
+    per = own.unionByName(of).groupBy(*by).agg(F.sum("m").alias("mentions"), F.sum("s").alias("source_files"), F.array_sort(F.collect_set("mention_id")).alias("ids"))
     whole = cohort.select("question_id", "total_mentions")
     return per.join(whole, "question_id").select("claim_id", "question_id", "mentions", "source_files", "total_mentions", pct(F.col("mentions"), F.col("total_mentions")).alias("percentage"), digest(F.col("claim_id"), F.array_join("ids", ",")).alias("stat_ref"))
 
