@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritally.schemas import UNKNOWN_SEGMENT, category_of
 from veritally.semantics import file_of, pct, squeezed
+from veritally.sources.staging import dealt
 
 DEMOTION_SHARE, DEMOTION_LEAST, DEMOTION_FROM, SPARSE = 0.03, 2, 10, 15
 
@@ -21,16 +24,24 @@ def counted(files: DataFrame) -> DataFrame:
     return files.where(~F.coalesce("excluded", F.lit(False)))
 
 
+def different(rows: DataFrame, by: list[str], of: dict[str, str]) -> DataFrame:
+    """Of each group how many different values each column has, by names: counted one after another, each value dealt with its group."""
+    none = F.lit(0).cast("long")
+    n = [dealt(rows.select(*by, c), *by, c).distinct().select(*by, *[(F.col(c).isNotNull().cast("long") if x == c else none).alias(name) for x, name in of.items()]) for c in of]
+    return reduce(DataFrame.unionByName, n).groupBy(*by).agg(*[F.sum(name).alias(name) for name in of.values()])
+
+
 def placed(mentions: DataFrame, files: DataFrame) -> DataFrame:
     """Mentions with category and segment of their source; Other and unknown without one."""
     own = counted(files).select("file_id", "source_type", F.col("segment").alias("_segment"))
-    rows = mentions.join(own, "file_id", "left")
+    rows = dealt(mentions, "file_id").join(dealt(own, "file_id"), "file_id", "left")
     return rows.withColumns({"category": category_of(F.coalesce("source_type", F.lit("other"))), "segment": F.coalesce("_segment", F.lit(UNKNOWN_SEGMENT))}).drop("_segment")
 
 
 def question_totals(mentions: DataFrame, assignments: DataFrame, files: DataFrame) -> DataFrame:
     """Totals of a question: mentions in the data or only in assignments, and categories and segments of those in the data."""
-    ids = mentions.select("question_id", "mention_id").unionByName(assignments.select("question_id", "mention_id")).distinct()
+    ids = mentions.select("question_id", "mention_id").unionByName(assignments.select("question_id", "mention_id"))
+    ids = dealt(ids, "question_id", "mention_id").distinct()
     n = ids.groupBy("question_id").agg(F.count("mention_id").alias("total_mentions"))
     # categories and segments are the files', so mentions meet them once for each file, and no id is sorted
     kinds = placed(mentions.select("question_id", "file_id").distinct(), files).groupBy("question_id").agg(F.countDistinct("category").alias("c"), F.countDistinct("segment").alias("s"))
@@ -42,8 +53,8 @@ def question_totals(mentions: DataFrame, assignments: DataFrame, files: DataFram
 
 def theme_counts(mentions: DataFrame, assignments: DataFrame, themes: DataFrame, files: DataFrame) -> DataFrame:
     """Counts and shares of each theme, defined or only used; assigned rows count even if their mention is unknown."""
-    known = placed(mentions, files).select("mention_id", "category", "segment")
-    rows = assignments.join(known, "mention_id", "left")
+    known = dealt(placed(mentions.select("mention_id", "file_id"), files).select("mention_id", "category", "segment"), "mention_id")
+    rows = dealt(assignments, "mention_id").join(known, "mention_id", "left")
     per = rows.groupBy("question_id", "theme_id").agg(F.count(F.lit(1)).alias("mention_count"), F.countDistinct("category").alias("source_type_count"), F.countDistinct("segment").alias("segment_count"))
     both = themes.select("question_id", "theme_id", "type").join(per, ["question_id", "theme_id"], "full")
     filled = both.select("question_id", "theme_id", F.coalesce("type", F.lit("other")).alias("type"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("mention_count", "source_type_count", "segment_count")])
@@ -66,8 +77,8 @@ def demoted(counts: DataFrame) -> DataFrame:
 
 def outliers(mentions: DataFrame, assignments: DataFrame, flagged: DataFrame) -> DataFrame:
     """Mentions of a question that no kept theme has; themes are few, and Spark broadcasts them if they are small."""
-    kept = assignments.join(flagged.where(~F.col("demoted")).select("question_id", "theme_id"), ["question_id", "theme_id"]).select("question_id", "mention_id")
-    return mentions.join(kept, ["question_id", "mention_id"], "left_anti").where(file_of(F.col("mention_id")).isNotNull())
+    kept = assignments.select("question_id", "theme_id", "mention_id").join(flagged.where(~F.col("demoted")).select("question_id", "theme_id"), ["question_id", "theme_id"]).select("question_id", "mention_id")
+    return dealt(mentions, "question_id", "mention_id").join(dealt(kept, "question_id", "mention_id"), ["question_id", "mention_id"], "left_anti").where(file_of(F.col("mention_id")).isNotNull())
 
 
 def breakdown(rows: DataFrame, by: list[str], of: str) -> DataFrame:
@@ -82,10 +93,10 @@ def breakdown_map(broken: DataFrame, by: list[str], of: str) -> DataFrame:
 
 def inventory_stats(mentions: DataFrame, assignments: DataFrame) -> DataFrame:
     """Scoped statistics: mentions and source files of each question and theme, over those of the question."""
-    q = mentions.groupBy("question_id").agg(F.countDistinct("mention_id").alias("all_m"), F.countDistinct("file_id").alias("all_s"))
+    q = different(mentions, ["question_id"], {"mention_id": "all_m", "file_id": "all_s"})
     own = q.select("question_id", F.col("question_id").alias("ref"), F.col("all_m").alias("m"), F.col("all_s").alias("s"), "all_m", "all_s")
-    rows = assignments.join(mentions.select("mention_id", "file_id"), "mention_id")
-    t = rows.groupBy("question_id", F.col("theme_id").alias("ref")).agg(F.countDistinct("mention_id").alias("m"), F.countDistinct("file_id").alias("s")).join(q, "question_id")
+    rows = dealt(assignments, "mention_id").join(dealt(mentions.select("mention_id", "file_id"), "mention_id"), "mention_id")
+    t = different(rows.withColumnRenamed("theme_id", "ref"), ["question_id", "ref"], {"mention_id": "m", "file_id": "s"}).join(q, "question_id")
     both = own.unionByName(t)
     cut = F.array(F.struct(F.lit("mentions").alias("unit"), F.col("m").alias("numerator"), F.col("all_m").alias("denominator")), F.struct(F.lit("source_files").alias("unit"), F.col("s").alias("numerator"), F.col("all_s").alias("denominator")))
     out = both.select("question_id", "ref", F.inline(cut))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veritally.operators import audit, counting, reporting, sections, selection
 from veritally.plans.queries import FLAGGED, LATEST, SQL, TOTALS, Tables, _claims, pct, query
+from veritally.sources.staging import dealt
 
 DAY = date(2024, 1, 31)
 
@@ -70,7 +71,7 @@ def report_sections(spark, sf_dir):
     """A report's section for each question."""
     t = Report(spark, sf_dir)
     picked = t.picked()
-    segments = t.assignments.select("theme_id", "mention_id").join(counting.placed(t.mentions, t.files).select("mention_id", "segment"), "mention_id").select("theme_id", "segment").distinct()
+    segments = dealt(t.assignments.select("theme_id", "mention_id"), "mention_id").join(dealt(counting.placed(t.mentions.select("mention_id", "file_id"), t.files).select("mention_id", "segment"), "mention_id"), "mention_id").select("theme_id", "segment").distinct()
     tables = sections.theme_tables(t.kept, t.themes, t.cells(picked), segments)
     leads = selection.pull_quotes(picked, t.kept.select("theme_id", "type", "mention_count"))
     return sections.question_sections(t.totals(), tables, leads, t.written())
