@@ -46,3 +46,14 @@ def test_a_mention_in_two_files_counts_once(spark):
     assigned = spark.createDataFrame([("Q1", "m3"), ("Q2", "m9")], "question_id string, mention_id string")
     got = {r["question_id"]: (r["total_mentions"], r["total_segments"]) for r in counting.question_totals(mentions, assigned, files).collect()}
     assert got == {"Q1": (3, 2), "Q2": (1, 0)}
+
+
+def test_quotations_meet_only_texts_that_are_like_them(spark, monkeypatch):
+    draw, met = random.Random(5), []
+    some = lambda: " ".join(draw.choice("abcd") for _ in range(12))
+    held, said = [("Q1", some()) for _ in range(150)], [(f"p{i}", "Q1", some()) for i in range(150)]
+    pairs = reporting.shared_keys
+    monkeypatch.setattr(reporting, "shared_keys", lambda *a, **k: met.append(pairs(*a, **k)) or met[-1])
+    got = {r["path"] for r in reporting.unheld_quotes(spark.createDataFrame(said, "path string, question_id string, quote string"), spark.createDataFrame(held, "question_id string, quote string")).collect()}
+    assert got == {p for p, _, w in said if not any(w in v for _, v in held)}
+    assert sum(m.count() for m in met) < 300  # of 150 with 150; three words in a row are shared by thousands

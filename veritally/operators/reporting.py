@@ -12,7 +12,7 @@ from veritally.functions import text as fx
 from veritally.operators.checks import issue, raised
 from veritally.operators.grounding import best_matches
 from veritally.operators.similarity import rarest, shared_keys
-from veritally.semantics import digest, normalized, pct, squeezed
+from veritally.semantics import digest, normalized, pct, squeezed, straightened
 from veritally.sources.staging import cut, dealt
 
 
@@ -67,45 +67,80 @@ def ungrounded_quotations(fields: DataFrame, mentions: DataFrame, width: int = 3
     return unheld_quotes(said, mentions, width)
 
 
-#: Runs that a quotation is looked up by at most, those with the smallest hashes; keys of short quotations that are broadcast.
-TRIED, FEW = 3, 200_000
+#: Runs that a long quotation is looked up by at most, those with the smallest hashes; short runs that are broadcast.
+TRIED, FEW = 3, 500_000
+
+
+def _tokens(text: Column) -> Column:
+    """The words of the normalized text, with single spaces."""
+    return F.trim(F.regexp_replace(F.lower(straightened(F.regexp_replace(text, r"\\([^\\])", "$1"))), r"[^\p{L}\p{N}_]+", " "))
+
+
+def _runs(words: str, least: int, most: int) -> Column:
+    """From each word of a spaced text on, as many as ``most`` words, where there are ``least``: one pass of a pattern."""
+    return F.regexp_extract_all(words, F.lit(rf"(?:^|(?<= ))(?=([^ ]+(?: [^ ]+){{{least - 1},{most - 1}}}))"), F.lit(1))
+
+
+def _headed(runs: DataFrame, width: int) -> DataFrame:
+    """Runs with their first ``width`` words and question as 12 bytes (key, check), and the words behind them (tail)."""
+    head = F.substring_index("run", " ", width)
+    return runs.withColumns({"key": F.xxhash64("question_id", head), "check": F.hash("question_id", head), "tail": F.substring(F.col("run"), F.char_length(head) + 2, F.char_length("run"))}).drop("run")
 
 
 def unheld_quotes(said: DataFrame, mentions: DataFrame, width: int = 3) -> DataFrame:
     """(path, quote) of those (path, question_id, quote) whose words no quote of the question has in a row.
 
-    Of a few runs of ``width`` words in a quotation, the one that the fewest different quotes of the question have is its key; a
-    run that none has settles it. Runs meet as hashes with their question, texts only where a run is shared. Of quotations with
-    fewer words, all of them are one run, and standing in a quote is having it. Quotes of a question that have the same words
-    count once.
+    Words are read once, and what is asked and what is held under a question are brought together as different texts: equal ones
+    are settled. From each word of a held text on, a run of ``reach`` words is one row, its head a hash. A quotation of up to
+    ``reach`` words is such a run, or its beginning; of a longer one, of a few runs the one that the fewest texts have is its
+    key, and texts meet only behind it. Of fewer than ``width`` words, standing in a text is having them.
     """
-    tokens = lambda c: F.regexp_extract_all(normalized(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    runs = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    once = lambda w, f: F.flatten(F.transform(F.array(w), f))
+    reach, heads = 2 * width + 1, ["key", "check"]
     q = said.groupBy("path", "quote").agg(F.collect_set(F.struct("question_id")).alias("of"))
-    q = cut(q.withColumn("asked", F.monotonically_increasing_id()))  # written, so the numbers stay
-    e = mentions.select("question_id", F.array_join(tokens(F.col("quote")), " ").alias("v")).where("v <> ''").distinct()
-    e = cut(e.withColumn("held", F.monotonically_increasing_id()))
-    asks = q.select("asked", F.array_join(tokens(F.col("quote")), " ").alias("w"), F.explode("of.question_id").alias("of")).where("w <> ''")
-    anywhere = asks.where("of is null").crossJoin(F.broadcast(e.select("question_id").distinct()))  # questions are few
-    asks = asks.where("of is not null").withColumn("question_id", F.col("of")).unionByName(anywhere).withColumn("n", F.size(F.split("w", " ")))
-    hashed = lambda question, w: F.transform(once(w, lambda x: runs(x, width)), lambda r: F.xxhash64(question, r))
-    keyed = asks.where(F.col("n") >= width).select(F.struct("asked", "of", "question_id").alias("asked"), F.explode(F.slice(F.array_sort(F.array_distinct(hashed(F.col("question_id"), F.split("w", " ")))), 1, TRIED)).alias("key"))
-    have = e.select("held", F.explode(F.array_distinct(hashed(F.col("question_id"), F.split("v", " ")))).alias("key"))
-    have = cut(have.join(keyed.select("key").distinct(), "key", "left_semi"))
+    q = cut(q.withColumns({"asked": F.monotonically_increasing_id(), "w": _tokens(F.col("quote"))}))  # written, so the numbers stay
+    e = mentions.select("question_id", _tokens(F.col("quote")).alias("v"), F.lit(True).alias("held"))
+    asks = q.select("asked", "w", F.explode("of.question_id").alias("of")).where("w <> ''")
+    anywhere = asks.where("of is null").crossJoin(F.broadcast(mentions.select("question_id").distinct()))  # questions are few
+    asks = asks.where("of is not null").withColumn("question_id", F.col("of")).unionByName(anywhere)
+    texts = e.where("v <> ''").unionByName(asks.select("question_id", F.col("w").alias("v"), F.lit(False).alias("held")))
+    texts = texts.groupBy("question_id", "v").agg(F.bool_or("held").alias("held"), F.bool_or(~F.col("held")).alias("asked"))
+    texts = cut(texts.withColumns({"id": F.monotonically_increasing_id(), "n": F.size(F.split("v", " "))}))
+    own = _key(F.col("question_id"), F.col("v"))
+    held, wanted = texts.where("held"), texts.where("asked and not held").select(own.alias("id"), "question_id", "v", "n")
+    # one run of a quotation that isn't long, some of a long one
+    few = F.slice(F.array_sort(F.transform(F.array_distinct(_runs("v", reach, reach)), lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("run")))), 1, TRIED)
+    short = wanted.where(F.col("n").between(width, reach)).select("id", "n", "question_id", F.col("v").alias("run"))
+    long = wanted.where(F.col("n") > reach).select("id", "n", "question_id", F.explode(few["run"]).alias("run"))
+    keyed = cut(_headed(short.unionByName(long), width).withColumn("more", F.least("n", F.lit(reach)) - width))
+    have = _headed(held.where(F.col("n") >= width).select(F.col("id").alias("held"), "question_id", F.explode(_runs("v", width, reach)).alias("run")), width).drop("question_id")
+    have = have.join(keyed.groupBy(*heads).agg(F.collect_set("more").alias("mores")), heads)
+    # a run has as many words behind its head as are asked for there, or it isn't what is asked for
+    begun = have.select(*heads, "held", "tail", F.explode("mores").alias("more")).withColumn("tail", F.expr("substring_index(tail, ' ', more)"))
+    have = cut(begun.join(keyed.select(*heads, "tail").distinct(), [*heads, "tail"], "left_semi").select(F.struct(*heads, "tail").alias("key"), "held", "more"))
+    one = keyed.select("id", "n", F.struct(*heads, "tail").alias("key"))
+    whole = one.where(F.col("n") <= reach).join(have.select("key").distinct(), "key", "left_semi").select("id")
+    have = have.where(F.col("more") == reach - width).select("key", "held")
     often = have.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    pairs = shared_keys(rarest(keyed, "asked", often, F.lit(1)).join(often.select("key"), "key"), have, "asked", "held").select("asked.asked", "asked.of", "held").distinct()
+    pairs = shared_keys(rarest(one.where(F.col("n") > reach).select("id", "key"), "id", often, F.lit(1)).join(often.select("key"), "key"), have, "id", "held").distinct()
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    both = pairs.join(e, "held").join(asks.select("asked", "w").distinct(), "asked")
-    long = both.where((F.col("of").isNull() | (F.col("of") == F.col("question_id"))) & F.contains(padded(F.col("v")), padded(F.col("w")))).select("asked", "of")
-    brief = asks.where(F.col("n") < width).select("asked", "of", "question_id", "w")
-    wanted = cut(brief.select("question_id", F.col("w").alias("run")).distinct())
-    all_runs = F.array_distinct(once(F.split("v", " "), lambda x: F.concat(*[runs(x, n) for n in range(1, width)]))) if width > 1 else F.array().cast("array<string>")
-    stand = e.select("question_id", F.explode(all_runs).alias("run"))
-    standing = stand.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, ["question_id", "run"], "left_semi").distinct()
-    short = brief.join(standing.withColumnRenamed("run", "w"), ["question_id", "w"], "left_semi").select("asked", "of")
-    hit = cut(long.unionByName(short).distinct().groupBy("asked").agg(F.count(F.lit(1)).alias("hits")))
-    return q.join(hit, "asked", "left").where(F.coalesce("hits", F.lit(0)) < F.size("of")).select("path", "quote")
+    both = pairs.join(held.select(F.col("id").alias("held"), "v"), "held").join(wanted.select("id", F.col("v").alias("w")), "id")
+    inside = both.where(F.contains(padded(F.col("v")), padded(F.col("w")))).select("id")
+    found = whole.unionByName(inside)
+    if width > 1:
+        brief = cut(wanted.where(F.col("n") < width).select("id", F.xxhash64("question_id", "v").alias("key"), "question_id", F.col("v").alias("run")))
+        starts = F.array(*[F.substring_index("run", " ", i) for i in range(1, width)])
+        stand = held.select("question_id", F.explode(_runs("v", 1, width - 1)).alias("run")).select("question_id", F.explode(starts).alias("run")).withColumn("key", F.xxhash64("question_id", "run"))
+        keys = brief.select("key").distinct()
+        stand = stand.join(F.broadcast(keys) if brief.count() <= FEW else keys, "key", "left_semi").select("question_id", "run").distinct()
+        found = found.unionByName(brief.join(stand, ["question_id", "run"], "left_semi").select("id"))
+    hit = found.unionByName(texts.where("asked and held").select(own.alias("id"))).distinct()
+    hits = cut(asks.select("asked", "of", _key(F.col("question_id"), F.col("w")).alias("id")).join(hit, "id", "left_semi").select("asked", "of").distinct().groupBy("asked").agg(F.count(F.lit(1)).alias("hits")))
+    return q.join(hits, "asked", "left").where(F.coalesce("hits", F.lit(0)) < F.size("of")).select("path", "quote")
+
+
+def _key(question: Column, text: Column) -> Column:
+    """16 bytes for a text under a question."""
+    return F.unhex(F.md5(F.concat(question, F.lit("\n"), text).cast("binary")))
 
 
 def attribution_issues(fields: DataFrame, registry: DataFrame) -> DataFrame:
