@@ -57,3 +57,15 @@ def test_quotations_meet_only_texts_that_are_like_them(spark, monkeypatch):
     got = {r["path"] for r in reporting.unheld_quotes(spark.createDataFrame(said, "path string, question_id string, quote string"), spark.createDataFrame(held, "question_id string, quote string")).collect()}
     assert got == {p for p, _, w in said if not any(w in v for _, v in held)}
     assert sum(m.count() for m in met) < 300  # of 150 with 150; three words in a row are shared by thousands
+
+
+def test_best_matches_sends_no_table_through_the_driver(spark):
+    """Each broadcast table takes a page of the driver's memory, and the plan has dozens of joins."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    queries.QUERIES["best_matches"](spark, SMALL).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(before, runs.size())]
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
