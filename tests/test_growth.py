@@ -69,3 +69,11 @@ def test_best_matches_sends_no_table_through_the_driver(spark):
     plans = [runs.apply(i).physicalPlanDescription() for i in range(before, runs.size())]
     assert plans and not any("BroadcastHashJoin" in p for p in plans)
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+
+
+def test_a_text_without_a_question_holds_what_is_asked_of_any(spark):
+    line = "one two three four five six seven eight nine ten"
+    said = [(str(n), None, " ".join(line.split()[:n])) for n in (1, 2, 3, 7, 9, 10)] + [("own", "Q1", line), ("else", None, "ten one")]
+    held = spark.createDataFrame([(None, line), ("Q1", "other")], "question_id string, quote string")
+    got = {r["path"] for r in reporting.unheld_quotes(spark.createDataFrame(said, "path string, question_id string, quote string"), held).collect()}
+    assert got == {"own", "else"}

@@ -132,15 +132,15 @@ def unheld_quotes(said: DataFrame, mentions: DataFrame, width: int = 3) -> DataF
         stand = held.select("question_id", F.explode(_runs("v", 1, width - 1)).alias("run")).select("question_id", F.explode(starts).alias("run")).withColumn("key", F.xxhash64("question_id", "run"))
         keys = brief.select("key").distinct()
         stand = stand.join(F.broadcast(keys) if brief.count() <= FEW else keys, "key", "left_semi").select("question_id", "run").distinct()
-        found = found.unionByName(brief.join(stand, ["question_id", "run"], "left_semi").select("id"))
+        found = found.unionByName(brief.join(stand, brief["question_id"].eqNullSafe(stand["question_id"]) & (brief["run"] == stand["run"]), "left_semi").select("id"))
     hit = found.unionByName(texts.where("asked and held").select(own.alias("id"))).distinct()
     hits = cut(asks.select("asked", "of", _key(F.col("question_id"), F.col("w")).alias("id")).join(hit, "id", "left_semi").select("asked", "of").distinct().groupBy("asked").agg(F.count(F.lit(1)).alias("hits")))
     return q.join(hits, "asked", "left").where(F.coalesce("hits", F.lit(0)) < F.size("of")).select("path", "quote")
 
 
 def _key(question: Column, text: Column) -> Column:
-    """16 bytes for a text under a question."""
-    return F.unhex(F.md5(F.concat(question, F.lit("\n"), text).cast("binary")))
+    """16 bytes for a text under a question, or under none."""
+    return F.unhex(F.md5(F.concat(F.coalesce(question, F.lit("\n")), F.lit("\n"), text).cast("binary")))
 
 
 def attribution_issues(fields: DataFrame, registry: DataFrame) -> DataFrame:
